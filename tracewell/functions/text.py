@@ -10,6 +10,12 @@ WHITE_SPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
 
+# Fixed value: the same characters as a set to strip from the ends of a text.
+STRIPPED = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # What counts as a reference, a number and a date in plain text.
 REFERENCE = r"https?://[A-Za-z0-9./_%#?=&:~-]+"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?%?"
@@ -19,6 +25,10 @@ EXTRACTION_CHARS = 4000
 PROMPT_CHARS = 120
 
 
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(STRIPPED))
+
+
 def words(text: Column) -> Column:
     """Distinct white-space separated words."""
     return F.array_distinct(F.filter(F.split(text, WHITE_SPACE), lambda w: w != ""))
@@ -65,12 +75,11 @@ def claims(text: Column) -> Column:
 
 
 def approved(text: Column) -> Column:
-    return F.upper(F.trim(text)).startswith("APPROVED")
+    return F.upper(strip(text)).startswith("APPROVED")
 
 
 def revision_notes(text: Column) -> Column:
-    trimmed = F.trim(text)
-    return F.when(approved(text), F.lit("")).otherwise(trimmed)
+    return F.when(approved(text), F.lit("")).otherwise(strip(text))
 
 
 def format_ms(ms: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import strip
+
 STATE = "map<string,string>"
 
 # Canonical texts that count as "no content".
@@ -20,7 +22,7 @@ ZERO = r"^-?0(\.0+)?([eE][+-]?[0-9]+)?$"
 
 def safe_loads(text: Column) -> Column:
     """VARIANT of a JSON object or array; any other text stays a string."""
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     parsed = F.when(trimmed.rlike(r"^[\{\[]"), F.try_parse_json(trimmed))
     return F.coalesce(parsed, text.cast("variant"))
 
@@ -40,14 +42,14 @@ def no_state() -> Column:
 
 def parse_state(text: Column) -> Column:
     """Canonical state map of JSON object text; an empty map for anything else."""
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     members = F.when(trimmed.startswith("{"), F.try_parse_json(trimmed)).cast("map<string,variant>")
     return F.coalesce(F.transform_values(members, lambda _, v: F.coalesce(F.to_json(v), F.lit("null"))), no_state())
 
 
 def state_or_raw(state: Column, raw: Column) -> Column:
     """The handoff state, or the raw text parsed when the state holds nothing."""
-    text = F.trim(state)
+    text = strip(state)
     parsed = F.to_json(F.try_parse_json(text))
     # text that is not JSON at all is content, and parses to an empty state
     blank = text.isNull() | (text == "") | (parsed.isNotNull() & is_empty(parsed))

@@ -34,7 +34,7 @@ def _response_count(members: Column, name: str) -> Column:
     raw = F.try_element_at(members, F.lit(name))
     number = (
         F.when(raw.isin("true", "false"), (raw == "true").cast("int"))
-        .when(raw.startswith('"'), F.trim(values.string_value(raw)).try_cast("int"))
+        .when(raw.startswith('"'), text.strip(values.string_value(raw)).try_cast("int"))
         .otherwise(raw.try_cast("double").try_cast("int"))
     )
     count = F.when(raw.isNull(), F.lit(0)).otherwise(number)
@@ -48,8 +48,8 @@ def parse_responses(steps: DataFrame) -> DataFrame:
     response_tokens.  Steps without output, responses that are not a JSON object,
     and counts that are not whole numbers from 0 on make the extraction failed.
     """
-    empty = F.trim(F.coalesce("raw_output", F.lit(""))) == ""
-    reply = F.trim("response")
+    empty = text.strip(F.coalesce("raw_output", F.lit(""))) == ""
+    reply = text.strip(F.col("response"))
     readable = reply.startswith("{") & F.try_parse_json(reply).isNotNull()
     unreadable = ~F.coalesce(readable, F.lit(False))
     bad_count = F.col("_source").isNull() | F.col("_entity").isNull()
@@ -75,7 +75,7 @@ def parse_responses(steps: DataFrame) -> DataFrame:
 def counts_from_output(steps: DataFrame) -> DataFrame:
     """Counts the agents themselves put into their JSON output."""
     out = values.parse_state(F.col("raw_output"))
-    empty = F.trim("raw_output") == ""
+    empty = text.strip(F.col("raw_output")) == ""
     counts = {c: F.try_element_at(F.col("_o"), F.lit(c)).try_cast("int") for c in ("source_count", "entity_count")}
     calls = F.transform("tool_calls", lambda c: c["name"])
     return steps.withColumn("_o", out).select(
@@ -91,7 +91,7 @@ def counts_from_sections(steps: DataFrame, text_column: str = "raw_output") -> D
     """Counts from sectioned research text, with the field lists of the whole text."""
     body = F.col(text_column)
     sources, entities = text.section_counts(body)
-    empty = F.trim(body) == ""
+    empty = text.strip(body) == ""
     counts = {
         "source_count": sources,
         "entity_count": entities,
@@ -129,7 +129,7 @@ def checker_approval(steps: DataFrame) -> DataFrame:
     return steps.select(
         "run_id",
         "step",
-        F.trim(out).alias("verification_result"),
+        text.strip(out).alias("verification_result"),
         text.approved(out).alias("verified"),
         text.revision_notes(out).alias("revision_notes"),
     )
