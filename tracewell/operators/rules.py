@@ -8,6 +8,9 @@ rules look at single calls and need no shuffle at all.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from tracewell.functions.similarity import sequence_ratio
 # Order in which analyzers are consulted on ties.
 ANALYZER_ORD = {"ground_truth": 1, "rule_engine": 2, "information_loss": 3, "workflow_validator": 4}
 RULE_VERSION = "1.0.0"
+LOSS_RULE = "information_loss_v1"
 # What marks the text of a tool's output as a failure.
 ERROR_MARKS = ("Error:", "Exception:")
 # Reasons an analyzer gives for not looking at a run.
@@ -26,51 +30,61 @@ NO_EXPECTED = "No expected_output present in trace."
 NO_STEPS_PRESENT = "No steps present in trace."
 
 
-def finding(
-    analyzer: str,
-    rule_id: str | Column,
-    category: str,
-    agent: Column,
-    description: Column,
-    *,
-    source: str | None = None,
-    severity: str = "high",
-    step: Column | None = None,
-    seq: Column | None = None,
-    idx: Column | None = None,
-    value: Column | None = None,
-    confidence: Column | None = None,
-    detail: Column | None = None,
-    rule_description: Column | None = None,
-) -> Column:
-    """One evidence row as a struct, in the shape of ``schema.EVIDENCE_COLUMNS``."""
-    made = {
-        "run_id": F.col("run_id"),
-        "analyzer_ord": F.lit(ANALYZER_ORD[analyzer]),
-        "emit_seq": F.lit(0) if seq is None else seq,
-        "emit_idx": F.lit(0) if idx is None else idx,
-        "source": F.lit(source or analyzer),
-        "rule_id": rule_id if isinstance(rule_id, Column) else F.lit(rule_id),
-        "rule_version": F.lit(RULE_VERSION),
-        "category": F.lit(category),
-        "severity": F.lit(severity),
-        "description": description,
-        "rule_description": description if rule_description is None else rule_description,
-        "evidence_detail": detail,
-        "value": F.lit("FAIL") if value is None else value,
-        "agent": agent,
-        "step": step,
-        "confidence": F.lit(1.0) if confidence is None else confidence,
-    }
-    return F.struct(
-        *((F.lit(None) if made[c] is None else made[c]).cast(t).alias(c) for c, t in schema.EVIDENCE_COLUMNS)
-    )
+@dataclass(frozen=True)
+class Finding:
+    """A rule: when it applies, and the evidence columns it fills in.
 
+    ``fields`` maps evidence columns to values; absent ones take the default below.
+    """
+
+    applies: Column
+    analyzer: str
+    rule_id: str
+    category: str
+    fields: Mapping[str, Column | str | int | float] = field(default_factory=dict)
+
+    def column(self, name: str) -> Column | str | int | float | None:
+        defaults = {
+            "analyzer_ord": ANALYZER_ORD[self.analyzer],
+            "emit_seq": 0,
+            "emit_idx": 0,
+            "source": "rule_engine" if self.analyzer == "information_loss" else self.analyzer,
+            "rule_id": self.rule_id,
+            "rule_version": RULE_VERSION,
+            "category": self.category,
+            "severity": "high",
+            "value": "FAIL",
+            "confidence": 1.0,
+            "rule_description": self.fields.get("description"),
+        }
+        return self.fields.get(name, defaults.get(name))
+
+
+def emit(df: DataFrame, findings: Sequence[Finding]) -> DataFrame:
+    """Evidence rows of all findings that apply to each row of ``df``.
+
+    Only the numbers of the applying findings are exploded; the columns are looked
+    up afterwards.  That keeps the generated code small with any number of rules.
+    """
+    numbers = F.array_compact(F.array(*(F.when(f.applies, F.lit(i)) for i, f in enumerate(findings))))
+    hits = df.withColumn("_hit", F.explode(numbers))
+
+    def column(name: str, kind: str) -> Column:
+        values = [f.column(name) for f in findings]
+        if all(not isinstance(v, Column) and v == values[0] for v in values):
+            return F.lit(values[0]).cast(kind)
+        choices: dict = {}
+        for i, value in enumerate(values):
+            key = id(value) if isinstance(value, Column) else value
+            choices.setdefault(key, (value, []))[1].append(i)
+        cases = [
+            F.when(F.col("_hit").isin(*at), (v if isinstance(v, Column) else F.lit(v)).cast(kind))
+            for v, at in choices.values()
+            if v is not None
+        ]
+        return F.coalesce(*cases)
 
-def _emit(df: DataFrame, *findings: Column) -> DataFrame:
-    """The findings that apply (non-null) as rows."""
-    hits = F.filter(F.array(*findings), lambda f: f.isNotNull())
-    return df.select(F.explode(hits).alias("f")).select("f.*")
+    return hits.select("run_id", *(column(c, t).alias(c) for c, t in schema.EVIDENCE_COLUMNS if c != "run_id"))
 
 
 # ------------------------------------------------------------------ tool calls
@@ -83,29 +97,34 @@ def tool_evidence(steps: DataFrame) -> DataFrame:
     failed = call["has_error"] | text.contains(ERROR_MARKS[0]) | text.contains(ERROR_MARKS[1])
     silent = ~call["has_output"] & ~call["has_error"]
     name = F.coalesce(call["name"], F.lit("None"))
-    common = {"step": F.col("step"), "seq": F.col("pos"), "idx": F.col("idx")}
-    missing = finding(
-        "rule_engine",
-        "missing_tool_output_v1",
-        "execution",
-        F.col("agent"),
-        F.concat(F.lit("Agent '"), "agent", F.lit("' called tool '"), name, F.lit("' but no output was recorded.")),
-        **common,
-    )
-    failure = finding(
-        "rule_engine",
-        "tool_failure_v1",
-        "execution",
-        F.col("agent"),
-        F.concat(F.lit("Tool '"), name, F.lit("' returned an error.")),
-        **common,
-    )
+    where = {"step": F.col("step"), "emit_seq": F.col("pos"), "emit_idx": F.col("idx"), "agent": F.col("agent")}
     calls = steps.where(F.size("tool_calls") > 0).select(
         "run_id", "pos", "step", "agent", F.posexplode("tool_calls").alias("idx", "call")
     )
-    # a call is either silent or failed, so at most one rule applies to it
-    hits = calls.where(silent | failed)
-    return hits.select(F.when(silent, missing).otherwise(failure).alias("f")).select("f.*")
+    return emit(
+        calls,
+        [
+            Finding(
+                silent,
+                "rule_engine",
+                "missing_tool_output_v1",
+                "execution",
+                where
+                | {
+                    "description": F.concat(
+                        F.lit("Agent '"), "agent", F.lit("' called tool '"), name, F.lit("' but no output was recorded.")
+                    )
+                },
+            ),
+            Finding(
+                failed,
+                "rule_engine",
+                "tool_failure_v1",
+                "execution",
+                where | {"description": F.concat(F.lit("Tool '"), name, F.lit("' returned an error."))},
+            ),
+        ],
+    )
 
 
 # ------------------------------------------------------------- run-level rules
@@ -145,191 +164,211 @@ def profile(steps: DataFrame, extracted: DataFrame | None = None, config: Config
     )
 
 
-def counts_evidence(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def counts_findings(config: Config = DEFAULT) -> list[Finding]:
     """Rules over the last counts of upstream, downstream and checker."""
     up, down, check = (~F.col(f"{p}_failed") for p in ("up", "down", "check"))
     gain = F.col("down_entities") - F.col("up_entities")
     limit = config.entity_gain_threshold
     sources = F.col("up_sources")
-    low = finding(
-        "rule_engine",
-        "researcher_quality_v1",
-        "reasoning",
-        F.lit(config.upstream),
-        F.concat(
-            F.lit("Researcher source count ("), sources.cast("string"),
-            F.lit(f") below threshold ({config.min_sources})."),
+    return [
+        Finding(
+            up & (sources < config.min_sources),
+            "rule_engine",
+            "researcher_quality_v1",
+            "reasoning",
+            {
+                "agent": config.upstream,
+                "step": F.col("up_step"),
+                "description": F.concat(
+                    F.lit("Researcher source count ("), sources.cast("string"),
+                    F.lit(f") below threshold ({config.min_sources})."),
+                ),
+            },
         ),
-        step=F.col("up_step"),
-    )
-    invented = finding(
-        "rule_engine",
-        "hallucination_v1",
-        "reasoning",
-        F.lit(config.downstream),
-        F.concat(F.lit("Writer hallucinated entities (gain of "), gain.cast("string"), F.lit(").")),
-        step=F.col("down_step"),
-    )
-    passed_on = finding(
-        "rule_engine",
-        "verifier_passthrough_v1",
-        "verification",
-        F.lit(config.checker),
-        F.lit("Verifier passed through hallucinated entities unchallenged."),
-        step=F.col("check_step"),
-    )
-    # with unusable upstream counts the gain is taken as 0
-    known_gain = F.when(F.coalesce(up, F.lit(False)), gain).otherwise(F.lit(0))
-    return _emit(
-        runs,
-        F.when(up & (sources < config.min_sources), low),
-        F.when(up & down & (gain > limit), invented),
-        F.when(
-            down & check & (F.col("down_entities") == F.col("check_entities")) & (known_gain > limit), passed_on
+        Finding(
+            up & down & (gain > limit),
+            "rule_engine",
+            "hallucination_v1",
+            "reasoning",
+            {
+                "agent": config.downstream,
+                "step": F.col("down_step"),
+                "description": F.concat(
+                    F.lit("Writer hallucinated entities (gain of "), gain.cast("string"), F.lit(").")
+                ),
+            },
         ),
-    )
+        Finding(
+            # with unusable upstream counts the gain is taken as 0
+            down
+            & check
+            & (F.col("down_entities") == F.col("check_entities"))
+            & (F.when(F.coalesce(up, F.lit(False)), gain).otherwise(F.lit(0)) > limit),
+            "rule_engine",
+            "verifier_passthrough_v1",
+            "verification",
+            {
+                "agent": config.checker,
+                "step": F.col("check_step"),
+                "description": "Verifier passed through hallucinated entities unchallenged.",
+            },
+        ),
+    ]
 
 
-def workflow_evidence(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def workflow_findings(config: Config = DEFAULT) -> list[Finding]:
     """Required agents that never ran, and neighbours that ran in reverse order."""
     required = config.required_agents
     skipped = [
-        F.when(
+        Finding(
             F.col(f"first_{i}").isNull(),
-            finding(
-                "workflow_validator",
-                "skipped_step_v1",
-                "workflow",
-                F.lit(name),
-                F.lit(f"Required agent '{name}' is missing from the trace."),
-                seq=F.lit(i),
-            ),
+            "workflow_validator",
+            "skipped_step_v1",
+            "workflow",
+            {
+                "agent": name,
+                "emit_seq": i,
+                "description": f"Required agent '{name}' is missing from the trace.",
+            },
         )
         for i, name in enumerate(required)
     ]
     reversed_pairs = [
-        F.when(
+        Finding(
             F.col(f"first_{i + 1}") < F.col(f"first_{i}"),
-            finding(
-                "workflow_validator",
-                "wrong_order_v1",
-                "workflow",
-                F.lit(later),
-                F.lit(f"Agent '{later}' executed before '{earlier}'."),
-                step=F.col(f"first_{i + 1}") + 1,
-                seq=F.lit(i),
-            ),
+            "workflow_validator",
+            "wrong_order_v1",
+            "workflow",
+            {
+                "agent": later,
+                "step": F.col(f"first_{i + 1}") + 1,
+                "emit_seq": i,
+                "description": f"Agent '{later}' executed before '{earlier}'.",
+            },
         )
         for i, (earlier, later) in enumerate(zip(required, required[1:]))
     ]
-    return _emit(runs, *skipped, *reversed_pairs)
+    return skipped + reversed_pairs
 
 
 # ------------------------------------------------------------ information loss
 
 
-def information_loss(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Upstream against downstream counts of every run that has both roles."""
-    failed = F.col("up_failed") | F.col("down_failed")
+def _loss_verdict(config: Config) -> Column:
+    """FAIL for a severe drop, WARNING for a small drop or a notable gain, else PASS."""
+    deltas = [F.col(f"down_{s}") - F.col(f"up_{s}") for s in ("sources", "entities")]
 
-    def signal(delta: Column) -> Column:
-        return F.when(delta < 0, F.lit("DROPPED")).when(delta > 0, F.lit("ADDED")).otherwise(F.lit("PRESERVED"))
+    def either(test) -> Column:
+        return test(deltas[0]) | test(deltas[1])
+
+    return (
+        F.when(F.col("up_failed") | F.col("down_failed"), F.lit("PASS"))
+        # a delta between 0 and the moderate limit would be a drop all the same
+        .when(either(lambda d: (d < 0) & (d <= -config.severe_delta)), F.lit("FAIL"))
+        .when(either(lambda d: (d < 0) | ((d > 0) & (d >= config.moderate_delta))), F.lit("WARNING"))
+        .otherwise(F.lit("PASS"))
+    )
 
-    def severity(delta: Column) -> Column:
-        size = F.abs(delta)
-        return (
-            F.when(size == 0, F.lit("NONE"))
-            .when(size >= config.severe_delta, F.lit("HIGH"))
-            .when(size >= config.moderate_delta, F.lit("MEDIUM"))
-            .otherwise(F.lit("LOW"))
-        )
 
-    def part(name: str, short: str) -> Column:
-        up, down, delta = F.col(f"up_{short}"), F.col(f"down_{short}"), F.col(f"{short}_delta")
-        sig = F.col(f"{short}_signal")
+def _loss_confidence(verdict: Column) -> Column:
+    """Grows with the mean relative change; 4 decimals."""
+    ratios = [
+        F.abs(F.col(f"down_{s}") - F.col(f"up_{s}")) / F.greatest(F.col(f"up_{s}"), F.lit(1))
+        for s in ("sources", "entities")
+    ]
+    # Base, slope and upper bound per verdict.
+    fail = verdict == "FAIL"
+    base = F.when(fail, F.lit(0.80)).otherwise(F.lit(0.60))
+    slope = F.when(fail, F.lit(0.19)).otherwise(F.lit(0.24))
+    top = F.when(fail, F.lit(0.99)).otherwise(F.lit(0.84))
+    return F.round(F.least(top, base + (ratios[0] + ratios[1]) / 2.0 * slope), 4)
+
+
+def _loss_summary(verdict: Column, config: Config) -> Column:
+    def line(name: str, s: str) -> Column:
+        up, down = F.col(f"up_{s}"), F.col(f"down_{s}")
+        delta = down - up
         size = F.abs(delta).cast("string")
-        change = F.when(sig == "PRESERVED", F.lit("(PRESERVED)")).otherwise(
-            F.concat(F.lit("("), sig, F.lit(" "), size, F.lit(", severity="), F.col(f"{short}_severity"), F.lit(")"))
+        change = F.when(delta == 0, F.lit("(PRESERVED)")).otherwise(
+            F.concat(F.lit("("), _signal(delta), F.lit(" "), size, F.lit(", severity="), _severity(delta, config), F.lit(")"))
         )
         return F.concat(F.lit(f"  {name}: "), up.cast("string"), F.lit(" → "), down.cast("string"), F.lit(" "), change)
 
-    df = runs.where(F.col("up_failed").isNotNull() & F.col("down_failed").isNotNull())
-    for short in ("sources", "entities"):
-        delta = F.col(f"down_{short}") - F.col(f"up_{short}")
-        df = df.withColumn(f"{short}_delta", delta)
-        df = df.withColumns(
-            {f"{short}_signal": signal(F.col(f"{short}_delta")), f"{short}_severity": severity(F.col(f"{short}_delta"))}
-        )
+    return F.concat_ws(
+        "\n", F.concat(F.lit("Verdict: "), verdict), line("source_count", "sources"), line("entity_count", "entities")
+    )
 
-    def any_field(test) -> Column:
-        return test("sources") | test("entities")
 
-    dropped = any_field(lambda s: F.col(f"{s}_signal") == "DROPPED")
-    added = any_field(lambda s: F.col(f"{s}_signal") == "ADDED")
-    severe_drop = any_field(lambda s: (F.col(f"{s}_signal") == "DROPPED") & (F.col(f"{s}_severity") == "HIGH"))
-    notable_gain = any_field(
-        lambda s: (F.col(f"{s}_signal") == "ADDED") & F.col(f"{s}_severity").isin("HIGH", "MEDIUM")
-    )
-    df = df.withColumn(
-        "verdict",
-        F.when(failed, F.lit("PASS"))
-        .when(severe_drop, F.lit("FAIL"))
-        .when(dropped | notable_gain, F.lit("WARNING"))
-        .otherwise(F.lit("PASS")),
+def _signal(delta: Column) -> Column:
+    return F.when(delta < 0, F.lit("DROPPED")).when(delta > 0, F.lit("ADDED")).otherwise(F.lit("PRESERVED"))
+
+
+def _severity(delta: Column, config: Config) -> Column:
+    size = F.abs(delta)
+    return (
+        F.when(size == 0, F.lit("NONE"))
+        .when(size >= config.severe_delta, F.lit("HIGH"))
+        .when(size >= config.moderate_delta, F.lit("MEDIUM"))
+        .otherwise(F.lit("LOW"))
     )
-    ratios = [F.abs(f"{s}_delta") / F.greatest(F.col(f"up_{s}"), F.lit(1)) for s in ("sources", "entities")]
-    mean = (ratios[0] + ratios[1]) / 2.0
-
-    # Base, slope and bounds of the confidence per verdict.
-    def scaled(base: float, slope: float, top: float) -> Column:
-        return F.round(F.least(F.lit(top), F.greatest(F.lit(base), F.lit(base) + mean * slope)), 4)
-
-    confidence = (
-        F.when(failed, F.lit(0.0))
-        .when(F.col("verdict") == "FAIL", scaled(0.80, 0.19, 0.99))
-        .when(F.col("verdict") == "WARNING", scaled(0.60, 0.24, 0.84))
-        .otherwise(F.lit(1.0))
+
+
+def information_loss(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Upstream against downstream counts of every run that has both roles."""
+    failed = F.col("up_failed") | F.col("down_failed")
+    verdict = F.col("verdict")
+    known: dict[str, Column] = {}
+    for s in ("sources", "entities"):
+        delta = F.col(f"down_{s}") - F.col(f"up_{s}")
+        known |= {
+            f"up_{s}": F.col(f"up_{s}"),
+            f"down_{s}": F.col(f"down_{s}"),
+            f"{s}_delta": delta,
+            f"{s}_signal": _signal(delta),
+            f"{s}_severity": _severity(delta, config),
+        }
+    drops, gains = (
+        (F.col("down_sources") < F.col("up_sources")) | (F.col("down_entities") < F.col("up_entities")),
+        (F.col("down_sources") > F.col("up_sources")) | (F.col("down_entities") > F.col("up_entities")),
     )
 
     def flag_text(column: str) -> Column:
         return F.initcap(F.col(column).cast("string"))
 
-    return df.select(
-        "run_id",
-        F.lit("information_loss_v1").alias("rule_id"),
-        F.lit("workflow").alias("rule_category"),
-        *(F.when(~failed, F.col(c)).alias(c) for c in (
-            "up_sources", "down_sources", "sources_delta", "sources_signal", "sources_severity",
-            "up_entities", "down_entities", "entities_delta", "entities_signal", "entities_severity",
-        )),
-        "verdict",
-        confidence.alias("confidence"),
-        F.when(failed, F.lit("Rule skipped — evidence extraction failed on one or both steps."))
-        .otherwise(
-            F.concat_ws(
-                "\n",
-                F.concat(F.lit("Verdict: "), "verdict"),
-                part("source_count", "sources"),
-                part("entity_count", "entities"),
-            )
+    both = F.col("up_failed").isNotNull() & F.col("down_failed").isNotNull()
+    return (
+        runs.where(both)
+        .withColumn("verdict", _loss_verdict(config))
+        .select(
+            "run_id",
+            F.lit(LOSS_RULE).alias("rule_id"),
+            F.lit("workflow").alias("rule_category"),
+            *(F.when(~failed, c).alias(name) for name, c in known.items()),
+            "verdict",
+            F.when(failed, F.lit(0.0))
+            .when(verdict == "PASS", F.lit(1.0))
+            .otherwise(_loss_confidence(verdict))
+            .alias("confidence"),
+            F.when(failed, F.lit("Rule skipped — evidence extraction failed on one or both steps."))
+            .otherwise(_loss_summary(verdict, config))
+            .alias("summary"),
+            (~failed & drops).alias("has_information_loss"),
+            (~failed & gains).alias("has_information_gain"),
+            failed.alias("rule_failed"),
+            F.when(
+                failed,
+                F.concat(
+                    F.lit("Researcher extraction_failed="), flag_text("up_failed"),
+                    F.lit(", Writer extraction_failed="), flag_text("down_failed"),
+                ),
+            ).alias("error_message"),
+            F.lit(schema.SCHEMA_VERSION).alias("schema_version"),
         )
-        .alias("summary"),
-        (~failed & dropped).alias("has_information_loss"),
-        (~failed & added).alias("has_information_gain"),
-        failed.alias("rule_failed"),
-        F.when(
-            failed,
-            F.concat(
-                F.lit("Researcher extraction_failed="), flag_text("up_failed"),
-                F.lit(", Writer extraction_failed="), flag_text("down_failed"),
-            ),
-        ).alias("error_message"),
-        F.lit(schema.SCHEMA_VERSION).alias("schema_version"),
     )
 
 
-def loss_evidence(loss: DataFrame) -> DataFrame:
-    """Loss and gain verdicts as evidence, always against the downstream agent.
+def loss_findings(config: Config = DEFAULT) -> list[Finding]:
+    """Loss and gain verdicts as evidence, always against the writer.
 
     A small drop is a WARNING and carries the gain wording; that is intended.
     """
@@ -337,35 +376,38 @@ def loss_evidence(loss: DataFrame) -> DataFrame:
         F.lit("source: "), F.col("up_sources").cast("string"), F.lit("→"), F.col("down_sources").cast("string"),
         F.lit(", entity: "), F.col("up_entities").cast("string"), F.lit("→"), F.col("down_entities").cast("string"),
     )
-    common = {
-        "source": "rule_engine",
-        "value": F.col("verdict"),
-        "confidence": F.col("confidence"),
-        "detail": F.col("summary"),
-    }
-    agent = F.lit("writer")
-    fail = finding(
-        "information_loss", F.col("rule_id"), "workflow", agent,
-        F.concat(
-            F.lit("Information loss detected: sources or entities were dropped in the Researcher → Writer handoff. "),
-            moved,
+    # Category, severity and wording of the two outcomes.
+    outcomes = {
+        "FAIL": (
+            "workflow",
+            "high",
+            "Information loss detected: sources or entities were dropped in the Researcher → Writer handoff. ",
         ),
-        **common,
-    )
-    warning = finding(
-        "information_loss", F.col("rule_id"), "reasoning", agent,
-        F.concat(
-            F.lit(
-                "Information gain detected: Writer introduced sources or entities "
-                "not present in research findings (hallucination risk). "
-            ),
-            moved,
+        "WARNING": (
+            "reasoning",
+            "medium",
+            "Information gain detected: Writer introduced sources or entities "
+            "not present in research findings (hallucination risk). ",
         ),
-        severity="medium",
-        **common,
-    )
-    hits = loss.where(~F.col("rule_failed") & (F.col("verdict") != "PASS"))
-    return hits.select(F.when(F.col("verdict") == "FAIL", fail).otherwise(warning).alias("f")).select("f.*")
+    }
+    return [
+        Finding(
+            # null when a role is missing, so the rule then does not apply
+            _loss_verdict(config) == verdict,
+            "information_loss",
+            LOSS_RULE,
+            category,
+            {
+                "agent": "writer",
+                "severity": severity,
+                "value": verdict,
+                "confidence": _loss_confidence(F.lit(verdict)),
+                "description": F.concat(F.lit(words), moved),
+                "evidence_detail": _loss_summary(F.lit(verdict), config),
+            },
+        )
+        for verdict, (category, severity, words) in outcomes.items()
+    ]
 
 
 # ---------------------------------------------------------------- ground truth
@@ -396,24 +438,27 @@ def ground_truth(runs: DataFrame, finals: DataFrame, config: Config = DEFAULT, a
 
 
 def ground_truth_evidence(compared: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    mismatch = finding(
+    similarity = F.col("similarity")
+    limit = config.ground_truth_similarity
+    mismatch = Finding(
+        similarity < limit,
         "ground_truth",
         "gt_mismatch_v1",
         "reasoning",
-        F.col("agent"),
-        F.lit("Ground truth mismatch detected."),
-        severity="critical",
-        confidence=1.0 - F.col("similarity"),
-        rule_description=F.format_string(
-            "Pipeline final output diverged from expected output. Similarity: %.2f (Threshold: %.2f)",
-            F.col("similarity"),
-            F.lit(config.ground_truth_similarity),
-        ),
-        detail=F.concat(F.lit("Expected:\n"), "expected_output", F.lit("\n\nActual:\n"), "actual_output"),
+        {
+            "agent": F.col("agent"),
+            "severity": "critical",
+            "confidence": 1.0 - similarity,
+            "description": "Ground truth mismatch detected.",
+            "rule_description": F.format_string(
+                "Pipeline final output diverged from expected output. Similarity: %.2f (Threshold: %.2f)",
+                similarity,
+                F.lit(limit),
+            ),
+            "evidence_detail": F.concat(F.lit("Expected:\n"), "expected_output", F.lit("\n\nActual:\n"), "actual_output"),
+        },
     )
-    return compared.where(F.col("similarity") < config.ground_truth_similarity).select(
-        mismatch.alias("f")
-    ).select("f.*")
+    return emit(compared, [mismatch])
 
 
 # --------------------------------------------------------------------- status

@@ -39,22 +39,28 @@ class TraceFrames:
 Analyzer = Callable[[TraceFrames], DataFrame]
 
 
-def rule_engine(frames: TraceFrames) -> DataFrame:
-    tools = rules.tool_evidence(frames.steps)
-    if frames.extracted is None:
-        return tools
-    return tools.unionByName(rules.counts_evidence(frames.profile, frames.config))
+@dataclass(frozen=True)
+class ProfileAnalyzer:
+    """An analyzer whose rules all read the one-row-per-run profile.
+
+    It works alone like any analyzer; used together, all of them share one pass.
+    """
 
+    findings: Callable[[Config], list[rules.Finding]]
+    needs_counts: bool = False
 
-def workflow_validator(frames: TraceFrames) -> DataFrame:
-    return rules.workflow_evidence(frames.profile, frames.config)
+    def applies_to(self, frames: TraceFrames) -> bool:
+        return frames.extracted is not None or not self.needs_counts
 
+    def __call__(self, frames: TraceFrames) -> DataFrame:
+        found = self.findings(frames.config) if self.applies_to(frames) else []
+        if not found:
+            return frames.runs.sparkSession.createDataFrame([], schema.ddl(schema.EVIDENCE_COLUMNS))
+        return rules.emit(frames.profile, found)
 
-def information_loss(frames: TraceFrames) -> DataFrame:
-    loss = frames.loss
-    if loss is None:
-        return frames.runs.sparkSession.createDataFrame([], schema.ddl(schema.EVIDENCE_COLUMNS))
-    return rules.loss_evidence(loss)
+
+def tool_calls(frames: TraceFrames) -> DataFrame:
+    return rules.tool_evidence(frames.steps)
 
 
 def ground_truth_validator(frames: TraceFrames) -> DataFrame:
@@ -63,17 +69,29 @@ def ground_truth_validator(frames: TraceFrames) -> DataFrame:
 
 
 DEFAULT_ANALYZERS: dict[str, Analyzer] = {
-    "rule_engine": rule_engine,
-    "information_loss": information_loss,
-    "workflow_validator": workflow_validator,
+    "tool_calls": tool_calls,
+    "counts": ProfileAnalyzer(rules.counts_findings, needs_counts=True),
+    "information_loss": ProfileAnalyzer(rules.loss_findings, needs_counts=True),
+    "workflow": ProfileAnalyzer(rules.workflow_findings),
 }
-ALL_ANALYZERS: dict[str, Analyzer] = {"ground_truth_validator": ground_truth_validator, **DEFAULT_ANALYZERS}
+ALL_ANALYZERS: dict[str, Analyzer] = {"ground_truth": ground_truth_validator, **DEFAULT_ANALYZERS}
 
 
 def collect_evidence(frames: TraceFrames, analyzers: dict[str, Analyzer] = ALL_ANALYZERS) -> DataFrame:
-    """Findings of all analyzers.  Own analyzers are added as further entries."""
+    """Findings of all analyzers.  Own analyzers are added as further entries.
+
+    Rules over the run profile are evaluated together, so the steps are condensed
+    once however many such rules there are.
+    """
     columns = [c for c, _ in schema.EVIDENCE_COLUMNS]
-    return reduce(DataFrame.unionByName, (a(frames).select(*columns) for a in analyzers.values()))
+    on_profile = [
+        a for a in analyzers.values() if isinstance(a, ProfileAnalyzer) and a.applies_to(frames)
+    ]
+    parts = [a(frames) for a in analyzers.values() if not isinstance(a, ProfileAnalyzer)]
+    if on_profile:
+        together = [f for a in on_profile for f in a.findings(frames.config)]
+        parts.append(rules.emit(frames.profile, together))
+    return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
 
 
 def analyze(frames: TraceFrames, analyzers: dict[str, Analyzer] = ALL_ANALYZERS) -> DataFrame:
@@ -95,7 +113,7 @@ def loss_analysis(frames: TraceFrames) -> DataFrame:
     both = frames.profile.select(
         "run_id", (F.col("up_failed").isNotNull() & F.col("down_failed").isNotNull()).alias("both")
     )
-    evidence = information_loss(frames)
+    evidence = DEFAULT_ANALYZERS["information_loss"](frames)
     judged = frames.runs.select("run_id").join(both, "run_id", "left")
     complete = F.coalesce("both", F.lit(False))
     verdicts = arbiter.resolve(judged.where(complete), evidence)

@@ -157,13 +157,13 @@ def _profile(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
 
 
 def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.counts_evidence(_profile(spark, sf_dir, Config()))
+    found = rules.emit(_profile(spark, sf_dir, Config()), rules.counts_findings())
     return found.select("run_id", "rule_id", "category", "agent", "step", "description")
 
 
 def _workflow(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     profile = rules.profile(activity.ranked_event_steps(spark, sf_dir))
-    found = rules.workflow_evidence(profile).where(F.col("rule_id") == rule)
+    found = rules.emit(profile, rules.workflow_findings()).where(F.col("rule_id") == rule)
     return found.select("run_id", "rule_id", "category", "agent", "step", "description", "emit_seq")
 
 
@@ -177,7 +177,7 @@ def wrong_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = rules.profile(activity.conversation_steps(spark, sf_dir), config=TALK)
-    return rules.workflow_evidence(profile, TALK).select("run_id", "rule_id", "agent", "step", "description")
+    return rules.emit(profile, rules.workflow_findings(TALK)).select("run_id", "rule_id", "agent", "step", "description")
 
 
 def information_loss(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,15 +182,15 @@ lab AS (
     CASE WHEN toxic = 1 OR quality = 0 THEN 'researcher' END AS expected_agent
   FROM labels),
 facts AS (
-  SELECT lab.*, d.doc_id IS NOT NULL AND length(d.text) % 7 = 0 AS silent,
+  SELECT lab.*, d.doc_id IS NOT NULL AND length(d.text) % 7 = 0 AS failing,
     d.doc_id IS NOT NULL AND NOT regexp_matches(d.text, '[0-9]') AS poor
   FROM lab LEFT JOIN documents d USING (doc_id)),
 found AS (
-  SELECT run_id, category, expected_agent, silent::INT + poor::INT AS findings,
-    (category = 'execution_failure' AND silent) OR (category = 'reasoning_failure' AND poor) AS hit,
-    CASE WHEN silent THEN 'execution' WHEN poor THEN 'reasoning' ELSE 'unknown' END AS cause,
-    CASE WHEN silent OR poor THEN 'P2' ELSE 'P5' END AS level,
-    CASE WHEN silent OR poor THEN 'researcher' END AS blamed
+  SELECT run_id, category, expected_agent, failing::INT + poor::INT AS findings,
+    (category = 'execution_failure' AND failing) OR (category = 'reasoning_failure' AND poor) AS hit,
+    CASE WHEN poor THEN 'reasoning' WHEN failing THEN 'execution' ELSE 'unknown' END AS cause,
+    CASE WHEN failing OR poor THEN 'P2' ELSE 'P5' END AS level,
+    CASE WHEN failing OR poor THEN 'researcher' END AS blamed
   FROM facts)
 """
 
