@@ -20,6 +20,11 @@ EMPTY_TEXTS = ("null", '""', "[]", "{}", "false")
 ZERO = r"^-?0(\.0+)?([eE][+-]?[0-9]+)?$"
 
 
+def quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def safe_loads(text: Column) -> Column:
     """VARIANT of a JSON object or array; any other text stays a string."""
     trimmed = strip(text)

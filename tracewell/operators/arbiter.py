@@ -8,11 +8,11 @@ finding, so that it stays whole for runs with any number of findings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import schema
-from tracewell.functions import text
+from tracewell.functions.values import quoted
 from tracewell.operators.ranking import dense_position
 
 # Priority of each evidence source; unlisted sources are P5.
@@ -38,18 +38,18 @@ UNMATCHED_REASON = "No P2 rule matched — P5 fallback."  # fixed value
 _ORDER_BITS = 20  # findings of one rule and run that may share a task: 2^20
 
 
-def _lookup(column: str, table: dict[str, int], default: int) -> Column:
-    return F.coalesce(*(F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()), F.lit(default))
+def _priority(table: dict[str, int]) -> str:
+    cases = " ".join(f"WHEN {quoted(source)} THEN {rank}" for source, rank in table.items())
+    return f"CASE source {cases} ELSE 5 END"
 
 
 def rank_evidence(evidence: DataFrame) -> DataFrame:
     """Add priority ``rank``, deciding rank ``eff_rank`` and ``tiebreak``."""
-    return evidence.withColumns(
-        {
-            "rank": _lookup("source", SOURCE_PRIORITY, 5),
-            "eff_rank": _lookup("source", {s: r for s, (r, _) in DECIDING.items()}, 5),
-            "tiebreak": F.when(F.coalesce("rule_id", F.lit("")) == "", F.lit(NO_RULE_LAST)).otherwise(F.col("rule_id")),
-        }
+    return evidence.selectExpr(
+        "*",
+        f"{_priority(SOURCE_PRIORITY)} AS rank",
+        f"{_priority({s: r for s, (r, _) in DECIDING.items()})} AS eff_rank",
+        f"IF(coalesce(rule_id, '') = '', '{NO_RULE_LAST}', rule_id) AS tiebreak",
     )
 
 
@@ -72,57 +72,39 @@ def ordered_evidence(evidence: DataFrame) -> DataFrame:
 
 def resolve(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Verdict of every run in ``runs``; runs without findings fall back to P5."""
-    ranked = rank_evidence(evidence)
-    order = ("tiebreak", "analyzer_ord", "emit_seq", "emit_idx")
-    has_rule = F.col("rule_id").isNotNull()
-    best = ranked.groupBy("run_id").agg(
-        F.min_by(
-            F.struct("source", "eff_rank", "rule_id", "category", "agent", "confidence"),
-            F.struct("eff_rank", *order),
-        ).alias("best"),
+    order = "tiebreak, analyzer_ord, emit_seq, emit_idx"
+    aggregates = (
+        "min_by(struct(source, eff_rank, rule_id, category, agent, confidence), "
+        f"struct(eff_rank, {order})) AS best",
         # the first rule of the bundle order, which explanations quote
-        F.min_by("rule_id", F.when(has_rule, F.struct("rank", *order))).alias("first_rule"),
-        F.count("*").alias("evidence_count"),
-        F.count("rule_id").alias("rule_count"),
-        F.max(F.col("source") == "ground_truth").alias("grounded"),
-    )
-    rank = F.coalesce("best.eff_rank", F.lit(5))
-    decided = rank < 5
-    level = F.concat(F.lit("P"), rank.cast("string"))
-    cause = F.when(~decided, F.lit("unknown")).when(rank == 3, F.lit("workflow")).otherwise(
-        F.coalesce("best.category", F.lit("unknown"))
-    )
-    wording = F.coalesce(*(F.when(rank == r, F.lit(words)) for r, words in DECIDING.values()))
-    reason = (
-        F.when(F.col("best").isNull(), F.lit(NO_EVIDENCE_REASON))
-        .when(~decided, F.lit(UNMATCHED_REASON))
-        .otherwise(
-            F.concat(
-                wording,
-                F.coalesce("best.rule_id", F.lit("unknown")),
-                F.lit(" (confidence="),
-                text.percent(F.col("best.confidence")),
-                F.lit(")"),
-            )
-        )
+        f"min_by(rule_id, struct(rank, {order})) FILTER (WHERE rule_id IS NOT NULL) AS first_rule",
+        "count(*) AS evidence_count",
+        "count(rule_id) AS rule_count",
+        "max(source = 'ground_truth') AS grounded",
     )
-    zero = F.lit(0).cast("bigint")
+    best = rank_evidence(evidence).groupBy("run_id").agg(*(F.expr(e) for e in aggregates))
+    decided = "coalesce(best.eff_rank < 5, false)"
+    wording = " ".join(f"WHEN {rank} THEN {quoted(words)}" for rank, words in DECIDING.values())
     return (
         runs.select("run_id")
         .join(best, "run_id", "left")
-        .select(
+        .selectExpr(
             "run_id",
-            cause.alias("primary_cause"),
-            level.alias("priority_level"),
-            F.coalesce("grounded", F.lit(False)).alias("grounded"),
-            F.when(decided, F.col("best.agent")).alias("primary_agent"),
-            reason.alias("summary"),
-            F.when(decided, F.col("best.rule_id")).alias("deciding_rule"),
-            F.when(decided, F.col("best.confidence")).alias("confidence"),
+            f"CASE WHEN NOT {decided} THEN 'unknown' WHEN best.eff_rank = 3 THEN 'workflow' "
+            "ELSE coalesce(best.category, 'unknown') END AS primary_cause",
+            "concat('P', coalesce(best.eff_rank, 5)) AS priority_level",
+            "coalesce(grounded, false) AS grounded",
+            f"IF({decided}, best.agent, NULL) AS primary_agent",
+            f"CASE WHEN best IS NULL THEN {quoted(NO_EVIDENCE_REASON)} "
+            f"WHEN NOT {decided} THEN {quoted(UNMATCHED_REASON)} "
+            f"ELSE concat(CASE best.eff_rank {wording} END, coalesce(best.rule_id, 'unknown'), "
+            "' (confidence=', CAST(bround(best.confidence * 100, 0) AS BIGINT), '%)') END AS summary",
+            f"IF({decided}, best.rule_id, NULL) AS deciding_rule",
+            f"IF({decided}, best.confidence, NULL) AS confidence",
             "first_rule",
-            F.coalesce("evidence_count", zero).alias("evidence_count"),
-            F.coalesce("rule_count", zero).alias("rule_count"),
-            F.lit(schema.SCHEMA_VERSION).alias("schema_version"),
+            "coalesce(evidence_count, 0L) AS evidence_count",
+            "coalesce(rule_count, 0L) AS rule_count",
+            f"'{schema.SCHEMA_VERSION}' AS schema_version",
         )
     )
 

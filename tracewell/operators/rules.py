@@ -11,15 +11,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.config import DEFAULT, Config
 from tracewell.functions.similarity import sequence_ratio
+from tracewell.functions.values import quoted
 
 # Order in which analyzers are consulted on ties.
 ANALYZER_ORD = {"ground_truth": 1, "rule_engine": 2, "information_loss": 3, "workflow_validator": 4}
+SOURCE_OF = {"information_loss": "rule_engine"}
 RULE_VERSION = "1.0.0"
 LOSS_RULE = "information_loss_v1"
 # What marks the text of a tool's output as a failure.
@@ -34,30 +36,31 @@ NO_STEPS_PRESENT = "No steps present in trace."
 class Finding:
     """A rule: when it applies, and the evidence columns it fills in.
 
-    ``fields`` maps evidence columns to values; absent ones take the default below.
+    ``applies`` and the values of ``fields`` are SQL expressions over the row the
+    rule looks at; evidence columns without a value take the default below.
     """
 
-    applies: Column
+    applies: str
     analyzer: str
     rule_id: str
     category: str
-    fields: Mapping[str, Column | str | int | float] = field(default_factory=dict)
+    fields: Mapping[str, str] = field(default_factory=dict)
 
-    def column(self, name: str) -> Column | str | int | float | None:
+    def value(self, column: str) -> str:
         defaults = {
-            "analyzer_ord": ANALYZER_ORD[self.analyzer],
-            "emit_seq": 0,
-            "emit_idx": 0,
-            "source": "rule_engine" if self.analyzer == "information_loss" else self.analyzer,
-            "rule_id": self.rule_id,
-            "rule_version": RULE_VERSION,
-            "category": self.category,
-            "severity": "high",
-            "value": "FAIL",
-            "confidence": 1.0,
-            "rule_description": self.fields.get("description"),
+            "analyzer_ord": str(ANALYZER_ORD[self.analyzer]),
+            "emit_seq": "0",
+            "emit_idx": "0",
+            "source": quoted(SOURCE_OF.get(self.analyzer, self.analyzer)),
+            "rule_id": quoted(self.rule_id),
+            "rule_version": quoted(RULE_VERSION),
+            "category": quoted(self.category),
+            "severity": "'high'",
+            "rule_description": self.fields.get("description", "NULL"),
+            "value": "'FAIL'",
+            "confidence": "1.0D",
         }
-        return self.fields.get(name, defaults.get(name))
+        return self.fields.get(column, defaults.get(column, "NULL"))
 
 
 def emit(df: DataFrame, findings: Sequence[Finding]) -> DataFrame:
@@ -66,25 +69,22 @@ def emit(df: DataFrame, findings: Sequence[Finding]) -> DataFrame:
     Only the numbers of the applying findings are exploded; the columns are looked
     up afterwards.  That keeps the generated code small with any number of rules.
     """
-    numbers = F.array_compact(F.array(*(F.when(f.applies, F.lit(i)) for i, f in enumerate(findings))))
-    hits = df.withColumn("_hit", F.explode(numbers))
-
-    def column(name: str, kind: str) -> Column:
-        values = [f.column(name) for f in findings]
-        if all(not isinstance(v, Column) and v == values[0] for v in values):
-            return F.lit(values[0]).cast(kind)
-        choices: dict = {}
-        for i, value in enumerate(values):
-            key = id(value) if isinstance(value, Column) else value
-            choices.setdefault(key, (value, []))[1].append(i)
-        cases = [
-            F.when(F.col("_hit").isin(*at), (v if isinstance(v, Column) else F.lit(v)).cast(kind))
-            for v, at in choices.values()
-            if v is not None
-        ]
-        return F.coalesce(*cases)
-
-    return hits.select("run_id", *(column(c, t).alias(c) for c, t in schema.EVIDENCE_COLUMNS if c != "run_id"))
+    numbers = ", ".join(f"IF({f.applies}, {i}, NULL)" for i, f in enumerate(findings))
+
+    def column(name: str, kind: str) -> str:
+        at: dict[str, list[str]] = {}
+        for i, f in enumerate(findings):
+            at.setdefault(f.value(name), []).append(str(i))
+        if len(at) == 1:
+            expression = next(iter(at))
+        else:
+            cases = " ".join(f"WHEN _hit IN ({', '.join(n)}) THEN {v}" for v, n in at.items() if v != "NULL")
+            expression = f"CASE {cases} END"
+        return f"CAST({expression} AS {kind}) AS {name}"
+
+    return df.selectExpr("*", f"explode(array_compact(array({numbers}))) AS _hit").selectExpr(
+        "run_id", *(column(c, t) for c, t in schema.EVIDENCE_COLUMNS if c != "run_id")
+    )
 
 
 # ------------------------------------------------------------------ tool calls
@@ -92,36 +92,28 @@ def emit(df: DataFrame, findings: Sequence[Finding]) -> DataFrame:
 
 def tool_evidence(steps: DataFrame) -> DataFrame:
     """Tool calls without any result, and tool calls that failed."""
-    call = F.col("call")
-    text = F.coalesce(call["output_text"], F.lit(""))
-    failed = call["has_error"] | text.contains(ERROR_MARKS[0]) | text.contains(ERROR_MARKS[1])
-    silent = ~call["has_output"] & ~call["has_error"]
-    name = F.coalesce(call["name"], F.lit("None"))
-    where = {"step": F.col("step"), "emit_seq": F.col("pos"), "emit_idx": F.col("idx"), "agent": F.col("agent")}
-    calls = steps.where(F.size("tool_calls") > 0).select(
-        "run_id", "pos", "step", "agent", F.posexplode("tool_calls").alias("idx", "call")
+    calls = steps.where("size(tool_calls) > 0").selectExpr(
+        "run_id", "pos", "step", "agent", "posexplode(tool_calls) AS (idx, call)"
     )
+    where = {"step": "step", "emit_seq": "pos", "emit_idx": "idx", "agent": "agent"}
+    name = "coalesce(call.name, 'None')"
+    marked = " OR ".join(f"contains(call.output_text, {quoted(m)})" for m in ERROR_MARKS)
     return emit(
         calls,
         [
             Finding(
-                silent,
+                "NOT call.has_output AND NOT call.has_error",
                 "rule_engine",
                 "missing_tool_output_v1",
                 "execution",
-                where
-                | {
-                    "description": F.concat(
-                        F.lit("Agent '"), "agent", F.lit("' called tool '"), name, F.lit("' but no output was recorded.")
-                    )
-                },
+                where | {"description": f"concat('Agent \\'', agent, '\\' called tool \\'', {name}, '\\' but no output was recorded.')"},
             ),
             Finding(
-                failed,
+                f"call.has_error OR {marked}",
                 "rule_engine",
                 "tool_failure_v1",
                 "execution",
-                where | {"description": F.concat(F.lit("Tool '"), name, F.lit("' returned an error."))},
+                where | {"description": f"concat('Tool \\'', {name}, '\\' returned an error.')"},
             ),
         ],
     )
@@ -136,81 +128,68 @@ def profile(steps: DataFrame, extracted: DataFrame | None = None, config: Config
 
     ``extracted`` may be the steps frame itself when that carries the counts.
     """
-    agent = F.col("agent")
-    order = [
-        F.min(F.when(agent == name, F.col("pos"))).alias(f"first_{i}")
+    shape = ["count(*) AS n_steps"] + [
+        f"min(pos) FILTER (WHERE agent = {quoted(name)}) AS first_{i}"
         for i, name in enumerate(config.required_agents)
     ]
-    shape = [F.count("*").alias("n_steps"), *order]
-    if extracted is None:
-        return steps.groupBy("run_id").agg(*shape)
     roles = {"up": config.upstream, "down": config.downstream, "check": config.checker}
-    counts = []
-    for prefix, name in roles.items():
-        at = F.when(agent == name, F.col("pos"))
-        counts += [
-            F.max_by(c, at).alias(f"{prefix}_{short}")
-            for c, short in (
-                ("step", "step"),
-                ("source_count", "sources"),
-                ("entity_count", "entities"),
-                ("extraction_failed", "failed"),
-            )
-        ]
+    fields = {
+        "step": "step", "sources": "source_count", "entities": "entity_count", "failed": "extraction_failed"
+    }
+    counts = [
+        f"max_by({column}, pos) FILTER (WHERE agent = {quoted(name)}) AS {prefix}_{short}"
+        for prefix, name in roles.items()
+        for short, column in fields.items()
+    ]
+
+    def per_run(df: DataFrame, expressions: list[str]) -> DataFrame:
+        return df.groupBy("run_id").agg(*(F.expr(e) for e in expressions))
+
+    if extracted is None:
+        return per_run(steps, shape)
     if extracted is steps:
-        return steps.groupBy("run_id").agg(*shape, *counts)
-    return (
-        steps.groupBy("run_id").agg(*shape).join(extracted.groupBy("run_id").agg(*counts), "run_id", "left")
-    )
+        return per_run(steps, shape + counts)
+    return per_run(steps, shape).join(per_run(extracted, counts), "run_id", "left")
 
 
 def counts_findings(config: Config = DEFAULT) -> list[Finding]:
     """Rules over the last counts of upstream, downstream and checker."""
-    up, down, check = (~F.col(f"{p}_failed") for p in ("up", "down", "check"))
-    gain = F.col("down_entities") - F.col("up_entities")
+    gain = "(down_entities - up_entities)"
     limit = config.entity_gain_threshold
-    sources = F.col("up_sources")
     return [
         Finding(
-            up & (sources < config.min_sources),
+            f"NOT up_failed AND up_sources < {config.min_sources}",
             "rule_engine",
             "researcher_quality_v1",
             "reasoning",
             {
-                "agent": config.upstream,
-                "step": F.col("up_step"),
-                "description": F.concat(
-                    F.lit("Researcher source count ("), sources.cast("string"),
-                    F.lit(f") below threshold ({config.min_sources})."),
-                ),
+                "agent": quoted(config.upstream),
+                "step": "up_step",
+                "description": f"concat('Researcher source count (', up_sources, ') below threshold ({config.min_sources}).')",
             },
         ),
         Finding(
-            up & down & (gain > limit),
+            f"NOT up_failed AND NOT down_failed AND {gain} > {limit}",
             "rule_engine",
             "hallucination_v1",
             "reasoning",
             {
-                "agent": config.downstream,
-                "step": F.col("down_step"),
-                "description": F.concat(
-                    F.lit("Writer hallucinated entities (gain of "), gain.cast("string"), F.lit(").")
-                ),
+                "agent": quoted(config.downstream),
+                "step": "down_step",
+                "description": f"concat('Writer hallucinated entities (gain of ', {gain}, ').')",
             },
         ),
         Finding(
             # with unusable upstream counts the gain is taken as 0
-            down
-            & check
-            & (F.col("down_entities") == F.col("check_entities"))
-            & (F.when(F.coalesce(up, F.lit(False)), gain).otherwise(F.lit(0)) > limit),
+            "NOT down_failed AND NOT check_failed AND down_entities = check_entities "
+            f"AND IF(coalesce(up_failed, true), 0, {gain}) > {limit}",
             "rule_engine",
             "verifier_passthrough_v1",
             "verification",
             {
-                "agent": config.checker,
-                "step": F.col("check_step"),
-                "description": "Verifier passed through hallucinated entities unchallenged.",
+                "agent": quoted(config.checker),
+                "step": "check_step",
+                "description": "'Verifier passed through hallucinated entities unchallenged.'",
             },
         ),
     ]
@@ -221,29 +200,29 @@ def workflow_findings(config: Config = DEFAULT) -> list[Finding]:
     required = config.required_agents
     skipped = [
         Finding(
-            F.col(f"first_{i}").isNull(),
+            f"first_{i} IS NULL",
             "workflow_validator",
             "skipped_step_v1",
             "workflow",
             {
-                "agent": name,
-                "emit_seq": i,
-                "description": f"Required agent '{name}' is missing from the trace.",
+                "agent": quoted(name),
+                "emit_seq": str(i),
+                "description": quoted(f"Required agent '{name}' is missing from the trace."),
             },
         )
         for i, name in enumerate(required)
     ]
     reversed_pairs = [
         Finding(
-            F.col(f"first_{i + 1}") < F.col(f"first_{i}"),
+            f"first_{i + 1} < first_{i}",
             "workflow_validator",
             "wrong_order_v1",
             "workflow",
             {
-                "agent": later,
-                "step": F.col(f"first_{i + 1}") + 1,
-                "emit_seq": i,
-                "description": f"Agent '{later}' executed before '{earlier}'.",
+                "agent": quoted(later),
+                "step": f"first_{i + 1} + 1",
+                "emit_seq": str(i),
+                "description": quoted(f"Agent '{later}' executed before '{earlier}'."),
             },
         )
         for i, (earlier, later) in enumerate(zip(required, required[1:]))
@@ -253,116 +232,89 @@ def workflow_findings(config: Config = DEFAULT) -> list[Finding]:
 
 # ------------------------------------------------------------ information loss
 
+_COUNTS = {"sources": "source_count", "entities": "entity_count"}
+_FAILED = "(up_failed OR down_failed)"
+
+
+def _delta(s: str) -> str:
+    return f"(down_{s} - up_{s})"
+
+
+def _either(test: str) -> str:
+    """The test on either count, with ``d`` standing for its change."""
+    return "(" + " OR ".join(f"({test})".replace("{d}", _delta(s)) for s in _COUNTS) + ")"
+
 
-def _loss_verdict(config: Config) -> Column:
+def _loss_verdict(config: Config) -> str:
     """FAIL for a severe drop, WARNING for a small drop or a notable gain, else PASS."""
-    deltas = [F.col(f"down_{s}") - F.col(f"up_{s}") for s in ("sources", "entities")]
+    severe = _either(f"{{d}} < 0 AND {{d}} <= -{config.severe_delta}")
+    mild = _either(f"{{d}} < 0 OR ({{d}} > 0 AND {{d}} >= {config.moderate_delta})")
+    return f"CASE WHEN {_FAILED} THEN 'PASS' WHEN {severe} THEN 'FAIL' WHEN {mild} THEN 'WARNING' ELSE 'PASS' END"
 
-    def either(test) -> Column:
-        return test(deltas[0]) | test(deltas[1])
 
-    return (
-        F.when(F.col("up_failed") | F.col("down_failed"), F.lit("PASS"))
-        # a delta between 0 and the moderate limit would be a drop all the same
-        .when(either(lambda d: (d < 0) & (d <= -config.severe_delta)), F.lit("FAIL"))
-        .when(either(lambda d: (d < 0) | ((d > 0) & (d >= config.moderate_delta))), F.lit("WARNING"))
-        .otherwise(F.lit("PASS"))
-    )
+# Base, slope and upper bound of the confidence.
+_CONFIDENCE = {"FAIL": (0.80, 0.19, 0.99), "WARNING": (0.60, 0.24, 0.84)}
 
 
-def _loss_confidence(verdict: Column) -> Column:
+def _loss_confidence(verdict: str) -> str:
     """Grows with the mean relative change; 4 decimals."""
-    ratios = [
-        F.abs(F.col(f"down_{s}") - F.col(f"up_{s}")) / F.greatest(F.col(f"up_{s}"), F.lit(1))
-        for s in ("sources", "entities")
-    ]
-    # Base, slope and upper bound per verdict.
-    fail = verdict == "FAIL"
-    base = F.when(fail, F.lit(0.80)).otherwise(F.lit(0.60))
-    slope = F.when(fail, F.lit(0.19)).otherwise(F.lit(0.24))
-    top = F.when(fail, F.lit(0.99)).otherwise(F.lit(0.84))
-    return F.round(F.least(top, base + (ratios[0] + ratios[1]) / 2.0 * slope), 4)
-
-
-def _loss_summary(verdict: Column, config: Config) -> Column:
-    def line(name: str, s: str) -> Column:
-        up, down = F.col(f"up_{s}"), F.col(f"down_{s}")
-        delta = down - up
-        size = F.abs(delta).cast("string")
-        change = F.when(delta == 0, F.lit("(PRESERVED)")).otherwise(
-            F.concat(F.lit("("), _signal(delta), F.lit(" "), size, F.lit(", severity="), _severity(delta, config), F.lit(")"))
-        )
-        return F.concat(F.lit(f"  {name}: "), up.cast("string"), F.lit(" → "), down.cast("string"), F.lit(" "), change)
-
-    return F.concat_ws(
-        "\n", F.concat(F.lit("Verdict: "), verdict), line("source_count", "sources"), line("entity_count", "entities")
-    )
+    base, slope, top = _CONFIDENCE[verdict]
+    ratio = " + ".join(f"abs{_delta(s)} / greatest(up_{s}, 1)" for s in _COUNTS)
+    return f"round(least({top}D, {base}D + ({ratio}) / 2.0D * {slope}D), 4)"
 
 
-def _signal(delta: Column) -> Column:
-    return F.when(delta < 0, F.lit("DROPPED")).when(delta > 0, F.lit("ADDED")).otherwise(F.lit("PRESERVED"))
+def _signal(s: str) -> str:
+    return f"CASE sign{_delta(s)} WHEN -1 THEN 'DROPPED' WHEN 1 THEN 'ADDED' ELSE 'PRESERVED' END"
 
 
-def _severity(delta: Column, config: Config) -> Column:
-    size = F.abs(delta)
+def _severity(s: str, config: Config) -> str:
+    size = f"abs{_delta(s)}"
     return (
-        F.when(size == 0, F.lit("NONE"))
-        .when(size >= config.severe_delta, F.lit("HIGH"))
-        .when(size >= config.moderate_delta, F.lit("MEDIUM"))
-        .otherwise(F.lit("LOW"))
+        f"CASE WHEN {size} = 0 THEN 'NONE' WHEN {size} >= {config.severe_delta} THEN 'HIGH' "
+        f"WHEN {size} >= {config.moderate_delta} THEN 'MEDIUM' ELSE 'LOW' END"
     )
 
 
+def _loss_summary(verdict: str, config: Config) -> str:
+    lines = [
+        f"concat('  {name}: ', up_{s}, ' → ', down_{s}, IF(up_{s} = down_{s}, ' (PRESERVED)', "
+        f"concat(' (', {_signal(s)}, ' ', abs{_delta(s)}, ', severity=', {_severity(s, config)}, ')')))"
+        for s, name in _COUNTS.items()
+    ]
+    return f"concat_ws('\\n', concat('Verdict: ', {verdict}), {', '.join(lines)})"
+
+
 def information_loss(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Upstream against downstream counts of every run that has both roles."""
-    failed = F.col("up_failed") | F.col("down_failed")
-    verdict = F.col("verdict")
-    known: dict[str, Column] = {}
-    for s in ("sources", "entities"):
-        delta = F.col(f"down_{s}") - F.col(f"up_{s}")
+    known = {}
+    for s in _COUNTS:
         known |= {
-            f"up_{s}": F.col(f"up_{s}"),
-            f"down_{s}": F.col(f"down_{s}"),
-            f"{s}_delta": delta,
-            f"{s}_signal": _signal(delta),
-            f"{s}_severity": _severity(delta, config),
+            f"up_{s}": f"up_{s}",
+            f"down_{s}": f"down_{s}",
+            f"{s}_delta": _delta(s),
+            f"{s}_signal": _signal(s),
+            f"{s}_severity": _severity(s, config),
         }
-    drops, gains = (
-        (F.col("down_sources") < F.col("up_sources")) | (F.col("down_entities") < F.col("up_entities")),
-        (F.col("down_sources") > F.col("up_sources")) | (F.col("down_entities") > F.col("up_entities")),
-    )
-
-    def flag_text(column: str) -> Column:
-        return F.initcap(F.col(column).cast("string"))
-
-    both = F.col("up_failed").isNotNull() & F.col("down_failed").isNotNull()
     return (
-        runs.where(both)
-        .withColumn("verdict", _loss_verdict(config))
-        .select(
+        runs.where("up_failed IS NOT NULL AND down_failed IS NOT NULL")
+        .selectExpr("*", f"{_loss_verdict(config)} AS verdict")
+        .selectExpr(
             "run_id",
-            F.lit(LOSS_RULE).alias("rule_id"),
-            F.lit("workflow").alias("rule_category"),
-            *(F.when(~failed, c).alias(name) for name, c in known.items()),
+            f"'{LOSS_RULE}' AS rule_id",
+            "'workflow' AS rule_category",
+            *(f"IF({_FAILED}, NULL, {e}) AS {name}" for name, e in known.items()),
             "verdict",
-            F.when(failed, F.lit(0.0))
-            .when(verdict == "PASS", F.lit(1.0))
-            .otherwise(_loss_confidence(verdict))
-            .alias("confidence"),
-            F.when(failed, F.lit("Rule skipped — evidence extraction failed on one or both steps."))
-            .otherwise(_loss_summary(verdict, config))
-            .alias("summary"),
-            (~failed & drops).alias("has_information_loss"),
-            (~failed & gains).alias("has_information_gain"),
-            failed.alias("rule_failed"),
-            F.when(
-                failed,
-                F.concat(
-                    F.lit("Researcher extraction_failed="), flag_text("up_failed"),
-                    F.lit(", Writer extraction_failed="), flag_text("down_failed"),
-                ),
-            ).alias("error_message"),
-            F.lit(schema.SCHEMA_VERSION).alias("schema_version"),
+            f"CASE WHEN {_FAILED} THEN 0.0D "
+            + " ".join(f"WHEN verdict = '{v}' THEN {_loss_confidence(v)}" for v in _CONFIDENCE)
+            + " ELSE 1.0D END AS confidence",
+            f"IF({_FAILED}, 'Rule skipped — evidence extraction failed on one or both steps.', "
+            f"{_loss_summary('verdict', config)}) AS summary",
+            f"NOT {_FAILED} AND {_either('{d} < 0')} AS has_information_loss",
+            f"NOT {_FAILED} AND {_either('{d} > 0')} AS has_information_gain",
+            f"{_FAILED} AS rule_failed",
+            f"IF({_FAILED}, concat('Researcher extraction_failed=', initcap(string(up_failed)), "
+            "', Writer extraction_failed=', initcap(string(down_failed))), NULL) AS error_message",
+            f"'{schema.SCHEMA_VERSION}' AS schema_version",
         )
     )
 
@@ -372,10 +324,7 @@ def loss_findings(config: Config = DEFAULT) -> list[Finding]:
 
     A small drop is a WARNING and carries the gain wording; that is intended.
     """
-    moved = F.concat(
-        F.lit("source: "), F.col("up_sources").cast("string"), F.lit("→"), F.col("down_sources").cast("string"),
-        F.lit(", entity: "), F.col("up_entities").cast("string"), F.lit("→"), F.col("down_entities").cast("string"),
-    )
+    moved = "'source: ', up_sources, '→', down_sources, ', entity: ', up_entities, '→', down_entities"
     # Category, severity and wording of the two outcomes.
     outcomes = {
         "FAIL": (
@@ -390,20 +339,20 @@ def loss_findings(config: Config = DEFAULT) -> list[Finding]:
             "not present in research findings (hallucination risk). ",
         ),
     }
+    both = "up_failed IS NOT NULL AND down_failed IS NOT NULL"
     return [
         Finding(
-            # null when a role is missing, so the rule then does not apply
-            _loss_verdict(config) == verdict,
+            f"{both} AND {_loss_verdict(config)} = '{verdict}'",
             "information_loss",
             LOSS_RULE,
             category,
             {
-                "agent": "writer",
-                "severity": severity,
-                "value": verdict,
-                "confidence": _loss_confidence(F.lit(verdict)),
-                "description": F.concat(F.lit(words), moved),
-                "evidence_detail": _loss_summary(F.lit(verdict), config),
+                "agent": "'writer'",
+                "severity": quoted(severity),
+                "value": quoted(verdict),
+                "confidence": _loss_confidence(verdict),
+                "description": f"concat({quoted(words)}, {moved})",
+                "evidence_detail": _loss_summary(quoted(verdict), config),
             },
         )
         for verdict, (category, severity, words) in outcomes.items()
@@ -438,24 +387,20 @@ def ground_truth(runs: DataFrame, finals: DataFrame, config: Config = DEFAULT, a
 
 
 def ground_truth_evidence(compared: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    similarity = F.col("similarity")
     limit = config.ground_truth_similarity
+    words = f"Pipeline final output diverged from expected output. Similarity: %.2f (Threshold: {limit:.2f})"
     mismatch = Finding(
-        similarity < limit,
+        f"similarity < {limit}D",
         "ground_truth",
         "gt_mismatch_v1",
         "reasoning",
         {
-            "agent": F.col("agent"),
-            "severity": "critical",
-            "confidence": 1.0 - similarity,
-            "description": "Ground truth mismatch detected.",
-            "rule_description": F.format_string(
-                "Pipeline final output diverged from expected output. Similarity: %.2f (Threshold: %.2f)",
-                similarity,
-                F.lit(limit),
-            ),
-            "evidence_detail": F.concat(F.lit("Expected:\n"), "expected_output", F.lit("\n\nActual:\n"), "actual_output"),
+            "agent": "agent",
+            "severity": "'critical'",
+            "confidence": "1.0D - similarity",
+            "description": "'Ground truth mismatch detected.'",
+            "rule_description": f"format_string({quoted(words)}, similarity)",
+            "evidence_detail": "concat('Expected:\\n', expected_output, '\\n\\nActual:\\n', actual_output)",
         },
     )
     return emit(compared, [mismatch])

@@ -528,7 +528,7 @@ def _label_frames(spark: SparkSession, sf_dir: str) -> analysis.TraceFrames:
     body = F.col("raw_output")
     steps = steps.select(
         "run_id", "pos", "step", "agent",
-        F.when(F.length(body) % 7 == 0, activity._call(None, True)).otherwise(F.array().cast(activity.TOOL_CALLS)).alias("tool_calls"),
+        F.expr(f"IF(length(raw_output) % 7 = 0, {activity.call(None, True)}, {activity.NO_CALLS}) AS tool_calls"),
         F.regexp_count(body, F.lit("[0-9]+")).alias("source_count"),
         F.lit(0).alias("entity_count"),
         F.lit(False).alias("extraction_failed"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.values import quoted
 from tracewell.operators.ranking import dense_position
 
 TOOL_CALLS = "array<struct<name:string,output_text:string,has_output:boolean,has_error:boolean>>"
@@ -19,41 +20,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _call(output: str | None, failed: bool) -> Column:
-    return F.array(
-        F.struct(
-            F.lit("lookup").alias("name"),
-            F.lit(output).cast("string").alias("output_text"),
-            F.lit(bool(output)).alias("has_output"),
-            F.lit(failed).alias("has_error"),
-        )
-    ).cast(TOOL_CALLS)
+def call(output: str | None, failed: bool) -> str:
+    """SQL of a list with one tool call."""
+    said = "NULL" if output is None else quoted(output)
+    has = str(output is not None).lower()
+    return (
+        f"CAST(array(named_struct('name', 'lookup', 'output_text', {said}, 'has_output', {has}, "
+        f"'has_error', {str(failed).lower()})) AS {TOOL_CALLS})"
+    )
+
+
+NO_CALLS = f"CAST(array() AS {TOOL_CALLS})"
 
 
 def as_steps(events: DataFrame) -> DataFrame:
     """One step per event: a run is a user's week, the event type names the agent."""
-    day = F.to_date("ts")
-    week = F.date_sub(day, F.weekday(day))
-    kind = F.col("event_type")
-    base = events.select(
+    week = "date_sub(to_date(ts), weekday(to_date(ts)))"
+    agents = {"view": "researcher", "click": "writer", "purchase": "verifier", "signup": "router"}
+    cases = " ".join(f"WHEN '{kind}' THEN '{agent}'" for kind, agent in agents.items())
+    base = events.selectExpr(
         "event_id",
-        F.col("ts").alias("timestamp"),
-        F.concat(F.lit("run_"), F.col("user_id").cast("string"), F.lit("_"), F.date_format(week, "yyyyMMdd")).alias("run_id"),
-        F.concat(F.lit("wf_"), (F.col("user_id") % 3).cast("string")).alias("workflow"),
-        F.when(kind == "view", "researcher")
-        .when(kind == "click", "writer")
-        .when(kind == "purchase", "verifier")
-        .when(kind == "signup", "router")
-        .otherwise("tool")
-        .alias("agent"),
-        (kind == "error").alias("_error"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.round(F.col("value") * 100, 0).alias("latency_ms"),
+        "ts AS timestamp",
+        f"concat('run_', user_id, '_', date_format({week}, 'yyyyMMdd')) AS run_id",
+        "concat('wf_', user_id % 3) AS workflow",
+        f"CASE event_type {cases} ELSE 'tool' END AS agent",
+        "event_type = 'error' AS _error",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "round(value * 100, 0) AS latency_ms",
     )
-    k, error = F.col("k"), F.col("_error")
-    total = (k * 10).cast("bigint")
-    prompt = F.floor(total / 3)
-    return base.select(
+    return base.selectExpr(
         "event_id",
         "timestamp",
         "run_id",
@@ -61,19 +56,17 @@ def as_steps(events: DataFrame) -> DataFrame:
         "agent",
         "k",
         "latency_ms",
-        prompt.alias("tokens_prompt"),
-        (total - prompt).alias("tokens_completion"),
-        total.alias("tokens_total"),
-        F.when(error, F.lit("ERROR")).otherwise(F.lit("SUCCESS")).alias("status"),
-        F.when(error & (k % 10 == 1), _call(None, True))
-        .when(error & (k % 50 == 3), _call("Error: bad response", False))
-        .when(~error & (k % 40 == 0), _call(None, False))
-        .when(~error & (k % 40 == 20), _call("ok", False))
-        .otherwise(F.array().cast(TOOL_CALLS))
-        .alias("tool_calls"),
-        (F.lit(8) + F.when(k % 25 == 3, -8).when(k % 25 == 4, 2).otherwise(0)).alias("source_count"),
-        (F.lit(10) + F.when(k % 20 == 0, 5).when(k % 20 == 1, -4).when(k % 20 == 2, 1).otherwise(0)).alias("entity_count"),
-        F.lit(False).alias("extraction_failed"),
+        "floor(k * 10 / 3) AS tokens_prompt",
+        "k * 10 - floor(k * 10 / 3) AS tokens_completion",
+        "CAST(k * 10 AS BIGINT) AS tokens_total",
+        "IF(_error, 'ERROR', 'SUCCESS') AS status",
+        f"CASE WHEN _error AND k % 10 = 1 THEN {call(None, True)} "
+        f"WHEN _error AND k % 50 = 3 THEN {call('Error: bad response', False)} "
+        f"WHEN NOT _error AND k % 40 = 0 THEN {call(None, False)} "
+        f"WHEN NOT _error AND k % 40 = 20 THEN {call('ok', False)} ELSE {NO_CALLS} END AS tool_calls",
+        "8 + CASE k % 25 WHEN 3 THEN -8 WHEN 4 THEN 2 ELSE 0 END AS source_count",
+        "10 + CASE k % 20 WHEN 0 THEN 5 WHEN 1 THEN -4 WHEN 2 THEN 1 ELSE 0 END AS entity_count",
+        "false AS extraction_failed",
     )
 
 
@@ -82,8 +75,7 @@ def with_positions(steps: DataFrame) -> DataFrame:
 
     Cells of one minute keep the ranking of a busy run spread over many tasks.
     """
-    ts = F.col("timestamp")
-    minute = F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    minute = F.expr("unix_date(to_date(timestamp)) * 1440 + hour(timestamp) * 60 + minute(timestamp)")
     ranked = dense_position(steps, ["run_id"], {"_minute": minute}, ["timestamp", "event_id"])
     return ranked.withColumn("step", F.col("pos") + 1)
 
