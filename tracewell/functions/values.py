@@ -17,6 +17,7 @@ STATE = "map<string,string>"
 
 # Canonical texts that count as "no content".
 EMPTY_TEXTS = ("null", '""', "[]", "{}", "false")
+BLANK_STATE = r"^(\{\s*\}|\[\s*\]|\"\"|null|false|-?0(\.0+)?([eE][+-]?[0-9]+)?)?$"
 ZERO = r"^-?0(\.0+)?([eE][+-]?[0-9]+)?$"
 
 
@@ -45,20 +46,25 @@ def no_state() -> Column:
     return F.create_map().cast(STATE)
 
 
-def parse_state(text: Column) -> Column:
-    """Canonical state map of JSON object text; an empty map for anything else."""
+def parse_object(text: Column) -> Column:
+    """Canonical members of JSON object text; null for anything else."""
     trimmed = strip(text)
     members = F.when(trimmed.startswith("{"), F.try_parse_json(trimmed)).cast("map<string,variant>")
-    return F.coalesce(F.transform_values(members, lambda _, v: F.coalesce(F.to_json(v), F.lit("null"))), no_state())
+    return F.transform_values(members, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
+def parse_state(text: Column) -> Column:
+    """Canonical state map of JSON object text; an empty map for anything else."""
+    return F.coalesce(parse_object(text), no_state())
 
 
 def state_or_raw(state: Column, raw: Column) -> Column:
-    """The handoff state, or the raw text parsed when the state holds nothing."""
-    text = strip(state)
-    parsed = F.to_json(F.try_parse_json(text))
-    # text that is not JSON at all is content, and parses to an empty state
-    blank = text.isNull() | (text == "") | (parsed.isNotNull() & is_empty(parsed))
-    return F.when(blank, parse_state(raw)).otherwise(parse_state(text))
+    """The handoff state, or the raw text parsed when the state holds nothing.
+
+    Text that is not JSON at all is content, and parses to an empty state.
+    """
+    given = F.coalesce(strip(state), F.lit(""))
+    return parse_state(F.when(given.rlike(BLANK_STATE), raw).otherwise(given))
 
 
 def merge_state(before: Column, returned: Column) -> Column:

@@ -35,7 +35,7 @@ NO_RULE_LAST = "zzz"  # fixed value: findings without a rule sort after all rule
 NO_EVIDENCE_REASON = "No evidence collected — P5 fallback."  # fixed value
 UNMATCHED_REASON = "No P2 rule matched — P5 fallback."  # fixed value
 
-_ORDER_BITS = 20  # findings of one rule and run that may share a task: 2^20
+_CELL = 1_000_000  # step positions whose findings by one rule may share a task
 
 
 def _priority(table: dict[str, int]) -> str:
@@ -54,7 +54,11 @@ def rank_evidence(evidence: DataFrame) -> DataFrame:
 
 
 def ordered_evidence(evidence: DataFrame) -> DataFrame:
-    """Findings with ``evidence_no``, their 1-based place in the run's bundle."""
+    """Findings with ``evidence_no``, their 1-based place in the run's bundle.
+
+    The steps must have had positions, not mere order keys, for the cells to be of
+    use.
+    """
     ranked = rank_evidence(evidence)
     return dense_position(
         ranked,
@@ -63,7 +67,7 @@ def ordered_evidence(evidence: DataFrame) -> DataFrame:
             "_b_rank": F.col("rank"),
             "_b_rule": F.col("tiebreak"),
             "_b_analyzer": F.col("analyzer_ord"),
-            "_b_seq": F.shiftright("emit_seq", _ORDER_BITS),
+            "_b_seq": F.floor(F.col("emit_seq") / _CELL),
         },
         ["emit_seq", "emit_idx"],
         "evidence_no",

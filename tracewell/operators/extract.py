@@ -12,21 +12,29 @@ EMPTY_OUTPUT = "Empty output — nothing to extract"  # fixed value
 _LISTS = ("tool_calls", "claims", "references", "numbers", "dates")
 
 
-def _result(failed: Column, message: Column, counts: dict[str, Column], cost: Column) -> list[Column]:
+def _evidence(steps: DataFrame, failed: Column, message: Column, counts: dict[str, Column], cost: Column) -> DataFrame:
+    """Typed evidence rows; a failed extraction has zero counts and empty lists."""
     nothing = F.array().cast("array<string>")
     zero = F.lit(0)
-    columns = [
-        F.when(failed, zero).otherwise(F.coalesce(counts[c].cast("int"), zero)).alias(c)
-        for c in ("source_count", "entity_count")
-    ]
-    columns += [
-        F.when(failed, nothing).otherwise(F.coalesce(counts.get(c, nothing), nothing)).alias(c) for c in _LISTS
-    ]
-    return columns + [
-        failed.alias("extraction_failed"),
-        message.alias("error_message"),
-        F.when(failed, F.lit(0).cast("bigint")).otherwise(F.coalesce(cost, F.lit(0).cast("bigint"))).alias("token_cost"),
-    ]
+    judged = steps.withColumns({"_failed": failed, "_message": message})
+    bad = F.col("_failed")
+    numbers = {c: (counts[c].cast("int"), zero) for c in ("source_count", "entity_count")}
+    lists = {c: (counts.get(c, nothing), nothing) for c in _LISTS}
+    tokens = {"token_cost": (cost, zero.cast("bigint"))}
+
+    def usable(value: Column, default: Column) -> Column:
+        return F.when(bad, default).otherwise(F.coalesce(value, default))
+
+    return judged.select(
+        "run_id",
+        "pos",
+        "step",
+        "agent",
+        *(usable(*v).alias(c) for c, v in {**numbers, **lists}.items()),
+        bad.alias("extraction_failed"),
+        F.col("_message").alias("error_message"),
+        *(usable(*v).alias(c) for c, v in tokens.items()),
+    )
 
 
 def _response_count(members: Column, name: str) -> Column:
@@ -48,43 +56,32 @@ def parse_responses(steps: DataFrame) -> DataFrame:
     response_tokens.  Steps without output, responses that are not a JSON object,
     and counts that are not whole numbers from 0 on make the extraction failed.
     """
+    parsed = (
+        steps.withColumn("_m", values.parse_object(F.col("response")))
+        .withColumn("_source", _response_count(F.col("_m"), "source_count"))
+        .withColumn("_entity", _response_count(F.col("_m"), "entity_count"))
+        .withColumn("_r", F.from_json("response", schema.EXTRACTION_RESPONSE))
+    )
     empty = text.strip(F.coalesce("raw_output", F.lit(""))) == ""
-    reply = text.strip(F.col("response"))
-    readable = reply.startswith("{") & F.try_parse_json(reply).isNotNull()
-    unreadable = ~F.coalesce(readable, F.lit(False))
+    unreadable = F.col("_m").isNull()
     bad_count = F.col("_source").isNull() | F.col("_entity").isNull()
-    failed = empty | unreadable | bad_count
     message = (
         F.when(empty, F.lit(EMPTY_OUTPUT))
         .when(unreadable, F.lit("JSONDecodeError: response is not a JSON object"))
         .when(bad_count, F.lit("ValueError: counts must be whole numbers from 0 on"))
     )
-    parsed = (
-        steps.withColumn("_m", values.parse_state(F.col("response")))
-        .withColumn("_source", _response_count(F.col("_m"), "source_count"))
-        .withColumn("_entity", _response_count(F.col("_m"), "entity_count"))
-        .withColumn("_r", F.from_json("response", schema.EXTRACTION_RESPONSE))
-    )
     counts = {c: F.col(f"_r.{c}") for c in _LISTS}
     counts |= {"source_count": F.col("_source"), "entity_count": F.col("_entity")}
-    return parsed.select(
-        "run_id", "pos", "step", "agent", *_result(failed, message, counts, F.col("response_tokens"))
-    )
+    return _evidence(parsed, empty | unreadable | bad_count, message, counts, F.col("response_tokens"))
 
 
 def counts_from_output(steps: DataFrame) -> DataFrame:
     """Counts the agents themselves put into their JSON output."""
-    out = values.parse_state(F.col("raw_output"))
+    read = steps.withColumn("_o", values.parse_state(F.col("raw_output")))
     empty = text.strip(F.col("raw_output")) == ""
-    counts = {c: F.try_element_at(F.col("_o"), F.lit(c)).try_cast("int") for c in ("source_count", "entity_count")}
-    calls = F.transform("tool_calls", lambda c: c["name"])
-    return steps.withColumn("_o", out).select(
-        "run_id",
-        "pos",
-        "step",
-        "agent",
-        *_result(empty, F.when(empty, F.lit(EMPTY_OUTPUT)), {**counts, "tool_calls": calls}, F.lit(0).cast("bigint")),
-    )
+    counts = {c: F.try_element_at("_o", F.lit(c)).try_cast("int") for c in ("source_count", "entity_count")}
+    counts["tool_calls"] = F.transform("tool_calls", lambda c: c["name"])
+    return _evidence(read, empty, F.when(empty, F.lit(EMPTY_OUTPUT)), counts, F.lit(0).cast("bigint"))
 
 
 def counts_from_sections(steps: DataFrame, text_column: str = "raw_output") -> DataFrame:
@@ -100,13 +97,7 @@ def counts_from_sections(steps: DataFrame, text_column: str = "raw_output") -> D
         "numbers": text.found(body, text.NUMBER),
         "dates": text.found(body, text.DATE),
     }
-    return steps.select(
-        "run_id",
-        "pos",
-        "step",
-        "agent",
-        *_result(empty, F.when(empty, F.lit(EMPTY_OUTPUT)), counts, F.lit(0).cast("bigint")),
-    )
+    return _evidence(steps, empty, F.when(empty, F.lit(EMPTY_OUTPUT)), counts, F.lit(0).cast("bigint"))
 
 
 def token_cost(extracted: DataFrame, *keys: str) -> DataFrame:

@@ -195,8 +195,11 @@ def counts_findings(config: Config = DEFAULT) -> list[Finding]:
     ]
 
 
-def workflow_findings(config: Config = DEFAULT) -> list[Finding]:
-    """Required agents that never ran, and neighbours that ran in reverse order."""
+def workflow_findings(config: Config = DEFAULT, positions: bool = True) -> list[Finding]:
+    """Required agents that never ran, and neighbours that ran in reverse order.
+
+    Without ``positions`` the steps were only ordered, and findings name no step.
+    """
     required = config.required_agents
     skipped = [
         Finding(
@@ -220,7 +223,7 @@ def workflow_findings(config: Config = DEFAULT) -> list[Finding]:
             "workflow",
             {
                 "agent": quoted(later),
-                "step": f"first_{i + 1} + 1",
+                "step": f"first_{i + 1} + 1" if positions else "NULL",
                 "emit_seq": str(i),
                 "description": quoted(f"Agent '{later}' executed before '{earlier}'."),
             },

@@ -19,13 +19,15 @@ class TraceFrames:
     """Frames an analyzer may read.  Analyzers must not modify or collect them.
 
     ``extracted`` is None when no evidence counts are known; the count rules then
-    have nothing to say.  ``steps`` may carry the counts itself.
+    have nothing to say.  ``steps`` may carry the counts itself.  ``positions`` says
+    whether ``pos`` of the steps is their list position or only orders them.
     """
 
     runs: DataFrame
     steps: DataFrame
     extracted: DataFrame | None = None
     config: Config = field(default=DEFAULT)
+    positions: bool = True
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -46,14 +48,14 @@ class ProfileAnalyzer:
     It works alone like any analyzer; used together, all of them share one pass.
     """
 
-    findings: Callable[[Config], list[rules.Finding]]
+    findings: Callable[[TraceFrames], list[rules.Finding]]
     needs_counts: bool = False
 
     def applies_to(self, frames: TraceFrames) -> bool:
         return frames.extracted is not None or not self.needs_counts
 
     def __call__(self, frames: TraceFrames) -> DataFrame:
-        found = self.findings(frames.config) if self.applies_to(frames) else []
+        found = self.findings(frames) if self.applies_to(frames) else []
         if not found:
             return frames.runs.sparkSession.createDataFrame([], schema.ddl(schema.EVIDENCE_COLUMNS))
         return rules.emit(frames.profile, found)
@@ -70,9 +72,9 @@ def ground_truth_validator(frames: TraceFrames) -> DataFrame:
 
 DEFAULT_ANALYZERS: dict[str, Analyzer] = {
     "tool_calls": tool_calls,
-    "counts": ProfileAnalyzer(rules.counts_findings, needs_counts=True),
-    "information_loss": ProfileAnalyzer(rules.loss_findings, needs_counts=True),
-    "workflow": ProfileAnalyzer(rules.workflow_findings),
+    "counts": ProfileAnalyzer(lambda f: rules.counts_findings(f.config), needs_counts=True),
+    "information_loss": ProfileAnalyzer(lambda f: rules.loss_findings(f.config), needs_counts=True),
+    "workflow": ProfileAnalyzer(lambda f: rules.workflow_findings(f.config, f.positions)),
 }
 ALL_ANALYZERS: dict[str, Analyzer] = {"ground_truth": ground_truth_validator, **DEFAULT_ANALYZERS}
 
@@ -89,7 +91,7 @@ def collect_evidence(frames: TraceFrames, analyzers: dict[str, Analyzer] = ALL_A
     ]
     parts = [a(frames) for a in analyzers.values() if not isinstance(a, ProfileAnalyzer)]
     if on_profile:
-        together = [f for a in on_profile for f in a.findings(frames.config)]
+        together = [f for a in on_profile for f in a.findings(frames)]
         parts.append(rules.emit(frames.profile, together))
     return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
 

@@ -40,10 +40,12 @@ def _runs(steps: DataFrame) -> DataFrame:
     return metrics.roll_up(steps, "event_id" if "pos" not in steps.columns else "pos")
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> analysis.TraceFrames:
-    steps = activity.ranked_event_steps(spark, sf_dir)
-    runs = activity.event_steps(spark, sf_dir).select("run_id").distinct()
-    return analysis.TraceFrames(runs, steps, steps)
+def _frames(spark: SparkSession, sf_dir: str, positions: bool = False) -> analysis.TraceFrames:
+    """Event runs.  Positions cost a shuffle of all events, so they are optional."""
+    rank = activity.with_positions if positions else activity.with_order
+    events = activity.event_steps(spark, sf_dir)
+    steps = rank(events)
+    return analysis.TraceFrames(events.select("run_id").distinct(), steps, steps, positions=positions)
 
 
 def _evidence(frames: analysis.TraceFrames) -> DataFrame:
@@ -91,15 +93,15 @@ def step_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slowest_fastest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps are ordered by event_id here: positions are not part of the result."""
-    steps = activity.event_steps(spark, sf_dir).withColumns({"step": F.col("event_id"), "pos": F.col("event_id")})
+    """Positions are not part of the result, so an order key stands in for the step."""
+    steps = activity.ordered_event_steps(spark, sf_dir).withColumn("step", F.col("pos"))
     measured = metrics.step_metrics(steps)
     runs = steps.select("run_id", "workflow").distinct()
     return metrics.run_metrics(runs, measured)
 
 
 def agent_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = activity.event_steps(spark, sf_dir).withColumns({"step": F.col("event_id"), "pos": F.col("event_id")})
+    steps = activity.ordered_event_steps(spark, sf_dir).withColumn("step", F.col("pos"))
     return metrics.agent_latency(metrics.step_metrics(steps))
 
 
@@ -164,7 +166,9 @@ def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _workflow(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     profile = rules.profile(activity.ranked_event_steps(spark, sf_dir))
     found = rules.emit(profile, rules.workflow_findings()).where(F.col("rule_id") == rule)
-    return found.select("run_id", "rule_id", "category", "agent", "step", "description", "emit_seq")
+    return found.select(
+        "run_id", "rule_id", "category", "agent", "step", "description", F.col("emit_seq").cast("bigint").alias("emit_seq")
+    )
 
 
 def skipped_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +186,7 @@ def role_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def information_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one step in 97 could not be read, so that skipped comparisons occur as well
-    steps = activity.ranked_event_steps(spark, sf_dir).withColumn("extraction_failed", F.col("k") % 97 == 5)
+    steps = activity.ordered_event_steps(spark, sf_dir).withColumn("extraction_failed", F.col("k") % 97 == 5)
     return rules.information_loss(rules.profile(steps, steps)).drop("schema_version")
 
 
@@ -229,7 +233,7 @@ def loss_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = arbiter.ordered_evidence(_evidence(_frames(spark, sf_dir)))
+    found = arbiter.ordered_evidence(_evidence(_frames(spark, sf_dir, positions=True)))
     return found.select("run_id", "evidence_no", "rule_id", "agent", "step", "value")
 
 
@@ -240,7 +244,7 @@ def fallback_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir)
+    frames = _frames(spark, sf_dir, positions=True)
     evidence = _evidence(frames)
     return explain.prompts(arbiter.resolve(frames.runs, evidence), evidence)
 
@@ -260,10 +264,10 @@ def _explorer(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     steps = activity.event_steps(spark, sf_dir)
     runs = _runs(steps)
     newest = metrics.newest_runs(runs.select("run_id", "timestamp"), limit)
-    shown = activity.with_positions(metrics.steps_of(steps, newest))
+    shown = activity.with_order(metrics.steps_of(steps, newest))
     named = F.when(F.col("k") % 4 == 0, F.concat(F.lit("topic "), F.col("k").cast("string")))
     topics = shown.groupBy("run_id").agg(F.min_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("topic"))
-    frames = analysis.TraceFrames(newest.select("run_id"), shown, shown)
+    frames = analysis.TraceFrames(newest.select("run_id"), shown, shown, positions=False)
     judged = analysis.analyze(frames, analysis.DEFAULT_ANALYZERS)
     rows = explore.explorer_rows(runs, shown, topics, limit)
     return explore.with_verdict(rows, judged, frames.loss)
@@ -615,7 +619,7 @@ def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "store")
-    store.write_batch(store.analysis_rows(_evidence(_frames(spark, sf_dir))), root, "analysis", 0)
+    store.write_batch(store.analysis_rows(_evidence(_frames(spark, sf_dir, positions=True))), root, "analysis", 0)
     stored = store.read_table(spark, root, "analysis")
     return stored.select(
         "run_id", "step", "analyzer", "category", "verdict", "confidence",

@@ -54,11 +54,12 @@ EXTRACTION_RESPONSE = """
 """
 
 # One row per finding.  ``emit_seq``/``emit_idx`` keep the order in which one
-# analyzer reports findings of the same rule.
+# analyzer reports findings of the same rule; the type also holds order keys that
+# are not positions.
 EVIDENCE_COLUMNS = (
     ("run_id", "string"),
     ("analyzer_ord", "int"),
-    ("emit_seq", "bigint"),
+    ("emit_seq", "decimal(38,0)"),
     ("emit_idx", "int"),
     ("source", "string"),
     ("rule_id", "string"),

@@ -80,11 +80,33 @@ def with_positions(steps: DataFrame) -> DataFrame:
     return ranked.withColumn("step", F.col("pos") + 1)
 
 
+def with_order(steps: DataFrame) -> DataFrame:
+    """Add ``pos`` as a mere order key, by time and then event, without a shuffle.
+
+    Most verdicts only ask which of two steps came first.  A decimal is compared in
+    place by hash aggregation, which a (time, event) struct would not be.
+    """
+    micros = (
+        "unix_date(to_date(timestamp)) * 86400000000L + hour(timestamp) * 3600000000L "
+        "+ minute(timestamp) * 60000000L + CAST(extract(SECOND FROM timestamp) * 1000000 AS BIGINT)"
+    )
+    return steps.selectExpr(
+        "*",
+        f"CAST(CAST({micros} AS DECIMAL(18,0)) * CAST(10000000000000000000 AS DECIMAL(20,0)) + event_id "
+        "AS DECIMAL(38,0)) AS pos",
+        "CAST(NULL AS BIGINT) AS step",
+    )
+
+
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unranked steps of the events table; ``event_id`` orders them within a run."""
+    """Unranked steps of the events table."""
     return as_steps(read(spark, sf_dir, "events"))
 
 
+def ordered_event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_order(event_steps(spark, sf_dir))
+
+
 def ranked_event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positions(event_steps(spark, sf_dir))
 
