@@ -7,7 +7,7 @@ from dataclasses import dataclass
 # Number of consecutive step positions that may share one task or one nested
 # document.  A run longer than this is processed as several chunks.
 STEP_CHUNK = 100_000
-DOCUMENT_CHUNK = 10_000
+DOCUMENT_CHUNK = 1_000
 PROMPT_CHUNK = 1_000
 
 

@@ -12,6 +12,13 @@ EMPTY_OUTPUT = "Empty output — nothing to extract"  # fixed value
 _LISTS = ("tool_calls", "claims", "references", "numbers", "dates")
 
 
+def requests(steps: DataFrame) -> DataFrame:
+    """What an extracting model is shown: outputs with content, cut to its input limit."""
+    return steps.where(text.strip(F.col("raw_output")) != "").select(
+        "run_id", "pos", "step", "agent", F.substring("raw_output", 1, text.EXTRACTION_CHARS).alias("request")
+    )
+
+
 def _evidence(steps: DataFrame, failed: Column, message: Column, counts: dict[str, Column], cost: Column) -> DataFrame:
     """Typed evidence rows; a failed extraction has zero counts and empty lists."""
     nothing = F.array().cast("array<string>")

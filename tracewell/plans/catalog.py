@@ -583,7 +583,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = activity.ranked_event_steps(spark, sf_dir)
     store.write_runs(_runs(activity.event_steps(spark, sf_dir)), steps, root, 0)
     stored = {t: store.read_table(spark, root, t) for t in ("runs", "steps", "metrics")}
-    by_prefix = store.count_by_prefix(stored["runs"], "run_1").select(F.lit("runs run_1*").alias("table_name"), "n_rows")
+    by_prefix = store.count_like(stored["runs"], "run_1%").select(F.lit("runs run_1*").alias("table_name"), "n_rows")
     return store.table_counts(stored).unionByName(by_prefix)
 
 

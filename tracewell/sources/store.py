@@ -98,5 +98,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
-def count_by_prefix(runs: DataFrame, prefix: str) -> DataFrame:
-    return runs.where(F.col("run_id").startswith(prefix)).agg(F.count("*").alias("n_rows"))
+def count_like(runs: DataFrame, pattern: str) -> DataFrame:
+    """Runs whose id matches a LIKE pattern (``_`` stands for any character)."""
+    return runs.where(F.col("run_id").like(pattern)).agg(F.count("*").alias("n_rows"))
+
+
+def copy_current(spark: SparkSession, root: str, new_root: str) -> None:
+    """Write the current rows of every stored table to a new place as one ingest."""
+    for table in TABLES:
+        write_batch(read_table(spark, root, table), new_root, table, 0)

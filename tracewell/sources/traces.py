@@ -48,7 +48,8 @@ def nest_documents(runs: DataFrame, steps: DataFrame, step_columns: list[str], c
     """Nest ``steps`` (with ``pos``) under their runs, ``chunk`` steps to a document.
 
     Runs of ordinary length become one document each.  Longer runs become several,
-    told apart by ``first_pos``; readers put the positions back together.
+    told apart by ``first_pos``; readers put the positions back together.  Grouping
+    and join both run on (run, first_pos), so one very long run is many small groups.
     """
     nested = (
         steps.withColumn("first_pos", F.floor(F.col("pos") / chunk) * chunk)
@@ -56,8 +57,15 @@ def nest_documents(runs: DataFrame, steps: DataFrame, step_columns: list[str], c
         .agg(F.array_sort(F.collect_list(F.struct("pos", *step_columns))).alias("s"))
         .select("run_id", "first_pos", F.transform("s", lambda x: x.dropFields("pos")).alias("steps"))
     )
-    # runs without steps keep one document with an empty list
-    return runs.join(nested, "run_id", "left").withColumn("first_pos", F.coalesce("first_pos", F.lit(0)))
+    last = steps.groupBy("run_id").agg(F.max("pos").alias("_last"))
+    zero = F.lit(0).cast("bigint")
+    # runs without steps keep one document without a list
+    documents = (
+        runs.join(last, "run_id", "left")
+        .withColumn("first_pos", F.explode(F.sequence(zero, F.coalesce("_last", zero), F.lit(chunk).cast("bigint"))))
+        .drop("_last")
+    )
+    return documents.join(nested, ["run_id", "first_pos"], "left")
 
 
 def write_traces(docs: DataFrame, path: str) -> None:
