@@ -57,7 +57,7 @@ def ordered_evidence(evidence: DataFrame) -> DataFrame:
     """Findings with ``evidence_no``, their 1-based place in the run's bundle.
 
     The steps must have had positions, not mere order keys, for the cells to be of
-    use.
+    use.  The findings are read twice, so they should be stored beforehand.
     """
     ranked = rank_evidence(evidence)
     return dense_position(

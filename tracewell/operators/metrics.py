@@ -202,14 +202,18 @@ def metrics_for_run(metrics: DataFrame, run_id: str) -> DataFrame:
     return metrics.where(F.col("run_id") == run_id).orderBy("step", "metric_name")
 
 
-def step_share(steps: DataFrame, chunk: int = STEP_CHUNK) -> DataFrame:
-    """Each step's latency as a share of its run's maximum, with the run totals."""
-    per_run = steps.groupBy("run_id").agg(
+def step_share(steps: DataFrame, chunk: int = STEP_CHUNK, unranked: DataFrame | None = None) -> DataFrame:
+    """Each step's latency as a share of its run's maximum, with the run totals.
+
+    ``unranked`` may name the same steps before they got positions; the totals are
+    then taken from there and the ranking is done once.
+    """
+    per_run = (steps if unranked is None else unranked).groupBy("run_id").agg(
         F.max("latency_ms").alias("max_latency_ms"),
         F.sum("latency_ms").alias("run_latency_ms"),
         F.sum("tokens_total").alias("run_tokens"),
         F.count("*").alias("run_steps"),
-        F.max("pos").alias("_last_pos"),
+        (F.count("*") - 1).alias("_last_pos"),
     )
     share = F.when(F.col("max_latency_ms") == 0, F.lit(0.0)).otherwise(
         F.least(F.lit(100.0), F.col("latency_ms") / F.col("max_latency_ms") * 100)

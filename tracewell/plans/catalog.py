@@ -24,7 +24,7 @@ from tracewell.operators import (
     rules,
 )
 from tracewell.plans import analysis
-from tracewell.session import work_dir
+from tracewell.session import materialize, work_dir
 from tracewell.sources import activity, store, traces
 from tracewell.streaming import capture
 
@@ -123,7 +123,8 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = metrics.step_share(activity.ranked_event_steps(spark, sf_dir))
+    events = activity.event_steps(spark, sf_dir)
+    shared = metrics.step_share(activity.with_positions(events), unranked=events)
     return shared.select(
         "run_id", "step", "agent", "latency_ms", "max_latency_ms", "run_latency_ms", "run_tokens", "run_steps",
         _r("latency_pct"),
@@ -204,13 +205,15 @@ def analyzer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last turn of each conversation against a benchmark passage."""
-    finals = rules.final_outputs(activity.conversation_steps(spark, sf_dir))
+    steps = activity.conversation_steps(spark, sf_dir)
     items = activity.read(spark, sf_dir, "benchmark")
-    number = F.substring("run_id", 6, 20).cast("bigint")
     runs = (
-        finals.select("run_id", F.pmod(number, items.agg(F.count("*")).scalar()).alias("item_id"))
+        steps.select("run_id", "conv_id")
+        .distinct()
+        .withColumn("item_id", F.pmod("conv_id", items.agg(F.count("*")).scalar()))
         .join(items.withColumnRenamed("text", "expected_output"), "item_id")
     )
+    finals = rules.final_outputs(steps)
     compared = rules.ground_truth(runs, finals)
     return rules.ground_truth_evidence(compared).select(
         "run_id", "rule_id", "agent", "severity", _r("confidence"), "rule_description"
@@ -233,7 +236,8 @@ def loss_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = arbiter.ordered_evidence(_evidence(_frames(spark, sf_dir, positions=True)))
+    evidence = materialize(_evidence(_frames(spark, sf_dir, positions=True)), "evidence")
+    found = arbiter.ordered_evidence(evidence)
     return found.select("run_id", "evidence_no", "rule_id", "agent", "step", "value")
 
 
@@ -245,7 +249,7 @@ def fallback_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir, positions=True)
-    evidence = _evidence(frames)
+    evidence = materialize(_evidence(frames), "evidence")
     return explain.prompts(arbiter.resolve(frames.runs, evidence), evidence)
 
 
@@ -262,12 +266,11 @@ def run_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _explorer(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     """Newest runs with their verdict; only those runs are analysed."""
     steps = activity.event_steps(spark, sf_dir)
-    runs = _runs(steps)
-    newest = metrics.newest_runs(runs.select("run_id", "timestamp"), limit)
-    shown = activity.with_order(metrics.steps_of(steps, newest))
+    runs = materialize(metrics.newest_runs(_runs(steps), limit), "shown-runs")
+    shown = materialize(activity.with_order(metrics.steps_of(steps, runs)), "shown-steps")
     named = F.when(F.col("k") % 4 == 0, F.concat(F.lit("topic "), F.col("k").cast("string")))
     topics = shown.groupBy("run_id").agg(F.min_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("topic"))
-    frames = analysis.TraceFrames(newest.select("run_id"), shown, shown, positions=False)
+    frames = analysis.TraceFrames(runs.select("run_id"), shown, shown, positions=False)
     judged = analysis.analyze(frames, analysis.DEFAULT_ANALYZERS)
     rows = explore.explorer_rows(runs, shown, topics, limit)
     return explore.with_verdict(rows, judged, frames.loss)
@@ -337,6 +340,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(F.min("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         F.sum("latency_ms").alias("total_latency_ms"),
         F.sum("tokens_total").alias("total_tokens"),
+        F.count("*").alias("step_count"),
     )
     return traces.nest_documents(runs, steps, [c for c in steps.columns if c not in ("run_id", "pos")])
 

@@ -57,14 +57,13 @@ def nest_documents(runs: DataFrame, steps: DataFrame, step_columns: list[str], c
         .agg(F.array_sort(F.collect_list(F.struct("pos", *step_columns))).alias("s"))
         .select("run_id", "first_pos", F.transform("s", lambda x: x.dropFields("pos")).alias("steps"))
     )
-    last = steps.groupBy("run_id").agg(F.max("pos").alias("_last"))
-    zero = F.lit(0).cast("bigint")
+    if "step_count" not in runs.columns:
+        counted = steps.groupBy("run_id").agg((F.max("pos") + 1).alias("step_count"))
+        runs = runs.join(counted, "run_id", "left")
     # runs without steps keep one document without a list
-    documents = (
-        runs.join(last, "run_id", "left")
-        .withColumn("first_pos", F.explode(F.sequence(zero, F.coalesce("_last", zero), F.lit(chunk).cast("bigint"))))
-        .drop("_last")
-    )
+    last = F.greatest(F.coalesce(F.col("step_count"), F.lit(0)) - 1, F.lit(0)).cast("bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), last, F.lit(chunk).cast("bigint"))
+    documents = runs.withColumn("first_pos", F.explode(starts)).drop("step_count")
     return documents.join(nested, ["run_id", "first_pos"], "left")
 
 
