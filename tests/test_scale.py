@@ -38,6 +38,29 @@ def test_positions_are_the_exact_row_numbers(hot, ranked):
     assert list(ranked.columns) == [*hot.columns, "pos"]
 
 
+@pytest.mark.parametrize("crowded", [0, 20, 100, 10**9])
+def test_crowded_cells_are_split_exactly(spark, crowded):
+    """A run whose rows share few minutes, and mostly one single time."""
+    rng = random.Random(11)
+    rows = [
+        (n * 400_000, "hot" if n % 4 else "cold", 0 if n % 3 else rng.randrange(90), rng.randrange(3)) for n in range(900)
+    ]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "event_id bigint, run_id string, s int, us int").withColumn(
+        "timestamp", F.timestamp_micros((F.col("s") + 1_700_000_000).cast("bigint") * 1_000_000 + F.col("us"))
+    )
+    found = activity.with_positions(events, crowded).toPandas().sort_values(["run_id", "timestamp", "event_id"])
+    assert len(found) == 900
+    assert found["pos"].tolist() == found.groupby("run_id").cumcount().tolist()
+
+
+def test_steps_without_a_time_come_first(spark):
+    rows = [(1, "r", "2024-01-01 00:00:00"), (3, "r", None), (2, "r", None)]
+    events = spark.createDataFrame(rows, "event_id bigint, run_id string, t string").withColumn("timestamp", F.col("t").cast("timestamp"))
+    found = activity.with_positions(events).orderBy("pos").collect()
+    assert [(r.pos, r.event_id) for r in found] == [(0, 2), (1, 3), (2, 1)]
+
+
 def test_values_reach_every_step_of_a_long_run(ranked):
     found = metrics.step_share(ranked, chunk=64).toPandas()
     assert len(found) == 3000
