@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.config import PROMPT_CHUNK
 from tracewell.functions import text
-from tracewell.operators.arbiter import ordered_evidence
+from tracewell.operators.arbiter import POSITION_CELL, ordered_evidence
 
 
 def fallback_summary(verdicts: DataFrame) -> Column:
@@ -64,7 +64,9 @@ def _flag(column: str) -> Column:
     return F.when(F.col(column), F.lit("True")).otherwise(F.lit("False"))
 
 
-def prompts(verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK) -> DataFrame:
+def prompts(
+    verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK, cell: int = POSITION_CELL
+) -> DataFrame:
     """Prompt texts for an explaining model, ``chunk`` findings to a text.
 
     Ordinary runs have the single part 0.  A run with more findings than fit gets
@@ -84,7 +86,7 @@ def prompts(verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK)
         ),
     )
     lines = (
-        ordered_evidence(evidence)
+        ordered_evidence(evidence, cell)
         .select("run_id", F.floor((number - 1) / chunk).alias("part"), F.struct(number, line.alias("e"), rule.alias("r")).alias("l"))
         .groupBy("run_id", "part")
         .agg(F.array_sort(F.collect_list("l")).alias("lines"))

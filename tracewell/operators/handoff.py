@@ -18,22 +18,20 @@ def _quoted(keys: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def diff_columns(before: Column, after: Column) -> dict[str, Column]:
-    """Sorted key lists of the four-way comparison of two state maps."""
-    # empty members are nulled, so "present" below means "has content"
-    b = F.transform_values(before, lambda _, v: F.when(~values.is_empty(v), v))
-    a = F.transform_values(after, lambda _, v: F.when(~values.is_empty(v), v))
-    keys = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
-
-    def where(test) -> Column:
-        return F.filter(keys, lambda k: test(F.try_element_at(b, k), F.try_element_at(a, k)))
+def _changes(before: Column, after: Column) -> Column:
+    """(key, kind) of every key with content on either side, in key order."""
+
+    def kind(key: Column) -> Column:
+        b, a = F.try_element_at(before, key), F.try_element_at(after, key)
+        had, has = ~values.is_empty(b), ~values.is_empty(a)
+        return (
+            F.when(had & has, F.when(b == a, F.lit("unchanged")).otherwise(F.lit("modified")))
+            .when(has, F.lit("added"))
+            .when(had, F.lit("dropped"))
+        )
 
-    return {
-        "added_keys": where(lambda x, y: x.isNull() & y.isNotNull()),
-        "modified_keys": where(lambda x, y: x.isNotNull() & y.isNotNull() & (x != y)),
-        "unchanged_keys": where(lambda x, y: x.isNotNull() & y.isNotNull() & (x == y)),
-        "dropped_keys": where(lambda x, y: x.isNotNull() & y.isNull()),
-    }
+    keys = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), kind(k).alias("kind")))
 
 
 def summary() -> Column:
@@ -48,8 +46,15 @@ def summary() -> Column:
 
 def handoff_diff(steps: DataFrame, before: str = "input_state", after: str = "output_state") -> DataFrame:
     """Steps with the key lists, flags and summary of their handoff."""
+
+    def keys(kind: str) -> Column:
+        return F.transform(F.filter("_changes", lambda c: c["kind"] == kind), lambda c: c["key"])
+
     return (
-        steps.withColumns(diff_columns(F.col(before), F.col(after)))
+        # compared once per step; the four lists only pick from it
+        steps.withColumn("_changes", _changes(F.col(before), F.col(after)))
+        .withColumns({f"{kind}_keys": keys(kind) for kind in ("added", "modified", "unchanged", "dropped")})
+        .drop("_changes")
         .withColumns(
             {
                 "has_information_loss": F.size("dropped_keys") > 0,

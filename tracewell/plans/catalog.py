@@ -248,9 +248,9 @@ def fallback_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir, positions=True)
+    frames = _frames(spark, sf_dir)
     evidence = materialize(_evidence(frames), "evidence")
-    return explain.prompts(arbiter.resolve(frames.runs, evidence), evidence)
+    return explain.prompts(arbiter.resolve(frames.runs, evidence), evidence, cell=activity.ORDER_MINUTE)
 
 
 def verdict_report(spark: SparkSession, sf_dir: str) -> DataFrame:

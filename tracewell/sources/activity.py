@@ -17,6 +17,11 @@ from tracewell.operators.ranking import dense_position
 TOOL_CALLS = "array<struct<name:string,output_text:string,has_output:boolean,has_error:boolean>>"
 
 
+# Order keys are microseconds times ORDER_UNIT plus the event; one minute of them.
+ORDER_UNIT = 10**19
+ORDER_MINUTE = 60_000_000 * ORDER_UNIT
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -103,7 +108,7 @@ def with_order(steps: DataFrame) -> DataFrame:
     )
     return steps.selectExpr(
         "*",
-        f"CAST(CAST({micros} AS DECIMAL(18,0)) * CAST(10000000000000000000 AS DECIMAL(20,0)) + event_id "
+        f"CAST(CAST({micros} AS DECIMAL(18,0)) * CAST({ORDER_UNIT} AS DECIMAL(20,0)) + event_id "
         "AS DECIMAL(38,0)) AS pos",
         "CAST(NULL AS BIGINT) AS step",
     )
