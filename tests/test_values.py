@@ -73,8 +73,8 @@ def test_merge_keeps_returned_nulls(spark):
     ],
 )
 def test_timestamps(spark, given, expected):
-    now = F.lit("1970-01-01 00:00:00").cast("timestamp")
-    assert one(spark, text.format_time(values.to_utc_timestamp(F.col("t"), now)), t=given) == expected
+    now = F.timestamp_seconds(F.lit(0))
+    assert one(spark, text.format_utc(values.to_utc_timestamp(F.col("t"), now)), t=given) == expected
 
 
 @pytest.mark.parametrize("given, expected", [("error", "ERROR"), ("Skipped", "SKIPPED"), ("odd", "SUCCESS"), (None, "SUCCESS")])

@@ -89,9 +89,15 @@ def format_ms(ms: Column) -> Column:
 
 
 def format_time(ts: Column) -> Column:
+    """Wall-clock time to the second, as the column shows it in the session."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+def format_utc(ts: Column) -> Column:
+    """The same for a TIMESTAMP column, in UTC whatever the session's zone."""
+    return format_time(F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")))
+
+
 def percent(ratio: Column) -> Column:
     """'63%' with ties to even."""
     return F.concat(F.bround(ratio * 100, 0).cast("bigint").cast("string"), F.lit("%"))

@@ -158,5 +158,5 @@ def display_steps(steps: DataFrame) -> DataFrame:
         "run_id",
         "step",
         text.format_ms(F.col("latency_ms")).alias("latency"),
-        text.format_time(F.col("timestamp")).alias("time"),
+        text.format_utc(F.col("timestamp")).alias("time"),
     )

@@ -352,7 +352,7 @@ def _reparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unread = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    unread = F.timestamp_seconds(F.lit(0))
     steps = normalize.normalize_steps(_reparsed(spark, sf_dir), now=unread)
     return steps.select(
         "run_id",
@@ -360,7 +360,7 @@ def normalized_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos",
         "agent",
         "status",
-        text.format_time(F.col("timestamp")).alias("timestamp"),
+        text.format_utc(F.col("timestamp")).alias("timestamp"),
         "tokens_total",
         "diff_summary",
         F.array_join(F.array_sort(F.map_keys("input_state")), ",").alias("input_keys"),
