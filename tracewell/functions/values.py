@@ -86,6 +86,7 @@ def state_text(state: Column, key: str) -> Column:
 
 def to_utc_timestamp(text: Column, now: Column | None = None) -> Column:
     """ISO text to TIMESTAMP; text without a zone is UTC, unreadable text is now."""
+    text = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), text)
     zoned = F.when(
         text.rlike(r"([Zz]|[+-][0-9]{2}:?[0-9]{2})$") | ~text.rlike(r"[0-9]:[0-9]"), text
     ).otherwise(F.concat(text, F.lit("+00:00")))

@@ -130,16 +130,19 @@ def prompts(
     return parts.join(lines, ["run_id", "part"], "left").select("run_id", "part", body.alias("prompt"))
 
 
-def verdict_report(explained: DataFrame) -> DataFrame:
-    """Markdown report per run; expects verdict, confidence, summary and fix."""
+def verdict_report(explained: DataFrame, loss: DataFrame) -> DataFrame:
+    """Markdown report per run.  Verdict and confidence are those of the information
+    loss comparison; runs without one show UNKNOWN and a dash.
+    """
+    seen = loss.select("run_id", F.col("verdict").alias("_verdict"), F.col("confidence").alias("_confidence"))
     report = F.concat_ws(
         "\n",
         F.lit("## Verdict"),
         F.concat(F.lit("**Run:** `"), "run_id", F.lit("`")),
-        F.concat(F.lit("**Verdict:** "), "verdict", F.lit(" ("), "priority_level", F.lit(")")),
+        F.concat(F.lit("**Verdict:** "), F.coalesce("_verdict", F.lit("UNKNOWN")), F.lit(" ("), "priority_level", F.lit(")")),
         F.concat(F.lit("**Cause:** "), "primary_cause"),
         F.concat(F.lit("**Agent:** "), F.coalesce("primary_agent", F.lit("N/A"))),
-        F.concat(F.lit("**Confidence:** "), F.coalesce(text.percent(F.col("confidence")), F.lit("N/A"))),
+        F.concat(F.lit("**Confidence:** "), F.coalesce(text.percent(F.col("_confidence")), F.lit("—"))),
         F.concat(F.lit("**Grounded:** "), F.when(F.col("grounded"), F.lit("Yes")).otherwise(F.lit("No"))),
         F.lit(""),
         F.lit("### Root Cause"),
@@ -148,4 +151,4 @@ def verdict_report(explained: DataFrame) -> DataFrame:
         F.lit("### Suggested Fix"),
         F.coalesce("suggested_fix", F.lit("")),
     )
-    return explained.select("run_id", report.alias("report"))
+    return explained.join(seen, "run_id", "left").select("run_id", report.alias("report"))

@@ -256,7 +256,13 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir)
     judged = explain.explain_fallback(arbiter.resolve(frames.runs, _evidence(frames)))
-    return explain.verdict_report(arbiter.coarse_verdict(judged, frames.loss))
+    return explain.verdict_report(judged, frames.loss)
+
+
+def coarse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    judged = arbiter.resolve(frames.runs, _evidence(frames))
+    return arbiter.coarse_verdict(judged, frames.loss).select("run_id", "priority_level", "verdict")
 
 
 def run_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -691,16 +697,21 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured step records: successful ones and ones that raised."""
     k = F.col("k")
+    failed = F.col("status") == "ERROR"
     event = F.to_json(
         F.struct(
             "run_id", "workflow", F.col("event_id").alias("step"), F.concat("agent", F.lit("_node")).alias("agent"),
             F.lit("done").alias("output"), "latency_ms", "tokens_prompt", "tokens_completion",
-            F.when(F.col("status") == "ERROR", F.lit("TimeoutError")).alias("error_type"),
-            F.when(F.col("status") == "ERROR", F.concat(F.lit("after "), k.cast("string"))).alias("error_message"),
+            F.when(failed, F.lit("TimeoutError")).alias("error_type"),
+            F.when(failed, F.concat(F.lit("after "), k.cast("string"))).alias("error_message"),
+            F.to_json(F.struct(F.lit("t").alias("topic"), k.alias("n"))).alias("input_state"),
+            F.to_json(F.struct((k + 1).alias("n"), F.col("agent").alias("by"))).alias("returned_state"),
         )
     )
-    found = capture.parse_step_events(activity.event_steps(spark, sf_dir).select(event.alias("value")))
-    return found.select("run_id", "step", "agent", "raw_output", "status", "error", "tokens_total")
+    parsed = capture.parse_step_events(activity.event_steps(spark, sf_dir).select(event.alias("value")))
+    return capture.record_steps(parsed).select(
+        "run_id", "step", "agent", "raw_output", "status", "error", "tokens_total", "diff_summary"
+    )
 
 
 QUERIES = {
@@ -710,7 +721,7 @@ QUERIES = {
         step_anomalies, slowest_fastest, agent_latency, agent_summary, cost_estimate, metrics_long, step_share,
         trace_timeline, latest_run, tool_rules, evidence_rules, latest_evidence, skipped_steps, wrong_order,
         role_order, information_loss, analyzer_status, ground_truth, loss_verdicts, ordered_evidence,
-        fallback_explanation, prompt_table, verdict_report, handoff_diff, normalized_steps, topic, trace_roundtrip,
+        fallback_explanation, prompt_table, verdict_report, coarse_verdicts, handoff_diff, normalized_steps, topic, trace_roundtrip,
         extraction_parse, extraction_cost, structural_counts, field_lists, checker_approval, display_formats,
         run_diff, first_divergence, label_eval, label_confusion, label_false_positives, label_distribution,
         quarantine, table_counts, upsert_latest, upsert_runs, metrics_store, analysis_rows, stream_runs,

@@ -364,11 +364,14 @@ ORACLES = {
           'grounded=False → Use HEDGED language (may indicate, suggests, possible).', '') AS prompt
         FROM verd LEFT JOIN blocks USING (run_id)"""),
     "verdict_report": _q(VERDICTS, """SELECT t.run_id, concat_ws(chr(10), '## Verdict', '**Run:** `' || t.run_id || '`',
-          '**Verdict:** ' || CASE WHEN priority_level = 'P5' THEN 'PASS' ELSE coalesce(l.verdict, 'WARNING') END || ' (' || priority_level || ')',
+          '**Verdict:** ' || coalesce(l.verdict, 'UNKNOWN') || ' (' || priority_level || ')',
           '**Cause:** ' || primary_cause, '**Agent:** ' || coalesce(primary_agent, 'N/A'),
-          '**Confidence:** ' || coalesce(CAST(round_even(t.confidence * 100, 0) AS BIGINT) || '%', 'N/A'), '**Grounded:** No', '',
+          '**Confidence:** ' || coalesce(CAST(round_even(l.confidence * 100, 0) AS BIGINT) || '%', '—'), '**Grounded:** No', '',
           '### Root Cause', words, '', '### Suggested Fix', fix) AS report
         FROM told t LEFT JOIN loss l ON l.run_id = t.run_id"""),
+    "coarse_verdicts": _q(VERDICTS, """SELECT v.run_id, priority_level,
+        CASE WHEN priority_level = 'P5' THEN 'PASS' ELSE coalesce(l.verdict, 'WARNING') END AS verdict
+        FROM verd v LEFT JOIN loss l ON l.run_id = v.run_id"""),
     "handoff_diff": _q(CONV + "," + STATES, """SELECT run_id, step, array_to_string(a, ',') AS added_keys,
         array_to_string(m, ',') AS modified_keys, array_to_string(u, ',') AS unchanged_keys, array_to_string(d, ',') AS dropped_keys,
         len(d) > 0 AS has_information_loss, len(m) > 0 AS has_mutations, len(a) + len(m) + len(d) AS total_changes,
@@ -456,6 +459,8 @@ ORACLES = {
     "stream_upsert": _q(EV, """SELECT agent, status, count(*) AS n_steps, CAST(sum(tok) AS BIGINT) AS tokens_total,
         max(event_id) AS last_step FROM st GROUP BY agent, status"""),
     "step_events": _q(EV, """SELECT run_id, event_id AS step, agent, CASE WHEN err THEN '' ELSE 'done' END AS raw_output, status,
-        CASE WHEN err THEN 'TimeoutError: after ' || k END AS error, tok AS tokens_total FROM st"""),
+        CASE WHEN err THEN 'TimeoutError: after ' || k END AS error, tok AS tokens_total,
+        CASE WHEN err THEN 'no changes' WHEN k = 0 THEN 'added=[''by'', ''n'']' ELSE 'added=[''by''], modified=[''n'']' END AS diff_summary
+        FROM st"""),
 }
 ORACLES["stream_runs"] = ORACLES["runs_rollup"]

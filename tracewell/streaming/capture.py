@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.config import DEFAULT, Config
-from tracewell.operators import metrics
+from tracewell.functions import values
+from tracewell.operators import handoff, metrics
 from tracewell.sources import store
 
 STEP_EVENT = """
@@ -52,6 +53,20 @@ def parse_step_events(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def record_steps(events: DataFrame) -> DataFrame:
+    """Step events with their three states and what the step did to them.
+
+    Row by row, so it serves streams as well.  A step that raised returned nothing,
+    and its output state is its input state.
+    """
+    states = {
+        "input_state": values.parse_state(F.col("input_state")),
+        "filtered_state": values.parse_state(F.col("returned_state")),
+    }
+    merged = handoff.finalize_handoff(events.withColumns(states).drop("returned_state"))
+    return handoff.handoff_diff(merged).withColumnRenamed("handoff_summary", "diff_summary")
+
+
 def distinct_steps(events: DataFrame, key: tuple[str, ...], delay: str) -> DataFrame:
     """First arrival of every step within the watermark."""
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(key))
