@@ -92,7 +92,7 @@ def emit(df: DataFrame, findings: Sequence[Finding]) -> DataFrame:
 
 def tool_evidence(steps: DataFrame) -> DataFrame:
     """Tool calls without any result, and tool calls that failed."""
-    calls = steps.where("size(tool_calls) > 0").selectExpr(
+    calls = steps.selectExpr(
         "run_id", "pos", "step", "agent", "posexplode(tool_calls) AS (idx, call)"
     )
     where = {"step": "step", "emit_seq": "pos", "emit_idx": "idx", "agent": "agent"}

@@ -511,12 +511,10 @@ def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversation 2k against conversation 2k+1."""
+    """Every conversation against the next one."""
     steps = activity.conversation_steps(spark, sf_dir)
-    number = F.col("conv_id").cast("string")
-    pairs = steps.where(F.col("conv_id") % 2 == 0).select("conv_id").distinct().select(
-        F.concat(F.lit("conv_"), number).alias("run_a"),
-        F.concat(F.lit("conv_"), (F.col("conv_id") + 1).cast("string")).alias("run_b"),
+    pairs = steps.select("conv_id").distinct().selectExpr(
+        "concat('conv_', conv_id) AS run_a", "concat('conv_', conv_id + 1) AS run_b"
     )
     return pairs, diff.diff_steps(steps, pairs)
 

@@ -171,8 +171,7 @@ compared AS (
     length(a.text) // 4 AS tok_a, coalesce(length(b.text) // 4, 0) AS tok_b,
     CASE WHEN b.text IS NULL THEN 0.0
       ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS sim
-  FROM wordy a LEFT JOIN wordy b ON b.conv_id = a.conv_id + 1 AND b.agent = a.agent
-  WHERE a.conv_id % 2 = 0)
+  FROM wordy a LEFT JOIN wordy b ON b.conv_id = a.conv_id + 1 AND b.agent = a.agent)
 """
 
 LABELLED = """
