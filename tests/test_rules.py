@@ -2,7 +2,6 @@
 
 import difflib
 import itertools
-import json
 
 import pytest
 from pyspark.sql import functions as F
