@@ -191,7 +191,7 @@ def information_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyzer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users without events of their own stand for runs without steps."""
+    """Nations stand for runs without steps, half of them with an expected output."""
     steps = activity.event_steps(spark, sf_dir)
     profile = steps.groupBy("run_id").agg(F.count("*").alias("n_steps"))
     nations = activity.read(spark, sf_dir, "nation").select(
