@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tracewell.session import materialize
 
@@ -63,3 +66,42 @@ def running_sums(
     return joined.withColumns({s: F.col(s) + F.col(b) for s, b in zip(sums, own, strict=True)}).drop(
         part, f"{part}__k", *own, *(f"{k}__k" for k in keys)
     )
+
+
+def refuse_clash(df_columns: Sequence[str], new: Sequence[str]) -> None:
+    """New columns must not hide columns that exist; names are compared without case."""
+    if clash := {c.lower() for c in df_columns} & {c.lower() for c in new}:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+
+
+def map_texts(
+    df: DataFrame,
+    text: str,
+    keep: Sequence[str],
+    new: StructType,
+    start: Callable[[], Callable[[list[bytes | None]], list[list]]],
+    binary: bool = False,
+) -> DataFrame:
+    """Add columns made from the texts of each Arrow batch; no shuffle.
+
+    ``start`` runs once in each task and returns a function from the UTF-8 texts of a
+    batch (None for null) to one list of values per new column.  ``keep`` are the
+    columns that come along; ``binary`` tells that the column holds bytes already.
+    """
+    refuse_clash(keep, new.names)
+    slot = fresh(df, "_text")[0]
+    raw = F.col(text) if binary else F.col(text).cast("string").cast("binary")
+    chosen = df.select(raw.alias(slot), *keep)
+    kinds = to_arrow_schema(new)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = start()
+        for batch in batches:
+            columns = run(batch.column(0).to_pylist())
+            made = [pa.array(values, type=kinds.field(i).type) for i, values in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], *made], names=[*batch.schema.names[1:], *kinds.names]
+            )
+
+    kept = StructType([f for f in chosen.schema.fields if f.name != slot])
+    return chosen.mapInArrow(work, StructType(kept.fields + new.fields))

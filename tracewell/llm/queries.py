@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, url_filter
+from tracewell.llm import bpe, mixing, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -35,8 +36,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every document and the text they stand for, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(docs, path, keep=["doc_id"]), path)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
+    "op6_bpe": op6_bpe,
 }
 LLM_ORACLES = ORACLES
