@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewell.llm import secret_scan
 from tracewell.llm.mixing import MOST_COPIES, SEED, WEIGHTS, offset
 from tracewell.llm.url_filter import DEFAULT_VERDICT, RULES
 
@@ -55,4 +56,63 @@ SELECT page_id, host, path, b.rule, coalesce(b.verdict, '{DEFAULT_VERDICT}') AS
 FROM cut c LEFT JOIN best b ON c.row = b.row
 """
 
-ORACLES = {"op1_mixing": MIXING, "op2_url_filter": URLS}
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _places(kind: str, pattern: str, where: str = "true") -> str:
+    """Matches of a pattern with their places: lengths of matches and of what is between."""
+    return f"""
+  SELECT row, '{kind}' AS kind, m, v, (before + list_sum(list_transform(gaps[:i], lambda g: length(g))))::BIGINT AS start
+  FROM (
+    SELECT row, gaps, i, ms[i] AS m, vs[i] AS v, coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS before
+    FROM (
+      SELECT row, regexp_extract_all(t, p) AS ms, {"regexp_extract_all(t, p, 2)" if kind == "assign" else "regexp_extract_all(t, p)"} AS vs,
+        regexp_split_to_array(t, p) AS gaps, unnest(range(1, len(regexp_extract_all(t, p)) + 1)) AS i
+      FROM (SELECT row, t, {_quoted(pattern)} AS p FROM texts) WHERE regexp_matches(t, p)
+    )
+  ) WHERE {where}"""
+
+
+SECRETS = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT row, kind, start, start + length(m) AS stop FROM (
+    {_places("assign", secret_scan.ASSIGN, f"length(v) >= {secret_scan.LEAST_VALUE}")}
+    UNION ALL {_places("access", secret_scan.ACCESS)}
+    UNION ALL {_places("hex", secret_scan.HEX)})
+), weak AS (
+  SELECT w.row, kind, start, start + length(m) AS stop FROM (
+    {_places("random", secret_scan.RANDOM, "regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')")}
+    UNION ALL {_places("named", secret_scan.NAMED)}) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = w.row AND b.start < w.start + length(w.m) AND w.start < b.stop)
+), other AS (
+  SELECT row, kind, start, start + length(m) AS stop FROM (
+    {_places("identifier", secret_scan.IDENTIFIER)} UNION ALL {_places("endpoint", secret_scan.ENDPOINT)})
+), pairs AS (
+  SELECT w.row, w.start AS w_start, w.stop AS w_stop, o.kind AS o_kind, o.start AS o_start, o.stop AS o_stop
+  FROM weak w JOIN other o ON w.row = o.row
+  WHERE greatest(w.start, o.start) - least(w.stop, o.stop) BETWEEN 0 AND {secret_scan.SCOPE}
+    AND (w.kind = 'named' OR o.kind = 'identifier')
+), spans AS (
+  SELECT DISTINCT row, kind, start, stop FROM (
+    SELECT * FROM base
+    UNION ALL SELECT row, 'linked', w_start, w_stop FROM pairs
+    UNION ALL SELECT row, 'identifier', o_start, o_stop FROM pairs WHERE o_kind = 'identifier')
+), named AS (
+  SELECT *, list_position({list(secret_scan.KINDS)}, kind) AS place, kind || ':' || start || ':' || stop AS said FROM spans
+), joined AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(said, ',' ORDER BY start, place, stop) AS spans,
+    string_agg(said, ',' ORDER BY start, place, stop) FILTER (place <= 3) AS base_spans
+  FROM named GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN joined j ON t.row = j.row
+"""
+
+ORACLES = {"op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, url_filter
+from tracewell.llm import bpe, mixing, secret_scan, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -49,9 +49,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, the base kinds as counts and a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, keep=["doc_id"])
+    base = F.filter("secret_spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    number = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secret_scan.described(base), 256).alias("base_sha256"),
+        secret_scan.described(F.col("secret_spans")).alias("spans"),
+    )
+
+
 LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
     "op6_bpe": op6_bpe,
+    "op9_secrets": op9_secrets,
 }
 LLM_ORACLES = ORACLES
