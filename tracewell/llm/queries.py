@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, secret_scan, url_filter
+from tracewell.llm import bpe, mixing, secret_scan, syncmers, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -49,6 +49,22 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = syncmers.with_edited(docs)
+    both = syncmers.add_sketch(both, "edited", "edited_own")
+    return both.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.printed(F.col("own")).alias("fingerprint"),
+        syncmers.printed(F.col("edited_own")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("own"), F.col("edited_own")).alias("near_edited"),
+        syncmers.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, the base kinds as counts and a digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +83,7 @@ LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
     "op6_bpe": op6_bpe,
+    "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
 }
 LLM_ORACLES = ORACLES
