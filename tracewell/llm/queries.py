@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, secret_scan, syncmers, url_filter
+from tracewell.llm import bpe, licenses, mixing, secret_scan, syncmers, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -36,6 +36,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, keep=["doc_id"])
+    labels = lambda column: F.transform(column, lambda m: m["label"])
+    listed = lambda column: F.array_join(F.array_sort(F.array_distinct(column)), ",")
+    starts = F.transform("license_places", lambda m: m["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("license_places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        listed(labels("license_places")).alias("base_labels"),
+        listed(F.concat(labels("license_places"), labels("license_matches"))).alias("labels"),
+        F.col("license_score").alias("score"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every document and the text they stand for, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +101,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
+    "op4_licenses": op4_licenses,
     "op6_bpe": op6_bpe,
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
