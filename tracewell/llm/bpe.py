@@ -17,9 +17,11 @@ from tracewell.llm.common import map_texts
 
 # fixed value: how byte-level vocabularies split a text before merging
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Words whose codes a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 1_000_000
+# Words used last whose codes a Python worker remembers: so many, or twice as many.
+REMEMBERED = 150_000
 CHUNKS = re.compile(r" (?=\S)")
+BLANKS = re.compile(r" \s")
+FEW = 12  # places that are merged one by one
 NOTHING = -1
 PAIR = 1 << 32  # (left, right) as one number
 
@@ -31,6 +33,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """A dictionary that forgets what was not asked for while ``size`` others were."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def lacks(self, keys: set) -> set:
+        """Those that are not known; the others are fresh again."""
+        keys = keys.difference(self)
+        again = keys.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return keys.difference(again)
+
+
 class Vocabulary:
     """A byte-level BPE model read from a tokenizer's JSON file."""
 
@@ -44,13 +66,14 @@ class Vocabulary:
         codes = spec["model"]["vocab"]
         self.first = np.array([codes[letters[b]] for b in range(256)])
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.parts = np.array([(codes[a], codes[b]) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
-        self.made = np.array([codes[a + b] for a, b in pairs], dtype=np.int64)
-        born = {int(c): -1 for c in self.first} | {c: rank for rank, c in reversed([*enumerate(self.made.tolist())])}
-        late = any(max(born.get(a, rank), born.get(b, rank)) >= rank for rank, (a, b) in enumerate(self.parts.tolist()))
-        if late or len(set(self.made.tolist())) < len(pairs):
+        self.pairs = [(codes[a], codes[b]) for a, b in pairs]
+        self.made = [codes[a + b] for a, b in pairs]
+        self.merges = {pair: rank for rank, pair in enumerate(self.pairs)}
+        born = dict.fromkeys(self.first.tolist(), -1) | {c: rank for rank, c in reversed([*enumerate(self.made)])}
+        late = any(max(born.get(a, rank), born.get(b, rank)) >= rank for rank, (a, b) in enumerate(self.pairs))
+        if late or len(set(self.made)) < len(pairs):
             raise ValueError("every merge must make a new symbol of earlier ones")
-        keys = self.parts[:, 0] * PAIR + self.parts[:, 1]
+        keys = np.array([a * PAIR + b for a, b in self.pairs], dtype=np.int64)
         self.pair_ranks = np.argsort(keys)
         self.pair_keys = keys[self.pair_ranks]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -63,8 +86,8 @@ class Vocabulary:
         names = sorted(added, key=lambda x: (-len(x), x))
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.split = regex.compile(SPLIT)
-        self.known: dict[str, bytes] = {}  # words
-        self.chunks: dict[str, bytes] = {}  # without the space before them; a text's first one has a space instead
+        self.known = Recent(REMEMBERED)  # codes of words
+        self.chunks = Recent(REMEMBERED)  # of chunks without the space before them; a text's first one has a space instead
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words through an index from each pair to all its places in them."""
@@ -78,7 +101,7 @@ class Vocabulary:
         inside = np.ones(len(symbols), dtype=bool)
         inside[starts + lengths] = False
         symbols[inside] = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        merge_places(symbols, self.pair_keys, self.pair_ranks, self.parts, self.made)
+        merge_places(symbols, self.pair_keys, self.pair_ranks, self.merges, self.pairs, self.made)
         left = symbols >= 0
         ends = 4 * np.cumsum(np.add.reduceat(left.astype(np.int64), starts))
         codes = symbols[left].astype("<u4").tobytes()
@@ -91,10 +114,8 @@ class Vocabulary:
         A text is cut before every space between white-free neighbours, where the
         split pattern always ends a word; the codes of such chunks are remembered.
         """
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.chunks.age()
+        self.known.age()
         rows: list[list[int | list[str]]] = []
         unknown: set[str] = set()
         for text in texts:
@@ -103,15 +124,16 @@ class Vocabulary:
                 if i % 2:
                     row.append(self.added[part.encode()])
                 elif part:
-                    row.append(chunks := CHUNKS.split(part))
+                    blanks = part[-1] == " " or BLANKS.search(part)
+                    row.append(chunks := CHUNKS.split(part) if blanks else part.split(" "))
                     unknown.update(chunks[1:])
                     chunks[0] = " " + chunks[0]  # the only one without a space before it
                     unknown.add(chunks[0])
             rows.append(row)
-        unknown.difference_update(self.chunks)
+        unknown = self.chunks.lacks(unknown)
         split = self.split.findall
         words = {c: split(c[1:] if c[0] == " " else " " + c) for c in unknown}
-        self.learn({w for row in words.values() for w in row}.difference(self.known))
+        self.learn(self.known.lacks({w for row in words.values() for w in row}))
         of = self.known.__getitem__
         self.chunks.update({c: b"".join(map(of, row)) for c, row in words.items()})
         of = self.chunks.__getitem__
@@ -126,7 +148,12 @@ class Vocabulary:
 
 
 def merge_places(
-    symbols: np.ndarray, pair_keys: np.ndarray, pair_ranks: np.ndarray, parts: np.ndarray, made: np.ndarray
+    symbols: np.ndarray,
+    pair_keys: np.ndarray,
+    pair_ranks: np.ndarray,
+    merges: dict[tuple[int, int], int],
+    pairs: list[tuple[int, int]],
+    made_by: list[int],
 ) -> None:
     """Merge in place; what went into its left neighbour becomes NOTHING.
 
@@ -134,7 +161,8 @@ def merge_places(
     Ranks are taken in ascending order; all places of the pair are merged, and the
     pairs with both neighbours are entered.  Places that an earlier merge made stale
     are recognised by their symbols.  A merge only uses symbols of earlier merges, so
-    no rank below the one at work can come up.
+    no rank below the one at work can come up.  Pairs with few places are merged one
+    by one, which costs less than array operations on them.
     """
 
     def ranks_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -152,22 +180,44 @@ def merge_places(
         cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
         begins, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(ranks)]
         for rank, a, b in zip(ranks[begins].tolist(), begins, ends, strict=True):
-            if rank in places:
-                places[rank].append(where[a:b])
-            else:
-                places[rank] = [where[a:b]]
+            if rank not in places and rank not in single:
                 heapq.heappush(active, rank)
+            places.setdefault(rank, []).append(where[a:b])
+
+    def one(rank: int, where: int) -> None:
+        if rank not in single and rank not in places:
+            heapq.heappush(active, rank)
+        single.setdefault(rank, []).append(where)
 
     n = len(symbols)
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # the same memory, quicker to read one by one
+    symbol, following, previous = memoryview(symbols), memoryview(after), memoryview(before)
     places: dict[int, list[np.ndarray]] = {}
+    single: dict[int, list[int]] = {}
     active: list[int] = []
     enter(ranks_of(symbols[:-1], symbols[1:]), np.arange(n - 1))
     while active:
         rank = heapq.heappop(active)
-        listed = places.pop(rank)
+        listed, lone = places.pop(rank, []), single.pop(rank, [])
+        left, right = pairs[rank]
+        whole = made_by[rank]
+        if sum(map(len, listed)) + len(lone) <= FEW:
+            for i in sorted([*lone, *(x for chunk in listed for x in chunk.tolist())]):
+                j = following[i]
+                if symbol[i] != left or symbol[j] != right:
+                    continue
+                k, h = following[j], previous[i]
+                symbol[i], symbol[j] = whole, NOTHING
+                following[i], previous[k] = k, i
+                if h >= 0 and (found := merges.get((symbol[h], whole))) is not None:
+                    one(found, h)
+                if (found := merges.get((whole, symbol[k]))) is not None:
+                    one(found, i)
+            continue
+        if lone:
+            listed.append(np.array(lone))
         at = listed[0] if len(listed) == 1 else np.unique(np.concatenate(listed))
-        left, right = parts[rank]
         at = at[symbols[at] == left]
         at = at[symbols[after[at]] == right]
         if left == right and len(at) > 1:  # in a run of equal symbols every second place counts
@@ -178,15 +228,11 @@ def merge_places(
             continue
         gone = after[at]
         rest = after[gone]  # each word ends with an empty place, so this one exists
-        symbols[at], symbols[gone] = made[rank], NOTHING
+        symbols[at], symbols[gone] = whole, NOTHING
         after[at], before[rest] = rest, at
         ahead = before[at]
-        ahead_symbols = np.where(ahead >= 0, symbols[ahead], NOTHING)
-        whole = symbols[at]
-        enter(
-            np.concatenate((ranks_of(ahead_symbols, whole), ranks_of(whole, symbols[rest]))),
-            np.concatenate((ahead, at)),
-        )
+        beside = np.concatenate((np.where(ahead >= 0, symbols[ahead], NOTHING), symbols[at]))
+        enter(ranks_of(beside, np.concatenate((symbols[at], symbols[rest]))), np.concatenate((ahead, at)))
 
 
 @lru_cache(maxsize=4)
@@ -196,10 +242,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(
-    docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] | None = None, ids: str = "ids"
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    keep: Sequence[str] | None = None,
+    ids: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit) and n_tokens for every row.
 
+    With ``decoded``, the text that the codes stand for is added in the same pass.
+
     ``path`` names the tokenizer's JSON file, readable on every executor.  Texts are
     encoded where they lie, without a shuffle; each distinct word of a batch goes
     through the pair index once.
@@ -214,12 +267,15 @@ def encode(
 
         def run(texts):
             found = model.encode([(t or b"").decode("utf-8") for t in texts])
-            return [found, [len(x) // 4 for x in found]]
+            made = [found, [len(x) // 4 for x in found]]
+            return made if decoded is None else [*made, [model.decode(x).decode("utf-8", "replace") for x in found]]
 
         return run
 
     new = StructType([StructField(ids, BinaryType()), StructField("n_tokens", LongType())])
-    return map_texts(docs, text, list(docs.columns if keep is None else keep), new, start)
+    if decoded is not None:
+        new = new.add(decoded, StringType())
+    return map_texts(docs, text, list(docs.columns if keep is None else keep), new, start, at_once=4 << 20)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:

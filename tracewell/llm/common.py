@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -81,12 +82,14 @@ def map_texts(
     new: StructType,
     start: Callable[[], Callable[[list[bytes | None]], list[list]]],
     binary: bool = False,
+    at_once: int = 4 << 20,
 ) -> DataFrame:
     """Add columns made from the texts of each Arrow batch; no shuffle.
 
     ``start`` runs once in each task and returns a function from the UTF-8 texts of a
     batch (None for null) to one list of values per new column.  ``keep`` are the
     columns that come along; ``binary`` tells that the column holds bytes already.
+    At most ``at_once`` bytes of text, or one longer text, are worked on together.
     """
     refuse_clash(keep, new.names)
     slot = fresh(df, "_text")[0]
@@ -97,11 +100,25 @@ def map_texts(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = start()
         for batch in batches:
-            columns = run(batch.column(0).to_pylist())
-            made = [pa.array(values, type=kinds.field(i).type) for i, values in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *made], names=[*batch.schema.names[1:], *kinds.names]
-            )
+            for part in slices(batch, at_once):
+                columns = run(part.column(0).to_pylist())
+                made = [pa.array(values, type=kinds.field(i).type) for i, values in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], *made], names=[*part.schema.names[1:], *kinds.names]
+                )
 
     kept = StructType([f for f in chosen.schema.fields if f.name != slot])
     return chosen.mapInArrow(work, StructType(kept.fields + new.fields))
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with at most ``most`` bytes in the first column, or one row with more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield batch.slice(start)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, licenses, mixing, secret_scan, syncmers, url_filter
+from tracewell.llm import bpe, licenses, mixing, secret_scan, syncmers, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -36,6 +36,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model that never saw the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,7 +71,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every document and the text they stand for, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs, path, keep=["doc_id"]), path)
+    decoded = bpe.encode(docs, path, keep=["doc_id"], decoded="decoded")
     return decoded.select(
         "doc_id",
         "n_tokens",
@@ -101,6 +113,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
     "op6_bpe": op6_bpe,
     "op8_fingerprints": op8_fingerprints,
