@@ -17,9 +17,9 @@ from tracewell.llm.common import fresh, map_texts, refuse_clash
 SAMPLE = 20_000  # labelled rows that a model is fitted on at most
 VOTERS = 400  # terms that vote at most
 LEAST_TOXIC = 5  # toxic rows that must have a voter's term, and
-LEAST_SHARE = 0.03  # their share of all toxic rows: terms of a few copied texts don't vote
+LEAST_SHARE = 0.02  # their share of all toxic rows: terms of a few copied texts don't vote
 LEAST_LIFT = 8.0  # how much more frequent the term is in toxic rows
-LABEL_RATES = (0.02, 0.9)  # how often clean and toxic rows are labelled toxic
+LABEL_RATES = (0.01, 0.98)  # how often clean and toxic rows are labelled toxic
 LEAST_CORRELATION = 0.3
 STEMS = range(3, 9)  # lengths of the word beginnings that are pattern voters
 THRESHOLD = 0.3
@@ -117,7 +117,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, counts: np.ndarray, rounds
     rate that depends on it.  Rates, and correlations between voters given the truth,
     are estimated by expectation maximisation over the rows, ``counts`` of each kind.
     A voter's say is divided by one plus its correlations with the others, so that a
-    word and its stems count about once.  The given label is one more voter; its rates
+    word and its stems count about once; a voter whose term is absent abstains.  The given label is one more voter; its rates
     are fixed, which keeps the hidden truth what the labels mean.
     """
     x = votes.astype(float)
@@ -138,9 +138,8 @@ def label_model(votes: np.ndarray, given: np.ndarray, counts: np.ndarray, rounds
         np.fill_diagonal(together, 0)
         say = 1 / (1 + together.sum(axis=1))
         spoken = np.log(rate[1] / rate[0]) * say
-        silent = np.log((1 - rate[1]) / (1 - rate[0])) * say
         prior = np.clip(mass[1] / total, 1e-4, 1 - 1e-4)
-        logit = np.log(prior / (1 - prior)) + label + x @ spoken + (1 - x) @ silent
+        logit = np.log(prior / (1 - prior)) + label + x @ spoken
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
