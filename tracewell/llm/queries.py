@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, licenses, mixing, secret_scan, syncmers, toxicity, url_filter
+from tracewell.llm import bpe, licenses, mixing, pii, secret_scan, syncmers, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -110,6 +110,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, the base kinds as counts and a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.scan(docs, pii.fit(docs), keep=["doc_id"])
+    base = F.filter("pii_spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(secret_scan.described(base), 256).alias("base_sha256"),
+        secret_scan.described(F.col("pii_spans")).alias("spans"),
+    )
+
+
 LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -118,5 +132,6 @@ LLM_QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
+    "op10_pii": op10_pii,
 }
 LLM_ORACLES = ORACLES
