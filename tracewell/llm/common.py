@@ -122,3 +122,33 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         total += size
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """(node, root): the smallest node reachable over the links, for every linked node.
+
+    Large-star and small-star in turn: every node hands the smallest of its neighbours
+    to the larger ones, then to the smaller ones.  Each is a minimum per node and a join,
+    so a node with many links is never gathered; rounds grow with the logarithm of the
+    longest path.  Every round is written to the shared folder.
+    """
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        kept = materialize(df.distinct(), name)
+        told = kept.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        return kept, (told.n, told.h)
+
+    u, v = F.col(a), F.col(b)
+    edges, told = stored(links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")))
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, _ = stored(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = told
+        edges, told = stored(small.unionByName(least.select("u", F.col("m").alias("v"))))
+        if told == before:
+            break
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

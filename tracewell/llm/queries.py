@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, licenses, mixing, pii, secret_scan, syncmers, toxicity, url_filter
+from tracewell.llm import bpe, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -80,6 +80,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word 4-grams overlap by 85 percent."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join(docs)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -130,6 +136,7 @@ LLM_QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
     "op6_bpe": op6_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
