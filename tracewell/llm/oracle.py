@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import secret_scan
+from tracewell.llm import cover_tree, secret_scan
 from tracewell.llm.mixing import MOST_COPIES, SEED, WEIGHTS, offset
 from tracewell.llm.url_filter import DEFAULT_VERDICT, RULES
 
@@ -115,4 +115,24 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM texts t LEFT JOIN joined j ON t.row = j.row
 """
 
-ORACLES = {"op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}
+EMBEDDINGS = f"""
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_max(list_transform(embedding, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= {cover_tree.COSINE}
+), reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM valid UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), least AS (
+  SELECT vec_id, min(other) AS other FROM reached GROUP BY vec_id
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(other, e.vec_id)::BIGINT AS component_id,
+  coalesce(coalesce(other, e.vec_id) = e.vec_id, false) AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.a LEFT JOIN least l ON e.vec_id = l.vec_id
+"""
+
+ORACLES = {"op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, toxicity, url_filter
+from tracewell.llm import bpe, cover_tree, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -67,6 +67,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of every label."""
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every document and the text they stand for, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -135,6 +140,7 @@ LLM_QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe": op6_bpe,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
