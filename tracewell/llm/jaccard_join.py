@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import components, fresh, slices
@@ -58,7 +58,7 @@ def prefix(n, share: int = SHARE):
 
 
 def text_sets(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
-    """(key, set, n_shingles) of every row; equal sets have equal ids, empty texts a null one."""
+    """(key, text_hash, set, n_shingles) of every row; equal sets have equal ids, empty texts a null one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -66,13 +66,19 @@ def text_sets(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
             found = [shingles(t, hashes, gram) for t in batch.column(0).to_pylist()]
             ids = [set_id(s) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64())],
-                names=["key", "set", "n_shingles"],
+                [*batch.columns[1:], pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64())],
+                names=["key", "text_hash", "set", "n_shingles"],
             )
 
-    source = docs.select(F.col(text).cast("string").cast("binary").alias("text"), F.col(key).alias("key"))
+    source = docs.select(
+        F.col(text).cast("string").cast("binary").alias("text"), F.col(key).alias("key"), text_hash(text)
+    )
     kind = dict(source.dtypes)["key"]
-    return source.mapInArrow(run, f"key {kind}, set bigint, n_shingles bigint")
+    return source.mapInArrow(run, f"key {kind}, text_hash bigint, set bigint, n_shingles bigint")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string")).alias("text_hash")
 
 
 def pack(sets: np.ndarray, sizes: np.ndarray, owner: np.ndarray, buckets: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
@@ -321,6 +327,12 @@ def join(
     * texts of any length count whole.  An empty table stays empty.
     Sets and shingles are told apart by 64-bit hashes.
     """
+    found = _joined(docs, key, text, gram, share)
+    return found.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+
+
+def _joined(docs: DataFrame, key: str, text: str, gram: int, share: int) -> DataFrame:
+    """(key, text_hash, n_shingles, component_id); the component of a text without shingles is null."""
     rows = materialize(text_sets(docs, key, text, gram), "jaccard-rows")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     sets = materialize(common_shingles(docs, text, gram, share, total // BUCKET + 1), "jaccard-sets")
@@ -358,20 +370,32 @@ def join(
         F.col("set").alias("set_"), F.coalesce("best", "least").alias("component_id")
     )
     return rows.join(per_set, rows["set"] == per_set["set_"], "left").select(
-        F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id")
+        "key", "text_hash", "n_shingles", "component_id"
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: the one whose key names the component.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, share: int = SHARE
+) -> DataFrame:
+    """One row of each component stays: one whose key names the component.
 
-    Of rows that repeat this key and component, one stays.  Rows with a null key stay.
+    Rows that go are looked up by key and text, so that rows which repeat a key with
+    another text are told apart; of rows that repeat key and text one stays.  Texts
+    without shingles stay.  A row with a null key goes if its component has a key, else
+    it stays.
     """
-    k, n = fresh(docs, "_kept", "_rows")
-    found = materialize(join(docs, key, text), "jaccard-kept")
-    kept = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(k)).agg(F.count("*").alias(n))
-    kept = materialize(kept, "jaccard-keys")
-    hits = docs.join(kept, docs[key] == kept[k])
-    single = hits.where(F.col(n) == 1).select(*docs.columns)
-    many = hits.where(F.col(n) > 1).select(*docs.columns).dropDuplicates([key])
-    return single.unionByName(many).unionByName(docs.where(F.col(key).isNull()))
+    found = materialize(_joined(docs, key, text, gram, share), "jaccard-found")
+    first = found.where("key = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
+    named = found.where("component_id is not null").join(first, "component_id")
+    stays = F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)) & (F.col("text_hash") == F.col("first"))
+    k, h = fresh(docs, "_key", "_hash")
+    pick = lambda df: df.select(F.col("key").alias(k), F.col("text_hash").alias(h))
+    goes = materialize(pick(named.where(~stays).select("key", "text_hash").distinct()), "jaccard-goes")
+    again = named.where(stays).groupBy("key", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(pick(again), "jaccard-again")
+    same = F.col(key).eqNullSafe(F.col(k)) & (text_hash(text) == F.col(h))
+    kept = docs.join(goes, same, "left_anti")
+    if not again.take(1):
+        return kept
+    several = kept.join(again, same, "left_semi").withColumn(h, text_hash(text)).dropDuplicates([key, h]).drop(h)
+    return kept.join(again, same, "left_anti").unionByName(several)
