@@ -332,7 +332,7 @@ def join(
 
 
 def _joined(docs: DataFrame, key: str, text: str, gram: int, share: int) -> DataFrame:
-    """(key, text_hash, n_shingles, component_id); the component of a text without shingles is null."""
+    """(key, text_hash, n_shingles, component_id, root); component and root (a set of it) of a text without shingles are null."""
     rows = materialize(text_sets(docs, key, text, gram), "jaccard-rows")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     sets = materialize(common_shingles(docs, text, gram, share, total // BUCKET + 1), "jaccard-sets")
@@ -365,12 +365,12 @@ def _joined(docs: DataFrame, key: str, text: str, gram: int, share: int) -> Data
     classes = rows.where("set is not null").groupBy("set").agg(F.min("key").alias("least"))
     roots = whole.join(classes, whole["node"] == classes["set"]).select("set", "root", "least")
     best = roots.groupBy("root").agg(F.min("least").alias("best"))
-    roots = roots.join(best, "root").select("set", "best")
+    roots = roots.join(best, "root").select("set", "root", "best")
     per_set = classes.join(roots, "set", "left").select(
-        F.col("set").alias("set_"), F.coalesce("best", "least").alias("component_id")
+        F.col("set").alias("set_"), F.coalesce("root", "set").alias("root"), F.coalesce("best", "least").alias("component_id")
     )
     return rows.join(per_set, rows["set"] == per_set["set_"], "left").select(
-        "key", "text_hash", "n_shingles", "component_id"
+        "key", "text_hash", "n_shingles", "component_id", "root"
     )
 
 
@@ -385,8 +385,8 @@ def keep_one(
     it stays.
     """
     found = materialize(_joined(docs, key, text, gram, share), "jaccard-found")
-    first = found.where("key = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
-    named = found.where("component_id is not null").join(first, "component_id")
+    first = found.where("key = component_id").groupBy("root").agg(F.min("text_hash").alias("first"))
+    named = found.join(first, "root")
     stays = F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)) & (F.col("text_hash") == F.col("first"))
     k, h = fresh(docs, "_key", "_hash")
     pick = lambda df: df.select(F.col("key").alias(k), F.col("text_hash").alias(h))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import cover_tree, secret_scan
+from tracewell.llm import cover_tree, jaccard_join, secret_scan
 from tracewell.llm.mixing import MOST_COPIES, SEED, WEIGHTS, offset
 from tracewell.llm.url_filter import DEFAULT_VERDICT, RULES
 
@@ -135,4 +135,29 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(other, e.vec_id)::B
 FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.a LEFT JOIN least l ON e.vec_id = l.vec_id
 """
 
-ORACLES = {"op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}
+_G, _P = jaccard_join.GRAM, jaccard_join.SHARE
+_RUN = " || ' ' || ".join(f"w[i + {k}]" for k in range(_G))
+JACCARD = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {_G} THEN list_distinct(list_transform(range(1, len(w) - {_G - 2}), lambda i: {_RUN}))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words
+), tokens AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {_P} * (a.n + b.n - count(*))
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(other, s.doc_id)::BIGINT AS component_id
+FROM sets s LEFT JOIN least l ON s.doc_id = l.doc_id
+"""
+
+ORACLES = {"op7_jaccard_join": JACCARD, "op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}
