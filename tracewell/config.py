@@ -26,9 +26,10 @@ class Config:
     latency_stddev_multiplier: float = 2.5
     token_stddev_multiplier: float = 2.5
     min_runs_for_baseline: int = 5
-    baseline_runs: int = 1000
-    summary_runs: int = 200
-    cost_runs: int = 500
+    # how many of the newest runs count; None: all
+    baseline_runs: int | None = None
+    summary_runs: int | None = None
+    cost_runs: int | None = None
     cost_per_token: float = 0.000005
     # rules
     ground_truth_similarity: float = 0.85

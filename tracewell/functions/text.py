@@ -20,9 +20,6 @@ STRIPPED = (
 REFERENCE = r"https?://[A-Za-z0-9./_%#?=&:~-]+"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?%?"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-MAX_LISTED = 10
-EXTRACTION_CHARS = 4000
-PROMPT_CHARS = 120
 
 
 def strip(text: Column) -> Column:
@@ -62,16 +59,22 @@ def section_counts(text: Column) -> tuple[Column, Column]:
     return sources, entities
 
 
-def found(text: Column, pattern: str, limit: int | None = MAX_LISTED) -> Column:
+def found(text: Column, pattern: str, limit: int | None = None) -> Column:
     """Distinct matches in order of appearance."""
     hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return hits if limit is None else F.slice(hits, 1, limit)
 
 
-def claims(text: Column) -> Column:
-    """The leading sentences of a text."""
+def claims(text: Column, limit: int | None = None) -> Column:
+    """The sentences of a text, or the leading ones."""
     sentences = F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s))
-    return F.slice(F.filter(sentences, lambda s: s != ""), 1, MAX_LISTED)
+    said = F.filter(sentences, lambda s: s != "")
+    return said if limit is None else F.slice(said, 1, limit)
+
+
+def leading(text: Column, chars: int | None) -> Column:
+    """The text, or its first characters."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def approved(text: Column) -> Column:

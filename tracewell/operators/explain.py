@@ -65,7 +65,8 @@ def _flag(column: str) -> Column:
 
 
 def prompts(
-    verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK, cell: int = POSITION_CELL
+    verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK, cell: int = POSITION_CELL,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Prompt texts for an explaining model, ``chunk`` findings to a text.
 
@@ -76,7 +77,7 @@ def prompts(
     line = F.concat(
         F.lit("  ["), number.cast("string"), F.lit("] rule="), F.coalesce("rule_id", F.lit("no_rule")),
         F.lit("  confidence="), text.percent(F.col("confidence")),
-        F.lit("  description="), F.substring("description", 1, text.PROMPT_CHARS),
+        F.lit("  description="), text.leading(F.col("description"), max_chars),
     )
     rule = F.when(
         F.col("rule_id").isNotNull(),

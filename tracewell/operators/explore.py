@@ -41,11 +41,11 @@ def get_steps(steps: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def explorer_rows(runs: DataFrame, steps: DataFrame, topics: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest runs with step sums and topic.  Steps are summed for those runs only."""
+def explorer_rows(runs: DataFrame, steps: DataFrame, topics: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Newest runs (all without a limit) with step sums and topic.  Steps are summed for those runs only."""
     top = metrics.newest_runs(runs.select("run_id", "workflow", "timestamp", "status"), limit)
     sums = (
-        metrics.steps_of(steps, top)
+        (steps if limit is None else metrics.steps_of(steps, top))
         .groupBy("run_id")
         .agg(
             F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("latency_ms"),
@@ -53,7 +53,7 @@ def explorer_rows(runs: DataFrame, steps: DataFrame, topics: DataFrame, limit: i
             F.count("*").alias("step_count"),
         )
     )
-    named = metrics.steps_of(topics, top)
+    named = topics if limit is None else metrics.steps_of(topics, top)
     zero = F.lit(0).cast("bigint")
     return (
         top.join(sums, "run_id", "left")

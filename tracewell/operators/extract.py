@@ -12,10 +12,10 @@ EMPTY_OUTPUT = "Empty output — nothing to extract"  # fixed value
 _LISTS = ("tool_calls", "claims", "references", "numbers", "dates")
 
 
-def requests(steps: DataFrame) -> DataFrame:
-    """What an extracting model is shown: outputs with content, cut to its input limit."""
+def requests(steps: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """What an extracting model is shown: outputs with content, cut to its input limit if it has one."""
     return steps.where(text.strip(F.col("raw_output")) != "").select(
-        "run_id", "pos", "step", "agent", F.substring("raw_output", 1, text.EXTRACTION_CHARS).alias("request")
+        "run_id", "pos", "step", "agent", text.leading(F.col("raw_output"), max_chars).alias("request")
     )
 
 

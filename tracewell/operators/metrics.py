@@ -32,25 +32,24 @@ def roll_up(steps: DataFrame, order: str = "pos", status: str = "SUCCESS") -> Da
     )
 
 
-def newest_runs(runs: DataFrame, limit: int) -> DataFrame:
-    """The newest runs; equal times are ordered by run_id."""
-    return runs.orderBy(F.desc("timestamp"), "run_id").limit(limit)
+def newest_runs(runs: DataFrame, limit: int | None) -> DataFrame:
+    """The newest runs, all without a limit; equal times are ordered by run_id."""
+    return runs if limit is None else runs.orderBy(F.desc("timestamp"), "run_id").limit(limit)
 
 
-def steps_of(steps: DataFrame, few_runs: DataFrame) -> DataFrame:
-    """Steps of a top-n selection.  Its row limit bounds what is broadcast."""
-    return steps.join(F.broadcast(few_runs.select("run_id")), "run_id", "left_semi")
+def steps_of(steps: DataFrame, some_runs: DataFrame) -> DataFrame:
+    """Steps of some runs.  Spark broadcasts their ids if it finds them small."""
+    return steps.join(some_runs.select("run_id"), "run_id", "left_semi")
 
 
 def baseline(steps: DataFrame, runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """One row: mean and sample deviation of latency and tokens over recent runs.
+    """One row: mean and sample deviation of latency and tokens over all runs, or the newest.
 
     Inactive (``active`` false) with too few runs or no steps.  ``runs`` may list
     runs that have no steps; they count towards the minimum.
     """
     recent = newest_runs(runs.select("run_id", "timestamp"), config.baseline_runs)
-    # a left join keeps runs without steps in the count
-    measured = steps_of(steps, recent).agg(
+    measured = (steps if config.baseline_runs is None else steps_of(steps, recent)).agg(
         F.count("latency_ms").alias("n_steps"),
         F.avg("latency_ms").alias("latency_mean"),
         F.coalesce(F.stddev_samp("latency_ms"), F.lit(0.0)).alias("latency_std"),
@@ -155,12 +154,12 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def agent_summary(steps: DataFrame, runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Latency and tokens per agent over the newest runs; ``run_count`` counts steps."""
+    """Latency and tokens per agent over all runs, or the newest; ``run_count`` counts steps."""
     recent = newest_runs(runs.select("run_id", "timestamp"), config.summary_runs)
     latency = F.coalesce("latency_ms", F.lit(0.0))
     tokens = F.coalesce("tokens_total", F.lit(0).cast("bigint"))
     return (
-        steps_of(steps, recent)
+        (steps if config.summary_runs is None else steps_of(steps, recent))
         .groupBy("agent")
         .agg(
             F.avg(latency).alias("avg_latency_ms"),
@@ -173,7 +172,7 @@ def agent_summary(steps: DataFrame, runs: DataFrame, config: Config = DEFAULT) -
 
 
 def cost_estimate(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Price of all tokens of the newest runs, from their roll-ups."""
+    """Price of all tokens of all runs, or the newest, from their roll-ups."""
     recent = newest_runs(runs, config.cost_runs)
     return recent.agg(
         F.count("*").alias("runs"),

@@ -90,7 +90,7 @@ def normalize_runs(docs: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def topics(docs: DataFrame, max_chars: int = 60) -> DataFrame:
+def topics(docs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Topic of each run: the first step state that names one, else the initial state.
 
     Within a step the input, output and filtered states are looked at in turn.
@@ -110,13 +110,12 @@ def topics(docs: DataFrame, max_chars: int = 60) -> DataFrame:
     )
     # documents of one run meet here only when a run was split
     return per_doc.groupBy("run_id").agg(
-        F.substring(
+        text.leading(
             F.coalesce(
                 F.min_by("topic", F.when(F.col("topic").isNotNull(), F.col("p"))),
                 F.min_by("initial", F.when(F.col("initial").isNotNull(), F.col("p"))),
                 F.lit(""),
             ),
-            1,
             max_chars,
         ).alias("topic")
     )

@@ -268,11 +268,12 @@ def run_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explorer(spark, sf_dir, 50)
 
 
-def _explorer(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    """Newest runs with their verdict; only those runs are analysed."""
+def _explorer(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
+    """Newest runs (all without a limit) with their verdict; only those runs are analysed."""
     steps = activity.event_steps(spark, sf_dir)
     runs = materialize(metrics.newest_runs(_runs(steps), limit), "shown-runs")
-    shown = materialize(activity.with_order(metrics.steps_of(steps, runs)), "shown-steps")
+    shown = steps if limit is None else metrics.steps_of(steps, runs)
+    shown = materialize(activity.with_order(shown), "shown-steps")
     named = F.when(F.col("k") % 4 == 0, F.concat(F.lit("topic "), F.col("k").cast("string")))
     topics = shown.groupBy("run_id").agg(F.min_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("topic"))
     frames = analysis.TraceFrames(runs.select("run_id"), shown, shown, positions=False)
@@ -282,7 +283,7 @@ def _explorer(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
 
 
 def explorer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = explore.cards(_explorer(spark, sf_dir, 100))
+    found = explore.cards(_explorer(spark, sf_dir, None))
     return found.select(
         "total_runs", "analyzed_runs", _r("avg_latency_ms"), "total_tokens", _r("cost_estimate", 6), "warnings"
     )
@@ -474,7 +475,7 @@ def field_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id",
         *(F.array_join(c, "|").alias(c) for c in ("references", "numbers", "dates")),
         F.size("claims").alias("n_claims"),
-        F.get("claims", F.lit(0)).alias("first_claim"),
+        F.array_join("claims", "|").alias("claims"),
     )
 
 
@@ -495,7 +496,7 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.format_time(F.col("timestamp")).alias("time"),
         text.bar_percent(F.col("tokens_total").cast("double"), F.lit(640.0)).alias("pct"),
         text.agent_of_function(F.concat("agent", F.lit("_node"))).alias("agent"),
-        F.length(F.substring(F.concat("run_id", "agent"), 1, 20)).alias("n_cut"),
+        F.length(F.concat("run_id", "agent")).alias("n_name"),
     )
 
 

@@ -34,7 +34,7 @@ ru AS (
 """
 
 BASE = """
-recent AS (SELECT run_id FROM ru ORDER BY ts DESC, run_id LIMIT 1000),
+recent AS (SELECT run_id FROM ru),
 base AS (
   SELECT (SELECT count(*) FROM recent) AS n_runs, count(*) AS n_steps, avg(latency_ms) AS lm,
     stddev_samp(latency_ms) AS ls, avg(tok) AS tm, stddev_samp(tok) AS tsd
@@ -232,9 +232,9 @@ def _q(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()} {body}"
 
 
-def _explorer(limit: int) -> str:
+def _explorer(limit: str = "") -> str:
     return VERDICTS + f""",
-    top AS (SELECT * FROM ru ORDER BY ts DESC, run_id LIMIT {limit}),
+    top AS (SELECT * FROM ru {limit}),
     tops AS (SELECT run_id, arg_min('topic ' || k, step) FILTER (k % 4 = 0) AS topic FROM st GROUP BY run_id),
     explored AS (
       SELECT top.run_id, top.workflow, coalesce(tops.topic, top.workflow) AS topic,
@@ -249,8 +249,8 @@ ORACLES = {
         lat AS total_latency_ms, tok AS total_tokens, n AS step_count FROM ru"""),
     "list_runs_topn": _q(EV, """SELECT run_id, workflow, status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ru
         WHERE status = 'ERROR' AND workflow = 'wf_1' ORDER BY ts DESC, run_id LIMIT 25"""),
-    "run_explorer": _q(_explorer(50), "SELECT * FROM explored"),
-    "explorer_cards": _q(_explorer(100), """SELECT count(*) AS total_runs, count(*) AS analyzed_runs,
+    "run_explorer": _q(_explorer("ORDER BY ts DESC, run_id LIMIT 50"), "SELECT * FROM explored"),
+    "explorer_cards": _q(_explorer(), """SELECT count(*) AS total_runs, count(*) AS analyzed_runs,
         round(avg(latency_ms), 4) AS avg_latency_ms, CAST(sum(tokens_total) AS BIGINT) AS total_tokens,
         round(sum(tokens_total)::DOUBLE * 0.000005::DOUBLE, 6) AS cost_estimate,
         count(*) FILTER (verdict NOT IN ('PASS', 'UNKNOWN')) AS warnings FROM explored"""),
@@ -274,9 +274,9 @@ ORACLES = {
     "agent_latency": _q(EV, "SELECT run_id, agent, arg_max(latency_ms, event_id) AS latency_ms FROM st GROUP BY run_id, agent"),
     "agent_summary": _q(EV, """SELECT agent, round(avg(latency_ms), 4) AS avg_latency_ms, max(latency_ms) AS max_latency_ms,
         round(avg(tok), 4) AS avg_tokens, CAST(sum(tok) AS BIGINT) AS total_tokens, count(*) AS run_count
-        FROM st WHERE run_id IN (SELECT run_id FROM ru ORDER BY ts DESC, run_id LIMIT 200) GROUP BY agent"""),
+        FROM st GROUP BY agent"""),
     "cost_estimate": _q(EV, """SELECT count(*) AS runs, CAST(sum(tok) AS BIGINT) AS total_tokens,
-        round(sum(tok)::DOUBLE * 0.000005::DOUBLE, 6) AS cost_estimate FROM (SELECT * FROM ru ORDER BY ts DESC, run_id LIMIT 500)"""),
+        round(sum(tok)::DOUBLE * 0.000005::DOUBLE, 6) AS cost_estimate FROM ru"""),
     "metrics_long": _q(EV, """SELECT run_id, step, agent, m.n AS metric_name, m.v AS metric_value, m.u AS metric_unit,
         '1.0' AS schema_version FROM (SELECT run_id, step, agent, unnest([
           {'n': 'latency_ms', 'v': latency_ms, 'u': 'ms'}, {'n': 'execution_time_ms', 'v': latency_ms, 'u': 'ms'},
@@ -352,7 +352,7 @@ ORACLES = {
     "fallback_explanation": _q(VERDICTS, "SELECT run_id, words AS summary, fix AS suggested_fix FROM told"),
     "prompt_table": _q(VERDICTS + """, blocks AS (SELECT run_id,
           string_agg('  [' || evidence_no || '] rule=' || rule_id || '  confidence=' || CAST(round_even(confidence * 100, 0) AS BIGINT) ||
-            '%  description=' || left(description, 120), chr(10) ORDER BY evidence_no) AS e,
+            '%  description=' || description, chr(10) ORDER BY evidence_no) AS e,
           string_agg('  - rule_id=' || rule_id || '  category=' || category || '  severity=' || severity || '  agent=' || agent,
             chr(10) ORDER BY evidence_no) AS r FROM numbered GROUP BY run_id)""",
         """SELECT run_id, 0::BIGINT AS part, concat_ws(chr(10), 'ANALYSIS VERDICT', '════════════════',
@@ -386,8 +386,8 @@ ORACLES = {
         CASE WHEN k % 7 <= 1 THEN 'k,topic' WHEN k % 7 = 2 THEN '' ELSE 'n,on,topic' END AS input_keys,
         CASE WHEN k % 7 = 3 THEN '' ELSE 'entity_count,source_count' END AS output_keys,
         CASE WHEN k % 7 <> 2 THEN k::VARCHAR END AS k_text, '1.0' AS schema_version FROM st"""),
-    "topic": _q(CONV, """SELECT run_id, left(coalesce(arg_min('about ' || repeat(agent, 9), turn) FILTER (size % 3 = 0),
-        CASE WHEN count(*) > 4 THEN 'opening' ELSE '' END), 60) AS topic FROM cs GROUP BY run_id"""),
+    "topic": _q(CONV, """SELECT run_id, coalesce(arg_min('about ' || repeat(agent, 9), turn) FILTER (size % 3 = 0),
+        CASE WHEN count(*) > 4 THEN 'opening' ELSE '' END) AS topic FROM cs GROUP BY run_id"""),
     "trace_roundtrip": _q(EV, """SELECT run_id, workflow, step - 1 AS pos, step, agent, latency_ms,
         CASE WHEN k % 17 = 0 THEN ' ' ELSE '{"source_count":' || src || ',"entity_count":' || ent || '}' END AS output FROM st"""),
     "extraction_parse": _q(EV + """, x AS (SELECT *, k % 17 = 0 AS blank, k % 19 = 0 AS junk, k % 19 = 2 AS bad FROM st)""",
@@ -415,9 +415,9 @@ ORACLES = {
         FROM documents)
         SELECT 'doc_' || doc_id AS run_id,
           array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), '|') AS references,
-          array_to_string(list_slice(list_filter(n, lambda x, i: list_position(n, x) = i), 1, 10), '|') AS numbers,
-          array_to_string(list_slice(list_filter(d, lambda x, i: list_position(d, x) = i), 1, 10), '|') AS dates,
-          CAST(least(10, len(c)) AS INTEGER) AS n_claims, c[1] AS first_claim FROM l""",
+          array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), '|') AS numbers,
+          array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), '|') AS dates,
+          CAST(len(c) AS INTEGER) AS n_claims, array_to_string(c, '|') AS claims FROM l""",
     "checker_approval": _q(CONV + """, t AS (SELECT run_id, step, size, trim(CASE size % 3 WHEN 0 THEN '  Approved. '
           WHEN 1 THEN 'NOT APPROVED ' ELSE '' END || text, chr(32) || chr(9) || chr(10) || chr(13)) AS res FROM cs)""",
         """SELECT run_id, step, size % 3 = 0 AS verified, CAST(length(res) AS INTEGER) AS n_result,
@@ -425,7 +425,7 @@ ORACLES = {
     "display_formats": _q(EV, """SELECT event_id, CASE WHEN latency_ms >= 1000
           THEN format('{:.1f}s', round_even(latency_ms / 1000, 1)) ELSE CAST(latency_ms AS BIGINT) || 'ms' END AS latency,
         strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, least(100.0::DOUBLE, tok::DOUBLE / 640.0::DOUBLE * 100) AS pct, agent,
-        CAST(least(20, length(run_id || agent)) AS INTEGER) AS n_cut FROM st"""),
+        CAST(length(run_id || agent) AS INTEGER) AS n_name FROM st"""),
     "run_diff": _q(DIFF, "SELECT run_a, run_b, agent, ord, lat_a, lat_b, tok_a, tok_b, round(sim, 6)::DOUBLE AS similarity FROM compared"),
     "first_divergence": _q(DIFF, """SELECT run_a, run_b, coalesce(arg_min(agent, ord) FILTER (sim < 0.85), '(none)') AS first_divergence,
         round(avg(sim), 6)::DOUBLE AS overall_similarity FROM compared GROUP BY run_a, run_b"""),
