@@ -27,7 +27,7 @@ def hot(spark):
 
 @pytest.fixture(scope="module")
 def ranked(hot):
-    return ranking.dense_position(hot, ["run_id"], {"_cell": F.floor(F.col("t") / 10)}, ["t", "event_id"]).cache()
+    return ranking.dense_position(hot, ["run_id"], ["t", "event_id"]).cache()
 
 
 def test_positions_are_the_exact_row_numbers(hot, ranked):
@@ -38,8 +38,7 @@ def test_positions_are_the_exact_row_numbers(hot, ranked):
     assert list(ranked.columns) == [*hot.columns, "pos"]
 
 
-@pytest.mark.parametrize("crowded", [0, 20, 100, 10**9])
-def test_crowded_cells_are_split_exactly(spark, crowded):
+def test_crowded_times_are_numbered_exactly(spark):
     """A run whose rows share few minutes, and mostly one single time."""
     rng = random.Random(11)
     rows = [
@@ -49,11 +48,26 @@ def test_crowded_cells_are_split_exactly(spark, crowded):
     events = spark.createDataFrame(rows, "event_id bigint, run_id string, s int, us int").withColumn(
         "timestamp", F.timestamp_micros((F.col("s") + 1_700_000_000).cast("bigint") * 1_000_000 + F.col("us"))
     )
-    found = activity.with_positions(events, crowded).toPandas().sort_values(["run_id", "timestamp", "event_id"])
+    found = activity.with_positions(events).toPandas().sort_values(["run_id", "timestamp", "event_id"])
     assert len(found) == 900
     assert found["pos"].tolist() == found.groupby("run_id").cumcount().tolist()
 
 
+def test_one_run_within_one_minute_spreads_over_tasks(spark):
+    """Most rows in one run, within one minute, at distinct microseconds."""
+    events = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("run_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 7919 % 59_000_000).alias("timestamp"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = activity.with_positions(events).where("run_id = 'hot'").withColumn("task", F.spark_partition_id()).toPandas()
+        assert found["task"].nunique() > 1
+        assert found.sort_values(["timestamp", "event_id"])["pos"].tolist() == list(range(3600))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_steps_without_a_time_come_first(spark):
     rows = [(1, "r", "2024-01-01 00:00:00"), (3, "r", None), (2, "r", None)]
     events = spark.createDataFrame(rows, "event_id bigint, run_id string, t string").withColumn("timestamp", F.col("t").cast("timestamp"))
@@ -113,7 +127,7 @@ def test_ranking_windows_are_split_below_the_run(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
     for line in text.splitlines():
         if "row_number()" in line:
-            assert "_minute" in line or "_b_seq" in line
+            assert "_part" in line
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 

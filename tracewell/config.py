@@ -8,8 +8,6 @@ from dataclasses import dataclass
 # document.  A run longer than this is processed as several chunks.
 STEP_CHUNK = 100_000
 DOCUMENT_CHUNK = 1_000
-# Rows of one run and minute from which on a cell is split further.
-CROWDED_CELL = 2_000_000
 PROMPT_CHUNK = 1_000
 
 

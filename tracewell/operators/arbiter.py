@@ -35,7 +35,6 @@ NO_RULE_LAST = "zzz"  # fixed value: findings without a rule sort after all rule
 NO_EVIDENCE_REASON = "No evidence collected — P5 fallback."  # fixed value
 UNMATCHED_REASON = "No P2 rule matched — P5 fallback."  # fixed value
 
-POSITION_CELL = 1_000_000  # step positions whose findings by one rule may share a task
 
 
 def _priority(table: dict[str, int]) -> str:
@@ -53,26 +52,12 @@ def rank_evidence(evidence: DataFrame) -> DataFrame:
     )
 
 
-def ordered_evidence(evidence: DataFrame, cell: int = POSITION_CELL) -> DataFrame:
-    """Findings with ``evidence_no``, their 1-based place in the run's bundle.
-
-    ``cell`` is the span of ``emit_seq`` whose findings by one rule and run may share
-    a task; it depends on whether the steps carried positions or order keys.  The
-    findings are read twice, so they should be stored beforehand.
-    """
-    ranked = rank_evidence(evidence)
-    return dense_position(
-        ranked,
-        ["run_id"],
-        {
-            "_b_rank": F.col("rank"),
-            "_b_rule": F.col("tiebreak"),
-            "_b_analyzer": F.col("analyzer_ord"),
-            "_b_seq": F.expr(f"emit_seq div CAST('{cell}' AS DECIMAL(38,0))"),
-        },
-        ["emit_seq", "emit_idx"],
-        "evidence_no",
-    ).withColumn("evidence_no", F.col("evidence_no") + 1)
+def ordered_evidence(evidence: DataFrame) -> DataFrame:
+    """Findings with ``evidence_no``, their 1-based place in the run's bundle."""
+    order = ["rank", "tiebreak", "analyzer_ord", "emit_seq", "emit_idx"]
+    return dense_position(rank_evidence(evidence), ["run_id"], order, "evidence_no").withColumn(
+        "evidence_no", F.col("evidence_no") + 1
+    )
 
 
 def resolve(runs: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -114,14 +99,14 @@ def resolve(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def bundles(runs: DataFrame, evidence: DataFrame, chunk: int, cell: int = POSITION_CELL) -> DataFrame:
+def bundles(runs: DataFrame, evidence: DataFrame, chunk: int) -> DataFrame:
     """Verdicts with their findings nested, at most ``chunk`` to a row.
 
     ``part`` is 0 for ordinary runs; a run with more findings has further parts.
     """
     fields = ("evidence_no", *(c for c, _ in schema.EVIDENCE_COLUMNS if c not in ("run_id", "emit_seq", "emit_idx", "analyzer_ord")))
     nested = (
-        ordered_evidence(evidence, cell)
+        ordered_evidence(evidence)
         .withColumn("part", F.floor((F.col("evidence_no") - 1) / chunk))
         .groupBy("run_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("evidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.config import PROMPT_CHUNK
 from tracewell.functions import text
-from tracewell.operators.arbiter import POSITION_CELL, ordered_evidence
+from tracewell.operators.arbiter import ordered_evidence
 
 
 def fallback_summary(verdicts: DataFrame) -> Column:
@@ -65,7 +65,7 @@ def _flag(column: str) -> Column:
 
 
 def prompts(
-    verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK, cell: int = POSITION_CELL,
+    verdicts: DataFrame, evidence: DataFrame, chunk: int = PROMPT_CHUNK,
     max_chars: int | None = None,
 ) -> DataFrame:
     """Prompt texts for an explaining model, ``chunk`` findings to a text.
@@ -87,7 +87,7 @@ def prompts(
         ),
     )
     lines = (
-        ordered_evidence(evidence, cell)
+        ordered_evidence(evidence)
         .select("run_id", F.floor((number - 1) / chunk).alias("part"), F.struct(number, line.alias("e"), rule.alias("r")).alias("l"))
         .groupBy("run_id", "part")
         .agg(F.array_sort(F.collect_list("l")).alias("lines"))

@@ -4,67 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.config import CROWDED_CELL, STEP_CHUNK
+from tracewell.config import STEP_CHUNK
+from tracewell.session import materialize
 
 
-def dense_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: dict[str, Column],
-    order: Sequence[str],
-    out: str = "pos",
-    fine: dict[str, Column] | None = None,
-    crowded: int = CROWDED_CELL,
-) -> DataFrame:
+def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
     """Add the 0-based position of each row among the rows of its key.
 
-    ``bucket`` names expressions that never decrease along ``order``.  Rows are
-    ranked inside (key, bucket) cells; a running sum over the per-cell counts,
-    which is a far smaller table, supplies the offset of each cell.  A key with a
-    third of all rows is thus spread over as many tasks as it has cells.
-
-    ``fine`` names further whole-number expressions that never decrease inside a
-    cell.  Cells with more than ``crowded`` rows, and only those, are split by
-    them.  There can be one such cell per ``crowded`` rows, which bounds the list
-    that is broadcast; without any, adaptive execution drops that branch.
+    ``order`` must tell the rows of a key apart.  Rows are range-partitioned by key and
+    order and stored with the number of their partition, so a key with most of the rows
+    lies in as many partitions as its share asks for, whatever its values are.  Rows are
+    numbered inside (key, partition); the counts of the partitions before, at most as
+    many rows as keys plus partitions, give the offsets.
     """
-    cell = list(bucket)
-    df = df.withColumns(bucket)
-    counts = df.groupBy(*keys, *cell).agg(F.count("*").alias("_n"))
-    offsets = counts.select(*keys, *cell, _sum_before("_n", keys, cell).alias("_offset"))
-    if fine:
-        extra = list(fine)
-        full = F.broadcast(counts.where(F.col("_n") > crowded).select(*keys, *cell, F.lit(True).alias("_full")))
-        parts = df.join(full, [*keys, *cell]).withColumns(fine).groupBy(*keys, *cell, *extra).agg(F.count("*").alias("_n"))
-        inner = parts.select(*keys, *cell, *extra, _sum_before("_n", [*keys, *cell], extra).alias("_inner"))
-        zero = F.lit(0).cast("bigint")
-        # cells that are not crowded have the single part 0
-        offsets = offsets.join(inner, [*keys, *cell], "left").select(
-            *keys, *cell, *(F.coalesce(c, zero).alias(c) for c in extra),
-            (F.col("_offset") + F.coalesce("_inner", zero)).alias("_offset"),
-        )
-        df = df.join(full, [*keys, *cell], "left").withColumns(
-            {c: F.when(F.col("_full"), e.cast("bigint")).otherwise(zero) for c, e in fine.items()}
-        ).drop("_full")
-        cell += extra
-    inside = Window.partitionBy(*keys, *cell).orderBy(*order)
+    part = "_part"
+    placed = materialize(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "positions")
+    counts = placed.groupBy(*keys, part).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, part).orderBy(*order)
     return (
-        df.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, *cell])
+        placed.withColumn("_rank", F.row_number().over(inside))
+        .join(offsets, [*keys, part])
         .withColumn(out, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_rank", "_offset", *cell)
+        .drop("_rank", "_offset", part)
     )
 
 
-def _sum_before(column: str, keys: Sequence[str], order: Sequence[str]) -> Column:
-    """Sum of the preceding rows of the key."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(column).over(before), F.lit(0))
-
-
 def attach_to_steps(
     steps: DataFrame, per_key: DataFrame, keys: Sequence[str] = ("run_id",), chunk: int = STEP_CHUNK
 ) -> DataFrame:

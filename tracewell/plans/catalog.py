@@ -5,6 +5,8 @@ Each takes (spark, sf_dir) and reads whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,35 +150,36 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------- rules
 
 
-def tool_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.tool_evidence(activity.ranked_event_steps(spark, sf_dir))
-    return found.select("run_id", "rule_id", "category", "severity", "agent", "step", "description", "confidence")
+def _numbered(spark: SparkSession, sf_dir: str, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a rule finds, with step numbers.  Only runs with a finding are numbered."""
+    events = activity.event_steps(spark, sf_dir)
+    hit = rule(activity.with_order(events)).select("run_id").distinct()
+    return rule(activity.with_positions(metrics.steps_of(events, hit)))
 
 
-def _profile(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
-    steps = activity.ranked_event_steps(spark, sf_dir)
-    return rules.profile(steps, steps, config)
+def tool_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _numbered(spark, sf_dir, rules.tool_evidence)
+    return found.select("run_id", "rule_id", "category", "severity", "agent", "step", "description", "confidence")
 
 
 def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.emit(_profile(spark, sf_dir, Config()), rules.counts_findings())
+    found = _numbered(spark, sf_dir, lambda steps: rules.emit(rules.profile(steps, steps), rules.counts_findings()))
     return found.select("run_id", "rule_id", "category", "agent", "step", "description")
 
 
-def _workflow(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    profile = rules.profile(activity.ranked_event_steps(spark, sf_dir))
-    found = rules.emit(profile, rules.workflow_findings()).where(F.col("rule_id") == rule)
+def _workflow(steps: DataFrame, rule: str) -> DataFrame:
+    found = rules.emit(rules.profile(steps), rules.workflow_findings()).where(F.col("rule_id") == rule)
     return found.select(
         "run_id", "rule_id", "category", "agent", "step", "description", F.col("emit_seq").cast("bigint").alias("emit_seq")
     )
 
 
 def skipped_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workflow(spark, sf_dir, "skipped_step_v1").drop("step")
+    return _workflow(activity.ordered_event_steps(spark, sf_dir), "skipped_step_v1").drop("step")
 
 
 def wrong_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workflow(spark, sf_dir, "wrong_order_v1")
+    return _numbered(spark, sf_dir, lambda steps: _workflow(steps, "wrong_order_v1"))
 
 
 def role_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +238,7 @@ def loss_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = materialize(_evidence(_frames(spark, sf_dir, positions=True)), "evidence")
+    evidence = _evidence(_frames(spark, sf_dir, positions=True))
     found = arbiter.ordered_evidence(evidence)
     return found.select("run_id", "evidence_no", "rule_id", "agent", "step", "value")
 
@@ -249,7 +252,7 @@ def fallback_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir)
     evidence = materialize(_evidence(frames), "evidence")
-    return explain.prompts(arbiter.resolve(frames.runs, evidence), evidence, cell=activity.ORDER_MINUTE)
+    return explain.prompts(arbiter.resolve(frames.runs, evidence), evidence)
 
 
 def verdict_report(spark: SparkSession, sf_dir: str) -> DataFrame:

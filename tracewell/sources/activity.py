@@ -10,16 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.config import CROWDED_CELL
 from tracewell.functions.values import quoted
 from tracewell.operators.ranking import dense_position
 
 TOOL_CALLS = "array<struct<name:string,output_text:string,has_output:boolean,has_error:boolean>>"
 
 
-# Order keys are microseconds times ORDER_UNIT plus the event; one minute of them.
+# Order keys are microseconds times ORDER_UNIT plus the event.
 ORDER_UNIT = 10**19
-ORDER_MINUTE = 60_000_000 * ORDER_UNIT
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,24 +74,9 @@ def as_steps(events: DataFrame) -> DataFrame:
     )
 
 
-def with_positions(steps: DataFrame, crowded: int = CROWDED_CELL) -> DataFrame:
-    """Add ``pos`` and ``step``: the place of each event in its run by time.
-
-    Cells of one minute keep the ranking of a busy run spread over many tasks; an
-    overfull minute is split by the exact time and, at equal times, by event.
-    """
-    # rows without a time sort first and must not get lost in joins on the cell
-    minute = F.expr(
-        "coalesce(unix_date(to_date(timestamp)) * 1440 + hour(timestamp) * 60 + minute(timestamp), -2147483648)"
-    )
-    fine = {
-        "_micros": F.expr("coalesce(CAST(extract(SECOND FROM timestamp) * 1000000 AS BIGINT), 0)"),
-        "_block": F.floor(F.col("event_id") / 1_000_000),
-    }
-    ranked = dense_position(
-        steps, ["run_id"], {"_minute": minute}, ["timestamp", "event_id"], fine=fine, crowded=crowded
-    )
-    return ranked.withColumn("step", F.col("pos") + 1)
+def with_positions(steps: DataFrame) -> DataFrame:
+    """Add ``pos`` and ``step``: the place of each event in its run by time, those without a time first."""
+    return dense_position(steps, ["run_id"], ["timestamp", "event_id"]).withColumn("step", F.col("pos") + 1)
 
 
 def with_order(steps: DataFrame) -> DataFrame:
