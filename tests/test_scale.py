@@ -147,6 +147,21 @@ def test_latest_keeps_unmatched_rows(spark):
     assert store.upsert(old, wider, ("run_id", "step")).where("note IS NULL").count() == 1
 
 
+def test_latest_without_an_order_keeps_the_values(spark):
+    rows = spark.createDataFrame([("r", 1, "a", None), ("s", 1, "b", None), ("s", 1, "c", 2)], "run_id string, step bigint, agent string, seq bigint")
+    assert {tuple(r) for r in store.latest(rows, ("run_id", "step"), ("seq",)).collect()} == {("r", 1, "a"), ("s", 1, "c")}
+
+
+def test_unreadable_documents_are_told_apart(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"run_id": "r", "steps": []}')
+    (tmp_path / "bad.json").write_text("{broken")
+    (tmp_path / "other.json").write_text('{"id": 1}')
+    assert [r.run_id for r in traces.scan_traces(spark, str(tmp_path)).collect()] == ["r"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in traces.unreadable_traces(spark, str(tmp_path)).collect()) == ["bad.json", "other.json"]
+    rows = spark.createDataFrame([('{"run_id": "r"}',), ("x",), (None,)], "trace_json string")
+    assert traces.parse_traces(rows).count() == 1 and traces.unparsed(rows).count() == 2
+
+
 def test_store(spark, tmp_path):
     root = str(tmp_path / "store")
     steps = spark.createDataFrame(

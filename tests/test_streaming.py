@@ -30,12 +30,14 @@ def test_runs_over_several_batches_with_repeats(spark, tmp_path):
     ]
     stream = as_stream(spark, tmp_path, "in", batches, STEPS).withColumn("timestamp", F.timestamp_seconds(F.col("at") + DAY))
     out = str(tmp_path / "out")
-    capture.assemble_runs(
-        stream, ("run_id", "step"), "step", "2 days", F.window("timestamp", "1 day"), out, str(tmp_path / "ck")
-    ).awaitTermination()
-    partials = spark.read.option("basePath", out).parquet(out)
-    found = {r.run_id: (r.status, r.total_latency_ms, r.total_tokens, r.step_count) for r in capture.combine_partials(partials).collect()}
-    assert found == {"r": ("ERROR", 60.0, 15, 3), "s": ("SUCCESS", 2.0, 2, 2)}
+    capture.collect_steps(stream, ("run_id", "step"), "step", out, str(tmp_path / "ck")).awaitTermination()
+    # a second stream into the same place, with a run that comes 40 days late
+    late = as_stream(spark, tmp_path, "late", [[("old", "w", 1, "SUCCESS", 3.0, 4, -40 * 86400)]], STEPS)
+    late = late.withColumn("timestamp", F.timestamp_seconds(F.col("at") + DAY))
+    capture.collect_steps(late, ("run_id", "step"), "step", out, str(tmp_path / "ck2")).awaitTermination()
+    runs = capture.assembled_runs(spark, out, ("run_id", "step"), "step").collect()
+    found = {r.run_id: (r.status, r.total_latency_ms, r.total_tokens, r.step_count) for r in runs}
+    assert found == {"r": ("ERROR", 60.0, 15, 3), "s": ("SUCCESS", 2.0, 2, 2), "old": ("SUCCESS", 3.0, 4, 1)}
 
 
 def test_steps_without_token_report_get_zero_after_the_wait(spark, tmp_path):
@@ -48,7 +50,7 @@ def test_steps_without_token_report_get_zero_after_the_wait(spark, tmp_path):
     joined = capture.attach_tokens(
         steps.withColumn("timestamp", F.timestamp_seconds(F.col("at") + DAY)).drop("at"),
         tokens.withColumn("token_time", F.timestamp_seconds(F.col("at") + DAY)).drop("at"),
-        ("run_id", "step"), "1 minute", "1 MINUTE",
+        ("run_id", "step"), "1 MINUTE", "1 minute",
     )
     out = str(tmp_path / "out")
     capture.append_parquet(joined, out, str(tmp_path / "ck")).awaitTermination()
@@ -65,6 +67,7 @@ def test_step_records_of_failing_agents(spark):
     raw = spark.createDataFrame([(json.dumps(e),) for e in events] + [("garbage",)], "value string")
     found = {r.step: r for r in capture.parse_step_events(raw).collect()}
     assert set(found) == {1, 2}
+    assert capture.unreadable_events(raw).count() == 2
     assert (found[1].agent, found[1].raw_output, found[1].status, found[1].tokens_total) == ("writer", "text", "SUCCESS", 7)
     assert (found[2].raw_output, found[2].status, found[2].error, found[2].returned_state) == ("", "ERROR", "ValueError: bad", None)
 
@@ -80,6 +83,14 @@ def test_upsert_keeps_one_row_per_step(spark, tmp_path):
     found = {r.step: (r.status, r.latency_ms) for r in store.read_table(spark, root, "steps").collect()}
     assert found == {1: ("ERROR", 2.0), 2: ("SUCCESS", 1.0)}
     assert store.read_table(spark, root, "metrics").count() == 10
+    # another stream starts at batch 0 again: it neither replaces nor goes before what is stored
+    again = as_stream(spark, tmp_path, "more", [[("r", 2, "b", "FAILURE", 3.0, 1, None), ("q", 1, "a", "SUCCESS", 1.0, 1, 9)]], ddl)
+    again = again.withColumns(
+        {"timestamp": F.timestamp_seconds(F.col("at") + DAY), "tokens_prompt": F.lit(0), "tokens_completion": F.lit(0)}
+    )
+    capture.upsert_steps(again, root, str(tmp_path / "ck2")).awaitTermination()
+    found = {(r.run_id, r.step): (r.status, r.latency_ms) for r in store.read_table(spark, root, "steps").collect()}
+    assert found == {("r", 1): ("ERROR", 2.0), ("r", 2): ("FAILURE", 3.0), ("q", 1): ("SUCCESS", 1.0)}
 
 
 @pytest.mark.parametrize("base, flags", [(None, [(2, True, False)]), ((True, 100.0, 50.0), [(1, False, True), (2, True, True)]), ((False, 1.0, 1.0), [(2, True, False)])])

@@ -154,3 +154,8 @@ def test_handoff_diff(spark, before, after):
     parts = [f"{label}={expected[k]}" for label, k in (("added", "added"), ("modified", "modified"), ("DROPPED", "dropped")) if expected[k]]
     if not any("'" in k for k in before | after):
         assert found.handoff_summary == (", ".join(parts) or "no changes")
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": 2, "a": 3}',)], "s string")
+    assert df.select(values.parse_state(F.col("s"))).first()[0] == {"a": "3", "b": "2"}

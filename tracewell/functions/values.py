@@ -8,7 +8,7 @@ equality.  (``true`` and ``1`` stay different.)
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import strip
@@ -47,7 +47,11 @@ def no_state() -> Column:
 
 
 def parse_object(text: Column) -> Column:
-    """Canonical members of JSON object text; null for anything else."""
+    """Canonical members of JSON object text; null for anything else.
+
+    Of a repeated key the last value counts, for which the session has to allow them.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     trimmed = strip(text)
     members = F.when(trimmed.startswith("{"), F.try_parse_json(trimmed)).cast("map<string,variant>")
     return F.transform_values(members, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))

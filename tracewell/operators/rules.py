@@ -48,7 +48,7 @@ class Finding:
 
     def value(self, column: str) -> str:
         defaults = {
-            "analyzer_ord": str(ANALYZER_ORD[self.analyzer]),
+            "analyzer_ord": str(ANALYZER_ORD.get(self.analyzer, len(ANALYZER_ORD))),  # own analyzers come last
             "emit_seq": "0",
             "emit_idx": "0",
             "source": quoted(SOURCE_OF.get(self.analyzer, self.analyzer)),
@@ -323,7 +323,7 @@ def information_loss(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def loss_findings(config: Config = DEFAULT) -> list[Finding]:
-    """Loss and gain verdicts as evidence, always against the writer.
+    """Loss and gain verdicts as evidence, always against the downstream agent.
 
     A small drop is a WARNING and carries the gain wording; that is intended.
     """
@@ -350,7 +350,7 @@ def loss_findings(config: Config = DEFAULT) -> list[Finding]:
             LOSS_RULE,
             category,
             {
-                "agent": "'writer'",
+                "agent": quoted(config.downstream),
                 "severity": quoted(severity),
                 "value": quoted(verdict),
                 "confidence": _loss_confidence(verdict),

@@ -601,6 +601,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps with a part of them written a second time, slower and failed."""
     steps = activity.ranked_event_steps(spark, sf_dir).select("run_id", "step", "agent", "status", "latency_ms")
+    steps = materialize(steps, "upsert-steps")
     again = steps.where(F.col("agent") == "writer").withColumns(
         {"status": F.lit("FAILURE"), "latency_ms": F.col("latency_ms") + 1}
     )
@@ -619,7 +620,7 @@ def upsert_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long metrics appended twice; a repeated metric counts once."""
     root = work_dir(spark, "store")
-    long = metrics.long_metrics(activity.ranked_event_steps(spark, sf_dir))
+    long = materialize(metrics.long_metrics(activity.ranked_event_steps(spark, sf_dir)), "long-metrics")
     for seq in (0, 1):
         store.write_batch(long, root, "metrics", seq)
     stored = store.read_table(spark, root, "metrics")
@@ -652,26 +653,26 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run totals assembled from the event stream."""
     out = work_dir(spark, "stream-runs")
-    capture.assemble_runs(
-        _event_stream(spark, sf_dir), ("run_id", "event_id"), "event_id", "30 days",
-        F.window("timestamp", "1 day"), out, work_dir(spark, "progress"),
-    ).awaitTermination()
-    totals = capture.combine_partials(spark.read.option("basePath", out).parquet(out))
+    key = ("run_id", "event_id")
+    capture.collect_steps(_event_stream(spark, sf_dir), key, "event_id", out, work_dir(spark, "progress")).awaitTermination()
+    totals = capture.assembled_runs(spark, out, key, "event_id")
     return totals.withColumn("timestamp", text.format_time(F.col("timestamp")))
 
 
 def stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps and token reports as two streams, joined again."""
+    """Steps and token reports as two streams, stored and joined again."""
     both = _event_stream(spark, sf_dir)
     steps = both.select("run_id", "event_id", "agent", "timestamp")
     tokens = _event_stream(spark, sf_dir).select(
         "run_id", "event_id", (F.col("timestamp") + F.expr("INTERVAL 2 SECONDS")).alias("token_time"),
         F.col("tokens_prompt").alias("prompt"), F.col("tokens_completion").alias("completion"),
     )
-    joined = capture.attach_tokens(steps, tokens, ("run_id", "event_id"), "1 day", "1 MINUTE")
-    out = work_dir(spark, "stream-tokens")
-    capture.append_parquet(joined, out, work_dir(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("run_id", "event_id", "agent", "tokens_prompt", "tokens_completion", "tokens_total")
+    stored = []
+    for name, rows in (("steps", steps), ("tokens", tokens)):
+        stored.append(work_dir(spark, f"stream-{name}"))
+        capture.append_parquet(rows, stored[-1], work_dir(spark, "progress")).awaitTermination()
+    joined = capture.attach_tokens(*(spark.read.parquet(p) for p in stored), ("run_id", "event_id"), "1 MINUTE")
+    return joined.select("run_id", "event_id", "agent", "tokens_prompt", "tokens_completion", "tokens_total")
 
 
 def stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Stored tables: runs, steps, metrics, analysis.
 
-Every write is one Parquet folder named by its ingest number and replaces that
-folder when it is repeated, so a retried batch changes nothing.  Reads take the
-latest row per key across the folders.
+Every write is one Parquet folder named by its ingest number, its source and the
+source's batch.  It replaces that folder when it is repeated, so a retried batch changes
+nothing, and no source can touch what another one wrote, even under the same number.
+Reads take the latest row per key across the folders.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ TABLES = {
     "analysis": (schema.ANALYSIS_COLUMNS, None),
 }
 
+DIRECT = "direct"
+INGEST = "ingest_seq BIGINT, source STRING, batch BIGINT"
+ORDER = ("ingest_seq", "source", "batch")
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in order; missing ones are null, types are cast."""
@@ -32,14 +39,16 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def latest(df: DataFrame, key: tuple[str, ...], seq: str = "ingest_seq") -> DataFrame:
+def latest(df: DataFrame, key: tuple[str, ...], seq: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
     """Newest row per key.
 
     ``max_by`` keeps one candidate per key and input task, so a key that was
-    written a great many times does not meet in one task row by row.
+    written a great many times does not meet in one task row by row.  A missing order
+    comes before all others; of equal ones a hash of the row decides.
     """
-    rest = [c for c in df.columns if c not in (*key, seq)]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*key, "r.*")
+    rest = [c for c in df.columns if c not in (*key, *seq)]
+    newest = F.struct(*seq, F.xxhash64(*rest))
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(*key, "r.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -50,27 +59,53 @@ def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return latest(marked, key).select(*old.columns, *(c for c in new.columns if c not in old.columns))
 
 
-def write_batch(df: DataFrame, root: str, table: str, ingest_seq: int) -> None:
-    conform(df, table).write.mode("overwrite").parquet(f"{root}/{table}/ingest_seq={ingest_seq}")
+def folder(root: str, table: str, ingest_seq: int, source: str = DIRECT, batch: int = 0) -> str:
+    return f"{root}/{table}/ingest_seq={ingest_seq}/source={source}/batch={batch}"
+
+
+def write_batch(
+    df: DataFrame, root: str, table: str, ingest_seq: int, source: str = DIRECT, batch: int = 0
+) -> DataFrame:
+    """Store rows as one ingest; returns them as stored."""
+    path = folder(root, table, ingest_seq, source, batch)
+    rows = conform(df, table)
+    rows.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def source_name(checkpoint: str) -> str:
+    """Name of the stream that keeps its progress in ``checkpoint``."""
+    return "stream-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def ingest_number(spark: SparkSession, root: str, table: str, source: str, batch: int) -> int:
+    """The number a source's batch was stored under before, else one above all numbers in use."""
+    try:
+        used = spark.read.option("basePath", f"{root}/{table}").schema(INGEST).parquet(f"{root}/{table}")
+    except AnalysisException:  # nothing is stored yet
+        return 0
+    own = (F.col("source") == source) & (F.col("batch") == batch)
+    found = used.agg(F.max(F.when(own, F.col("ingest_seq"))).alias("own"), F.max("ingest_seq").alias("last")).first()
+    return found.own if found.own is not None else 0 if found.last is None else found.last + 1
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Current rows of a stored table."""
     columns, key = TABLES[table]
     rows = (
-        spark.read.schema(schema.ddl(columns) + ", ingest_seq BIGINT")
+        spark.read.schema(f"{schema.ddl(columns)}, {INGEST}")
         .option("basePath", f"{root}/{table}")
         .parquet(f"{root}/{table}")
     )
-    current = rows.drop("ingest_seq") if key is None else latest(rows, key)
+    current = rows if key is None else latest(rows, key, ORDER)
     return current.select(*(c for c, _ in columns))
 
 
 def write_runs(runs: DataFrame, steps: DataFrame, root: str, ingest_seq: int) -> None:
     """Runs, steps and long-form metrics of one ingest."""
     write_batch(runs, root, "runs", ingest_seq)
-    write_batch(steps, root, "steps", ingest_seq)
-    write_batch(long_metrics(steps), root, "metrics", ingest_seq)
+    stored = write_batch(steps, root, "steps", ingest_seq)
+    write_batch(long_metrics(stored), root, "metrics", ingest_seq)
 
 
 def analysis_rows(evidence: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tracewell import schema
 from tracewell.config import DOCUMENT_CHUNK
 
+CORRUPT = "_corrupt_record"
+
 
 def scan_traces(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Trace documents under ``path``.
@@ -15,7 +17,17 @@ def scan_traces(spark: SparkSession, path: str, one_per_file: bool = True) -> Da
     ``one_per_file`` reads pretty-printed files holding a single object.  Large
     collections should be JSON lines (``False``), which split inside files.
     """
-    return spark.read.schema(schema.TRACE).option("multiLine", one_per_file).json(path)
+    return _scan(spark, path, one_per_file).where("run_id IS NOT NULL").drop(CORRUPT)
+
+
+def unreadable_traces(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """(path, text) of the documents under ``path`` that are no JSON or name no run."""
+    broken = _scan(spark, path, one_per_file).where("run_id IS NULL")
+    return broken.select(F.input_file_name().alias("path"), F.col(CORRUPT).alias("text"))
+
+
+def _scan(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
+    return spark.read.schema(f"{schema.TRACE}, {CORRUPT} STRING").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", one_per_file).json(path)
 
 
 def scan_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +40,15 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_traces(rows: DataFrame, column: str = "trace_json") -> DataFrame:
-    """Documents from a column of JSON text; rows without a readable one vanish."""
+    """Documents from a column of JSON text; ``unparsed`` has the rows without a readable one."""
     return rows.select(F.from_json(column, schema.TRACE).alias("t")).where("t.run_id IS NOT NULL").select("t.*")
 
 
+def unparsed(rows: DataFrame, column: str = "trace_json") -> DataFrame:
+    """Rows whose text is no trace document or names no run."""
+    return rows.where(F.from_json(column, schema.TRACE)["run_id"].isNull())
+
+
 def trace_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Path and size of the files under ``path``; contents are not read."""
     reader = spark.read.format("binaryFile")

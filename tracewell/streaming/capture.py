@@ -1,15 +1,15 @@
 """Step events as a stream.
 
-State is keyed by (run, step) where single steps matter and holds one partial sum
-per (run, window) where totals matter; Spark combines rows per task before the
-state shuffle, so one very busy run does not funnel through one task.
+Captured steps are stored as they come, however late, and repeats are told apart when
+the store is read; totals are derived from the stored steps.  No step waits in the
+state of a stream, and none is dropped behind a watermark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,7 +29,7 @@ def parse_step_events(raw: DataFrame, column: str = "value") -> DataFrame:
     """Typed step records from JSON event text.
 
     A step that raised keeps ``Type: message`` as its error, has no output, and
-    hands its input state on unchanged.
+    hands its input state on unchanged.  ``unreadable_events`` has what is left out.
     """
     e = raw.select(F.from_json(column, STEP_EVENT).alias("e")).where("e.run_id IS NOT NULL").select("e.*")
     failed = F.col("error_type").isNotNull()
@@ -53,6 +53,11 @@ def parse_step_events(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def unreadable_events(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Rows whose text is no step event or names no run."""
+    return raw.where(F.from_json(column, STEP_EVENT)["run_id"].isNull())
+
+
 def record_steps(events: DataFrame) -> DataFrame:
     """Step events with their three states and what the step did to them.
 
@@ -67,74 +72,47 @@ def record_steps(events: DataFrame) -> DataFrame:
     return handoff.handoff_diff(merged).withColumnRenamed("handoff_summary", "diff_summary")
 
 
-def distinct_steps(events: DataFrame, key: tuple[str, ...], delay: str) -> DataFrame:
-    """First arrival of every step within the watermark."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(key))
-
-
-def partial_runs(steps: DataFrame, window: Column, order: str) -> DataFrame:
-    """Running totals per (run, window); windows of a run are summed when read."""
-    status, at = F.col("status"), F.col(order)
-    return steps.groupBy("run_id", "workflow", window.alias("w")).agg(
-        F.min("timestamp").alias("timestamp"),
-        F.max(F.when(status == "FAILURE", at)).alias("last_failure"),
-        F.max(F.when(status == "ERROR", at)).alias("last_error"),
-        F.sum("latency_ms").alias("latency_ms"),
-        F.sum("tokens_total").alias("tokens_total"),
-        F.count("*").alias("steps"),
-    ).withColumn("w", F.col("w.start"))
-
-
-PARTIAL_KEY = ("run_id", "workflow", "w")
-
-
-def combine_partials(partials: DataFrame) -> DataFrame:
-    """Run roll-ups from the latest partial of every (run, window)."""
-    newest = store.latest(partials, PARTIAL_KEY)
-    error, failure = F.max("last_error"), F.max("last_failure")
-    return newest.groupBy("run_id", "workflow").agg(
-        F.min("timestamp").alias("timestamp"),
-        F.when(error.isNotNull() & (failure.isNull() | (error >= failure)), F.lit("ERROR"))
-        .when(failure.isNotNull(), F.lit("FAILURE"))
-        .otherwise(F.lit("SUCCESS"))
-        .alias("status"),
-        F.sum("latency_ms").alias("total_latency_ms"),
-        F.sum("tokens_total").alias("total_tokens"),
-        F.sum("steps").alias("step_count"),
-    )
-
-
-def replace_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink writing each micro-batch to a folder of its own; a retry replaces it."""
+def store_batches(path: str, source: str) -> Callable[[DataFrame, int], None]:
+    """Sink that stores each micro-batch in a folder of its own; a retry replaces it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/ingest_seq={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/source={source}/batch={batch_id}")
 
     return write
 
 
-def assemble_runs(
-    events: DataFrame, key: tuple[str, ...], order: str, delay: str, window: Column, out: str, checkpoint: str
-) -> StreamingQuery:
-    """Keep run totals up to date under ``out`` from a stream of step events."""
-    partials = partial_runs(distinct_steps(events, key, delay), window, order)
+def collect_steps(events: DataFrame, key: tuple[str, ...], order: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Store what run totals need of every step under ``out``; any number of streams may share it."""
+    columns = dict.fromkeys((*key, "run_id", "workflow", order, "timestamp", "status", "latency_ms", "tokens_total"))
     return (
-        partials.writeStream.outputMode("update")
-        .foreachBatch(replace_batches(out))
+        events.select(*columns).writeStream
+        .foreachBatch(store_batches(out, store.source_name(checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def assembled_runs(spark: SparkSession, out: str, key: tuple[str, ...], order: str) -> DataFrame:
+    """Run totals of all stored steps; a repeated step counts once, its latest time wins."""
+    steps = spark.read.option("basePath", out).parquet(out).drop("source", "batch")
+    steps = steps.withColumn("_seq", F.col("timestamp"))
+    return metrics.roll_up(store.latest(steps, key, ("_seq",)), order)
+
+
 def upsert_steps(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Store steps and their metrics continuously; a repeated step replaces the old row."""
+    """Store steps and their metrics continuously; a repeated step replaces the old row.
+
+    Every batch gets an ingest number above those in use, and keeps it when it is retried.
+    """
+    source = store.source_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # the newest event wins when one batch repeats a step
-        rows = store.latest(batch, ("run_id", "step"), "timestamp_seq")
-        store.write_batch(rows, root, "steps", batch_id)
-        store.write_batch(metrics.long_metrics(rows), root, "metrics", batch_id)
+        rows = store.latest(batch, ("run_id", "step"), ("timestamp_seq",))
+        number = store.ingest_number(batch.sparkSession, root, "steps", source, batch_id)
+        stored = store.write_batch(rows, root, "steps", number, source, batch_id)
+        store.write_batch(metrics.long_metrics(stored), root, "metrics", number, source, batch_id)
 
     ordered = events.withColumn("timestamp_seq", F.col("timestamp"))
     return (
@@ -145,15 +123,18 @@ def upsert_steps(events: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def attach_tokens(steps: DataFrame, tokens: DataFrame, key: tuple[str, ...], delay: str, within: str) -> DataFrame:
+def attach_tokens(
+    steps: DataFrame, tokens: DataFrame, key: tuple[str, ...], within: str, delay: str | None = None
+) -> DataFrame:
     """Steps with the token counts reported for them, or none after ``within``.
 
-    ``tokens`` carries the key, ``token_time``, ``prompt`` and ``completion``.
+    ``tokens`` carries the key, ``token_time``, ``prompt`` and ``completion``.  Both sides
+    may be stored steps, or streams; streams need a ``delay`` and lose what comes later
+    than that, so late arrivals ask for storing both sides first.
     """
-    t = tokens.withWatermark("token_time", delay).select(
-        *(F.col(c).alias(f"_{c}") for c in key), "token_time", "prompt", "completion"
-    )
-    s = steps.withWatermark("timestamp", delay)
+    t = tokens if delay is None else tokens.withWatermark("token_time", delay)
+    t = t.select(*(F.col(c).alias(f"_{c}") for c in key), "token_time", "prompt", "completion")
+    s = steps if delay is None else steps.withWatermark("timestamp", delay)
     same = F.lit(True)
     for c in key:
         same = same & (F.col(c) == F.col(f"_{c}"))
