@@ -141,6 +141,10 @@ class Vocabulary:
             b"".join(b"".join(map(of, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in row) for row in rows
         ]
 
+    def forget(self) -> None:
+        """Free the remembered codes: a Python worker outlives its task."""
+        self.known, self.chunks = Recent(REMEMBERED), Recent(REMEMBERED)
+
     def decode(self, codes: bytes) -> bytes:
         """Bytes that the codes stand for; codes outside the vocabulary stand for nothing."""
         known = self.bytes
@@ -270,6 +274,7 @@ def encode(
             made = [found, [len(x) // 4 for x in found]]
             return made if decoded is None else [*made, [model.decode(x).decode("utf-8", "replace") for x in found]]
 
+        run.close = model.forget
         return run
 
     new = StructType([StructField(ids, BinaryType()), StructField("n_tokens", LongType())])

@@ -87,7 +87,8 @@ def map_texts(
     """Add columns made from the texts of each Arrow batch; no shuffle.
 
     ``start`` runs once in each task and returns a function from the UTF-8 texts of a
-    batch (None for null) to one list of values per new column.  ``keep`` are the
+    batch (None for null) to one list of values per new column; if that has an attribute
+    ``close``, it is called when the task ends.  ``keep`` are the
     columns that come along; ``binary`` tells that the column holds bytes already.
     At most ``at_once`` bytes of text, or one longer text, are worked on together.
     """
@@ -99,13 +100,16 @@ def map_texts(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = start()
-        for batch in batches:
-            for part in slices(batch, at_once):
-                columns = run(part.column(0).to_pylist())
-                made = [pa.array(values, type=kinds.field(i).type) for i, values in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], *made], names=[*part.schema.names[1:], *kinds.names]
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, at_once):
+                    columns = run(part.column(0).to_pylist())
+                    made = [pa.array(values, type=kinds.field(i).type) for i, values in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[1:], *made], names=[*part.schema.names[1:], *kinds.names]
+                    )
+        finally:
+            getattr(run, "close", lambda: None)()
 
     kept = StructType([f for f in chosen.schema.fields if f.name != slot])
     return chosen.mapInArrow(work, StructType(kept.fields + new.fields))

@@ -14,11 +14,12 @@ from tracewell.llm.common import components, fresh, slices
 from tracewell.session import materialize
 
 GRAM, SHARE = 4, 85  # words of a shingle; percent of the union that must be shared
-BUCKET = 2_000_000  # shingles counted in one group
-FLUSH = 2_000_000  # shingles gathered in a task before they are sent
+BUCKET = 1_200_000  # shingles counted in one group
+FLUSH = 1_000_000  # shingles gathered in a task before they are sent
+AT_ONCE = 2 << 20  # bytes of text worked on together
 BLOCK = 1024  # members of one list that are compared in one group
 HISTOGRAM = 128  # counters in the signature of a set
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -63,12 +64,13 @@ def text_sets(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t, hashes, gram) for t in batch.column(0).to_pylist()]
-            ids = [set_id(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64())],
-                names=["key", "text_hash", "set", "n_shingles"],
-            )
+            for part in slices(batch, AT_ONCE):
+                found = [shingles(t, hashes, gram) for t in part.column(0).to_pylist()]
+                ids = [set_id(s) if len(s) else None for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64())],
+                    names=["key", "text_hash", "set", "n_shingles"],
+                )
 
     source = docs.select(
         F.col(text).cast("string").cast("binary").alias("text"), F.col(key).alias("key"), text_hash(text)
@@ -148,7 +150,7 @@ def common_shingles(docs: DataFrame, text: str, gram: int, share: int, buckets:
 
         gathered = 0
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, AT_ONCE):
                 for t in part.column(0).to_pylist():
                     found = shingles(t, hashes, gram)
                     if len(found) and (own := set_id(found)) not in ids:

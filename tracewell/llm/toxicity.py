@@ -23,8 +23,8 @@ LABEL_RATES = (0.01, 0.98)  # how often clean and toxic rows are labelled toxic
 LEAST_CORRELATION = 0.3
 STEMS = range(3, 9)  # lengths of the word beginnings that are pattern voters
 THRESHOLD = 0.3
-REMEMBERED = 300_000
-_FLUSH = 500_000
+REMEMBERED = 100_000
+_FLUSH = 100_000
 
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell import schema
 from tracewell.config import Config
 from tracewell.functions import text, values
 from tracewell.operators import (
@@ -249,6 +250,61 @@ def fallback_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explained.select("run_id", "summary", "suggested_fix")
 
 
+def _given_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All runs, and evidence of every source with given confidences: one finding per event of some kinds."""
+    events = activity.ordered_event_steps(spark, sf_dir)
+    kinds = (  # source, rule, category
+        ("ground_truth", "gt_mismatch_v1", "verification"), ("rule_engine", "tool_failure_v1", "execution"),
+        ("workflow_validator", "wrong_order_v1", "workflow"), ("consistency_validator", None, "reasoning"),
+        ("metrics_analyzer", None, "execution"), ("rule_engine", "hallucination_v1", "reasoning"),
+    )
+    pick = lambda i: F.element_at(F.array(*(F.lit(k[i]) for k in kinds)), (F.col("k") % 60 + 1).cast("int"))
+    given = {
+        "source": pick(0), "rule_id": pick(1), "category": pick(2), "agent": F.col("agent"), "value": F.lit("FAIL"),
+        "confidence": F.col("k") / 1000, "emit_seq": F.col("pos"), "analyzer_ord": F.lit(0), "emit_idx": F.lit(0),
+        "severity": F.lit("high"), "description": F.lit("given"), "rule_description": F.lit("given"),
+    }
+    found = events.where(F.col("k") % 60 < len(kinds))
+    columns = (given.get(c, F.lit(None)).cast(t).alias(c) for c, t in schema.EVIDENCE_COLUMNS if c != "run_id")
+    return events.select("run_id").distinct(), found.select("run_id", *columns)
+
+
+def grounded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over given evidence of all sources: P1 to P3, and P5 with and without evidence."""
+    judged = explain.explain_fallback(arbiter.resolve(*_given_evidence(spark, sf_dir)))
+    return judged.select(
+        "run_id", "primary_cause", "priority_level", "grounded", "primary_agent", "deciding_rule", "confidence",
+        "first_rule", "evidence_count", "rule_count",
+    )
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts with their evidence nested, two findings to a row."""
+    found = arbiter.bundles(*_given_evidence(spark, sf_dir), chunk=2)
+    sources = F.array_join(F.transform(F.coalesce("evidence", F.array()), lambda e: e["source"]), ",")
+    matches = F.array_join(F.transform(F.coalesce("rule_matches", F.array()), lambda e: e["rule_id"]), ",")
+    return found.select("run_id", "part", "priority_level", sources.alias("sources"), matches.alias("rules"))
+
+
+def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace documents written as files, scanned, normalised and judged by the agents' own output."""
+    call = lambda c: F.struct(
+        c["name"].alias("name"), c["output_text"].alias("output"), F.when(c["has_error"], F.lit("Error: failed")).alias("error")
+    )
+    steps = activity.ranked_event_steps(spark, sf_dir).select(
+        "run_id", "pos", F.col("step").cast("int").alias("step"), "agent", "latency_ms", "status",
+        F.to_json(F.struct("source_count", "entity_count")).alias("output"),
+        F.transform("tool_calls", call).alias("tool_calls"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+    )
+    runs = activity.event_steps(spark, sf_dir).groupBy("run_id", "workflow").agg(F.count("*").alias("step_count"))
+    docs = traces.nest_documents(runs, steps, [c for c in steps.columns if c not in ("run_id", "pos")])
+    path = work_dir(spark, "traces")
+    traces.write_traces(docs, path)
+    frames = analysis.frames_from_documents(traces.scan_traces(spark, path, one_per_file=False))
+    return analysis.analyze(frames, analysis.DEFAULT_ANALYZERS).drop("schema_version")
+
+
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir)
     evidence = materialize(_evidence(frames), "evidence")
@@ -722,7 +778,8 @@ QUERIES = {
         verdicts, runs_rollup, list_runs_topn, run_explorer, explorer_cards, step_metrics, baseline_stats,
         step_anomalies, slowest_fastest, agent_latency, agent_summary, cost_estimate, metrics_long, step_share,
         trace_timeline, latest_run, tool_rules, evidence_rules, latest_evidence, skipped_steps, wrong_order,
-        role_order, information_loss, analyzer_status, ground_truth, loss_verdicts, ordered_evidence,
+        role_order, information_loss, analyzer_status, ground_truth, loss_verdicts, grounded_verdicts, bundles,
+        document_verdicts, ordered_evidence,
         fallback_explanation, prompt_table, verdict_report, coarse_verdicts, handoff_diff, normalized_steps, topic, trace_roundtrip,
         extraction_parse, extraction_cost, structural_counts, field_lists, checker_approval, display_formats,
         run_diff, first_divergence, label_eval, label_confusion, label_false_positives, label_distribution,

@@ -140,6 +140,25 @@ RULES = EV + "," + PROFILE
 LOSSES = RULES + "," + LOSS.format(failed="false")
 VERDICTS = LOSSES + "," + EVIDENCE
 
+# one finding per event of six kinds, in the order of a bundle
+GIVEN = EV + """,
+given AS (
+  SELECT *, rn - 1 AS place FROM (
+    SELECT run_id, agent, k / 1000 AS confidence, kind.*,
+      coalesce(kind.rule, 'zzz') AS tie, CASE WHEN kind.rank <= 3 AND kind.source <> 'consistency_validator' THEN kind.rank ELSE 5 END AS eff,
+      row_number() OVER (PARTITION BY run_id ORDER BY kind.rank, coalesce(kind.rule, 'zzz'), ts, event_id) AS rn, ts, event_id
+    FROM st JOIN (VALUES (0, 'ground_truth', 'gt_mismatch_v1', 'verification', 1), (1, 'rule_engine', 'tool_failure_v1', 'execution', 2),
+      (2, 'workflow_validator', 'wrong_order_v1', 'workflow', 3), (3, 'consistency_validator', NULL, 'reasoning', 3),
+      (4, 'metrics_analyzer', NULL, 'execution', 4), (5, 'rule_engine', 'hallucination_v1', 'reasoning', 2)
+      ) kind(no, source, rule, category, rank) ON k % 60 = kind.no)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY eff, tie, ts, event_id) AS b FROM given),
+judged AS (
+  SELECT r.run_id, CASE WHEN b.eff IS NULL OR b.eff = 5 THEN 'unknown' WHEN b.eff = 3 THEN 'workflow' ELSE b.category END AS primary_cause,
+    'P' || coalesce(b.eff, 5) AS priority_level, coalesce(b.eff, 5) < 5 AS decided, b.agent, b.rule, b.confidence
+  FROM ru r LEFT JOIN best b ON b.run_id = r.run_id AND b.b = 1)
+"""
+
 REASONS_BASE = """
 reasons AS (
   SELECT st.*, list_filter([
@@ -340,6 +359,16 @@ ORACLES = {
         "SELECT run_id, analyzer_id, skip_reason <> '' AS skipped, skip_reason FROM s"),
     "verdicts": _q(VERDICTS, """SELECT run_id, primary_cause, priority_level, grounded, primary_agent, summary, deciding_rule,
         confidence, deciding_rule AS first_rule, evidence_count, evidence_count AS rule_count FROM verd"""),
+    "document_verdicts": _q(VERDICTS, """SELECT run_id, primary_cause, priority_level, grounded, primary_agent, summary, deciding_rule,
+        confidence, deciding_rule AS first_rule, evidence_count, evidence_count AS rule_count FROM verd"""),
+    "grounded_verdicts": _q(GIVEN, """SELECT j.run_id, primary_cause, priority_level,
+        coalesce(bool_or(source = 'ground_truth'), false) AS grounded, CASE WHEN decided THEN any_value(j.agent) END AS primary_agent,
+        CASE WHEN decided THEN any_value(j.rule) END AS deciding_rule, CASE WHEN decided THEN any_value(j.confidence) END AS confidence,
+        arg_min(g.rule, g.rn) FILTER (g.rule IS NOT NULL) AS first_rule, count(g.run_id) AS evidence_count, count(g.rule) AS rule_count
+        FROM judged j LEFT JOIN given g USING (run_id) GROUP BY j.run_id, primary_cause, priority_level, decided"""),
+    "bundles": _q(GIVEN, """SELECT j.run_id, coalesce(place // 2, 0) AS part, any_value(priority_level) AS priority_level,
+        coalesce(string_agg(source, ',' ORDER BY rn), '') AS sources, coalesce(string_agg(g.rule, ',' ORDER BY rn) FILTER (g.rule IS NOT NULL), '') AS rules
+        FROM judged j LEFT JOIN given g USING (run_id) GROUP BY j.run_id, place // 2"""),
     "loss_verdicts": _q(LOSSES, """SELECT r.run_id, CASE WHEN l.run_id IS NULL THEN 'Missing researcher or writer step' END AS error,
         CASE WHEN l.run_id IS NULL THEN NULL WHEN verdict = 'FAIL' THEN 'workflow' WHEN verdict = 'WARNING' THEN 'reasoning' ELSE 'unknown' END AS primary_cause,
         CASE WHEN l.run_id IS NULL THEN NULL WHEN verdict = 'PASS' THEN 'P5' ELSE 'P2' END AS priority_level,
