@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,14 +160,25 @@ def between(x: np.ndarray, a: list[Node], b: list[Node], links: Links, same: boo
                     links.pairs(m.members[u], n.members[v])
 
 
-def _unit(column: str):
-    """The vector as a unit vector of doubles; null if it has no direction."""
-    v = F.transform(column, lambda e: e.cast("double"))
-    finite = F.forall(v, lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)))
-    largest = F.array_max(F.transform(v, lambda e: F.abs(e)))
-    scaled = F.transform(v, lambda e: e / largest)  # squares can neither overflow nor vanish
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda acc, e: acc + e * e))
-    return F.when(finite & (largest > 0), F.transform(scaled, lambda e: e / norm))
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, cell, unit): the vector as a unit vector of doubles; no node if it has no direction."""
+    for batch in batches:
+        lists = batch.column(3)
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))
+        units, nodes = [], []
+        for start, end, node in zip([0, *ends[:-1].tolist()], ends.tolist(), batch.column(1).to_pylist(), strict=True):
+            v = flat[start:end]
+            largest = np.abs(v).max() if len(v) else 0.0
+            good = node is not None and np.isfinite(largest) and largest > 0  # a null is NaN here, and so is its maximum
+            if good:
+                v = v / largest  # squares can neither overflow nor vanish
+                v = v / np.sqrt(v @ v)
+            units.append(v if good else None)
+            nodes.append(node if good else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(nodes, pa.int64()), batch.column(2), pa.array(units, pa.list_(pa.float64()))],
+            names=["key", "node", "cell", "unit"],
+        )
 
 
 def _split(nodes: DataFrame, big: DataFrame) -> DataFrame:
@@ -175,7 +188,10 @@ def _split(nodes: DataFrame, big: DataFrame) -> DataFrame:
     """
     members = nodes.join(big.select("cell", "n", "least"), "cell")
     turn = F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.col("n") / FANOUT, F.lit(1)).cast("bigint"))
-    centres = members.where((turn == 0) | (F.col("node") == F.col("least"))).select("cell", F.col("node").alias("c"), "unit")
+    centres = members.where((turn == 0) | (F.col("node") == F.col("least"))).select(
+        # new names, since both sides of the cogroup come from the same rows
+        F.col("cell").alias("cell"), F.col("node").alias("c"), F.col("unit").alias("unit")
+    )
     shares = big.select("cell", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CELL).cast("int"))).alias("share"))
     dealt = members.withColumn(
         "share", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL).cast("int") + 1).cast("int")
@@ -297,15 +313,12 @@ def near_duplicates(
     """
     if not 0.5 <= cosine < 1:
         raise ValueError("the cosine must be from 0.5 to below 1")
-    unit = _unit(vector)
-    rows = vectors.select(
-        F.col(key).alias("key"), F.col(group).alias("group"), F.size(vector).alias("d"),
-        F.when(F.col(group).isNotNull() & (F.size(vector) > 0), unit).alias("unit"), F.col(vector).alias("raw"),
-    )
-    rows = materialize(
-        rows.select("key", "unit", F.when(F.col("unit").isNotNull(), F.xxhash64("group", "raw")).alias("node"),
-                    F.xxhash64("group", "d").alias("cell")), "cover-rows",
+    raw = vectors.select(
+        F.col(key).alias("key"), F.when(F.col(group).isNotNull(), F.xxhash64(group, vector)).alias("node"),
+        F.xxhash64(group, F.size(vector)).alias("cell"), F.col(vector).cast("array<double>").alias("raw"),
     )
+    schema = f"key {dict(raw.dtypes)['key']}, node bigint, cell bigint, unit array<double>"
+    rows = materialize(raw.mapInArrow(_units, schema), "cover-rows")
     nodes = materialize(
         rows.where("node is not null").groupBy("node").agg(
             F.first("unit").alias("unit"), F.count("*").alias("weight"), F.first("cell").alias("cell"), F.min("key").alias("least")
