@@ -217,7 +217,9 @@ def test_parts_keep_all_findings(spark):
     assert set(prompts) == {("big", 0), ("big", 1), ("big", 2), ("small", 0), ("none", 0)}
     joined = "\n".join(prompts[("big", p)] for p in range(3))
     assert all(f"  [{n + 1}] rule=rule_{n:03d}  confidence=100%  description=" in joined for n in range(25))
-    assert "d" * 121 not in joined
+    assert "d" * 121 in joined
+    short = explain.prompts(verdicts, evidence, chunk=10, max_chars=120)
+    assert all("d" * 121 not in r.prompt for r in short.collect())
     assert "  (none)" in prompts[("none", 0)] and "primary_agent  : unknown" in prompts[("none", 0)]
     bundles = arbiter.bundles(runs, evidence, 10).collect()
     assert sum(len(r.evidence or []) for r in bundles if r.run_id == "big") == 25
