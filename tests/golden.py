@@ -13,6 +13,7 @@ _SILENT = {"name": "weather_api", "args": {}, "result": "", "error": None}
 _AUTH = {"name": "crypto_api", "args": {"coin": "BTC"}, "result": None, "error": "AuthError: Invalid API key"}
 _NONE = {"name": "sports_api", "args": {}, "result": None, "error": None}
 
+# Counts, categories and tool calls of the labelled runs.
 RUNS = {
     "pass_01": ("pass", (8, 10), (8, 10), [], None),
     "pass_02": ("pass", (7, 9), (7, 9), [], None),
@@ -36,7 +37,7 @@ RUNS = {
     "verification_04": ("verification_failure", (4, 6), (11, 18), [], None),
 }
 
-# confidence of the information-loss warning; other runs pass, workflow_03 has no pair
+# Confidence of the information-loss warning; other runs pass, workflow_03 has no pair
 WARNINGS = {
     "reasoning_01": 0.813, "reasoning_02": 0.83, "reasoning_03": 0.8091, "reasoning_04": 0.8152,
     "verification_01": 0.84, "verification_02": 0.84, "verification_03": 0.84, "verification_04": 0.84,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import schema
+from tracewell.config import Config
 from tracewell.functions import similarity, text
 from tracewell.operators import arbiter, explain, extract, rules
 
@@ -287,3 +288,20 @@ def test_approval(spark, said, ok):
     df = spark.createDataFrame([("r", 1, said)], "run_id string, step bigint, raw_output string")
     row = extract.checker_approval(df).first()
     assert (row.verified, row.revision_notes) == (ok, "" if ok else said.strip())
+
+
+def test_loss_evidence_names_the_configured_roles(spark):
+    talk = Config(required_agents=("user", "assistant"), upstream="user", downstream="assistant", checker="judge")
+    rows = [("r", 0, 1, "user", 8, 10, False), ("r", 1, 2, "assistant", 2, 3, False)]
+    steps = spark.createDataFrame(
+        rows, "run_id string, pos bigint, step int, agent string, source_count int, entity_count int, extraction_failed boolean"
+    )
+    found = rules.emit(rules.profile(steps, steps, talk), rules.loss_findings(talk)).first()
+    assert found.agent == "assistant" and "User → Assistant" in found.description
+
+
+def test_findings_of_own_analyzers_take_any_name(spark):
+    frame = spark.createDataFrame([("r",)], "run_id string")
+    own = rules.Finding("true", "own_checks", "own_v1", "execution", {"description": "'seen'"})
+    row = rules.emit(frame, [own]).first()
+    assert (row.source, row.rule_id, row.description) == ("own_checks", "own_v1", "seen")

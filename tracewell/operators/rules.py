@@ -152,10 +152,17 @@ def profile(steps: DataFrame, extracted: DataFrame | None = None, config: Config
     return per_run(steps, shape).join(per_run(extracted, counts), "run_id", "left")
 
 
+def _spoken(role: str) -> str:
+    """A role as it stands in texts."""
+    return role[:1].upper() + role[1:]
+
+
 def counts_findings(config: Config = DEFAULT) -> list[Finding]:
     """Rules over the last counts of upstream, downstream and checker."""
     gain = "(down_entities - up_entities)"
     limit = config.entity_gain_threshold
+    up, down, check = (_spoken(r) for r in (config.upstream, config.downstream, config.checker))
+    # Ids, categories and wordings; the roles in them are those of ``config``.
     return [
         Finding(
             f"NOT up_failed AND up_sources < {config.min_sources}",
@@ -165,7 +172,7 @@ def counts_findings(config: Config = DEFAULT) -> list[Finding]:
             {
                 "agent": quoted(config.upstream),
                 "step": "up_step",
-                "description": f"concat('Researcher source count (', up_sources, ') below threshold ({config.min_sources}).')",
+                "description": f"concat({quoted(up + ' source count (')}, up_sources, ') below threshold ({config.min_sources}).')",
             },
         ),
         Finding(
@@ -176,7 +183,7 @@ def counts_findings(config: Config = DEFAULT) -> list[Finding]:
             {
                 "agent": quoted(config.downstream),
                 "step": "down_step",
-                "description": f"concat('Writer hallucinated entities (gain of ', {gain}, ').')",
+                "description": f"concat({quoted(down + ' hallucinated entities (gain of ')}, {gain}, ').')",
             },
         ),
         Finding(
@@ -189,7 +196,7 @@ def counts_findings(config: Config = DEFAULT) -> list[Finding]:
             {
                 "agent": quoted(config.checker),
                 "step": "check_step",
-                "description": "'Verifier passed through hallucinated entities unchallenged.'",
+                "description": quoted(f"{check} passed through hallucinated entities unchallenged."),
             },
         ),
     ]
@@ -315,8 +322,8 @@ def information_loss(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
             f"NOT {_FAILED} AND {_either('{d} < 0')} AS has_information_loss",
             f"NOT {_FAILED} AND {_either('{d} > 0')} AS has_information_gain",
             f"{_FAILED} AS rule_failed",
-            f"IF({_FAILED}, concat('Researcher extraction_failed=', initcap(string(up_failed)), "
-            "', Writer extraction_failed=', initcap(string(down_failed))), NULL) AS error_message",
+            f"IF({_FAILED}, concat({quoted(_spoken(config.upstream) + ' extraction_failed=')}, initcap(string(up_failed)), "
+            f"{quoted(', ' + _spoken(config.downstream) + ' extraction_failed=')}, initcap(string(down_failed))), NULL) AS error_message",
             f"'{schema.SCHEMA_VERSION}' AS schema_version",
         )
     )
@@ -333,12 +340,13 @@ def loss_findings(config: Config = DEFAULT) -> list[Finding]:
         "FAIL": (
             "workflow",
             "high",
-            "Information loss detected: sources or entities were dropped in the Researcher → Writer handoff. ",
+            "Information loss detected: sources or entities were dropped in the "
+            f"{_spoken(config.upstream)} → {_spoken(config.downstream)} handoff. ",
         ),
         "WARNING": (
             "reasoning",
             "medium",
-            "Information gain detected: Writer introduced sources or entities "
+            f"Information gain detected: {_spoken(config.downstream)} introduced sources or entities "
             "not present in research findings (hallucination risk). ",
         ),
     }

@@ -120,5 +120,5 @@ def loss_analysis(frames: TraceFrames) -> DataFrame:
     complete = F.coalesce("both", F.lit(False))
     verdicts = arbiter.resolve(judged.where(complete), evidence)
     return judged.select(
-        "run_id", F.when(~complete, F.lit("Missing researcher or writer step")).alias("error")
+        "run_id", F.when(~complete, F.lit(f"Missing {frames.config.upstream} or {frames.config.downstream} step")).alias("error")
     ).join(verdicts, "run_id", "left")
