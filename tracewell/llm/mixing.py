@@ -97,8 +97,9 @@ def mix(
         *kept, F.col(source).alias(src), F.col(key).alias(k), words.alias(size),
         F.monotonically_increasing_id().alias(row), F.lit(1).alias(one),
     )
-    placed = materialize(running_sums(slim, [src], [size, k, row], {place: one}, "mix-rows"), "mix-places")
-    targets = source_targets(placed.select(F.col(src), F.col(size).alias("size")), src, weights, most)
+    placed = running_sums(slim, [src], [size, k, row], {place: one}, "mix-rows")
+    # words are counted once more for the targets, which is cheaper than to store the rows twice
+    targets = source_targets(docs.select(F.col(source).alias(src), words.alias("size")), src, weights, most)
     targets = targets.withColumnsRenamed({"source_size": new[1], "target": new[2], src: f"{src}_t"})
     rate = F.when(F.col(new[1]) > 0, F.col(new[2]) / F.col(new[1]).cast("double")).otherwise(F.lit(0.0))
     start = F.lit(offset(seed))
