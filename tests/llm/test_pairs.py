@@ -107,6 +107,7 @@ def test_cover_trees_by_brute_force(spark, monkeypatch, cell):
                 key += 1
     odd = [None, [], [0.0] * 6, [float("nan")] * 6, [float("inf"), 1.0], [None, 1.0], [1e30] * 6, [1e-30] * 6, [1.0, 2.0]]
     rows += [(5000 + i, v, 0) for i, v in enumerate(odd)] + [(6000, [1.0] * 6, None)]
+    rows += [(7000 + i, [float(i + 1)] * 6, 3) for i in range(90)]  # one direction, many lengths
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_duplicates(df).collect()}
     assert found == plain_links(rows, cover_tree.COSINE)

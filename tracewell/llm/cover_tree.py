@@ -17,7 +17,7 @@ from tracewell.session import materialize
 
 COSINE = 0.93
 CELL = 2048  # vectors of a cell from which on it is split
-FANOUT = 32  # parts of a split, about
+FANOUT = 32  # parts of a split at most, about; small cells are split into few
 TOP_RADIUS = 1.0  # of the topmost level in a task; each further level halves it
 LAST_RADIUS = 1 / 64
 _SLACK = 1e-9
@@ -181,21 +181,24 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _split(nodes: DataFrame, big: DataFrame) -> DataFrame:
+def _split(nodes: DataFrame, big: DataFrame, level: int) -> DataFrame:
     """Deal the vectors of big cells to the nearest of some of their vectors, chosen by hash.
 
-    A cell is worked on in shares of about CELL vectors, each of which gets the centres.
+    Its first and last vector by id are always among them, and vectors as near to several
+    are dealt out evenly, so every split makes cells smaller.  A cell is worked on in shares of about CELL vectors, each of which gets the centres.
     """
-    members = nodes.join(big.select("cell", "n", "least"), "cell")
-    turn = F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.col("n") / FANOUT, F.lit(1)).cast("bigint"))
-    centres = members.where((turn == 0) | (F.col("node") == F.col("least"))).select(
+    members = nodes.join(big.select("cell", "n", "least", "most"), "cell")
+    # every vector goes along with each cell that its own is paired with, so no more parts than needed
+    parts = F.least(F.lit(FANOUT), 2 * F.ceil(F.col("n") / CELL))
+    turn = F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.col("n") / parts, F.lit(1)).cast("bigint"))
+    centres = members.where((turn == 0) | F.col("node").isin(F.col("least"), F.col("most"))).select(
         # new names, since both sides of the cogroup come from the same rows
         F.col("cell").alias("cell"), F.col("node").alias("c"), F.col("unit").alias("unit")
     )
     shares = big.select("cell", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CELL).cast("int"))).alias("share"))
     dealt = members.withColumn(
         "share", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL).cast("int") + 1).cast("int")
-    ).drop("n", "least")
+    ).drop("n", "least", "most")
 
     def nearest(vectors: pa.Table, pivots: pa.Table) -> pa.Table:
         if not len(vectors):
@@ -206,7 +209,9 @@ def _split(nodes: DataFrame, big: DataFrame) -> DataFrame:
         ids = pivots["c"].to_numpy()
         order = np.argsort(ids)
         dots = x @ c[order].T
-        best = dots.argmax(axis=1)
+        near = dots >= dots.max(axis=1, keepdims=True) - 1e-12
+        place = vectors["node"].to_numpy().view(np.uint64) % near.sum(axis=1).astype(np.uint64)
+        best = (near.cumsum(axis=1) > place.astype(np.int64)[:, None]).argmax(axis=1)
         far = np.sqrt(np.maximum(0.0, 2 - 2 * dots[np.arange(len(x)), best])) + _SLACK
         return pa.table({"node": vectors["node"], "parent": vectors["cell"], "pivot": ids[order][best], "distance": far})
 
@@ -225,11 +230,13 @@ def cells_of(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     from pairs of their parents, and stay unless their centres are further apart than
     the reach and both covering radii.
     """
-    size = lambda df: df.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    size = lambda df: df.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"))
     cells = materialize(size(nodes), "cover-sizes")
     pairs = cells.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    level = 0
     while (big := cells.where(F.col("n") > CELL)).take(1):
-        moved = materialize(_split(nodes, big), "cover-split")
+        level += 1
+        moved = materialize(_split(nodes, big, level), "cover-split")
         balls = moved.groupBy("parent", "cell", "pivot").agg(F.max("distance").alias("radius"))
         centre = nodes.select(F.col("node").alias("pivot"), "unit")
         balls = materialize(balls.join(centre, "pivot").select("parent", "cell", "radius", "unit"), "cover-balls")
