@@ -213,6 +213,7 @@ def test_semi_markov_field_learns_spans():
     texts = [f"+1 ({number(3)}) 555-{number(4)}" for _ in range(60)]
     texts += [f"{rng.choice(['al', 'bo'])}.{number(2)}@mail{number(1)}.example.com" for _ in range(60)]
     texts += [number(8) for _ in range(60)]
+    texts += [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(60)]
     weights = pii.train(texts)
     # one stretch in which the base patterns run two findings together
     text = "see +1 (123) 555-4567 10.20.30.40 x"
