@@ -150,6 +150,37 @@ def test_syncmers_are_context_free(spark):
     assert 0.3 < len(a) / 58 < 0.9
 
 
+def test_all_anchors_are_matched_by_place(spark):
+    rng = random.Random(8)
+    fill = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fill(300)
+    pairs = [
+        (" ".join(fill(9000) + passage), " ".join(passage + fill(9000))), (" ".join(fill(500) * 3), " ".join(fill(20))), ("", " "),
+        ("a b c " * 4000, "a b c " * 3000), ("a", "a"), (None, "a b c d"),
+    ]
+    pairs[1] = (pairs[1][0], " ".join(fill(5)) + " " + pairs[1][0][: len(pairs[1][0]) // 2])
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, t string")
+    found = syncmers.match(syncmers.add_anchors(df, {"a": "s", "b": "t"}, keep=["i"]), {"m": ("a", "b")})
+    rows = found.select("*", syncmers.likeness(F.col("a"), F.col("b"), F.col("m")).alias("near"), syncmers.passages(F.col("m")).alias("p"))
+    rows = {r.i: r for r in rows.collect()}
+
+    def places(side):
+        found = {}
+        for x in side:
+            found.setdefault(x.hash, []).append(x.place)
+        return found
+
+    for r in rows.values():
+        a, b = places(r.a), places(r.b)
+        expected = sorted(m for h in a.keys() & b.keys() for m in zip(sorted(a[h]), sorted(b[h]), strict=False))
+        assert [(m >> 32, m & 0x7FFFFFFF) for m in r.m] == expected
+        either = len(r.a) + len(r.b) - len(expected)
+        assert r.near == (len(expected) / either if either else 1.0)
+    # a passage of 300 words in two long texts: always found, as one passage at one distance
+    assert rows[0].near > 0.005 and rows[0].p == 1 and {(m >> 32) - (m & 0x7FFFFFFF) for m in rows[0].m} == {9000}
+    assert (rows[2].near, rows[2].p, rows[4].near, rows[5].near) == (1.0, 0, 1.0, 0.0) and rows[3].p == 1
+
+
 # ----------------------------------------------------------- licenses, pii
 
 

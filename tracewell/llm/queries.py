@@ -92,18 +92,22 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every document and of its edited text, and how alike they are."""
+    """Fingerprint of every document and of its edited text, and how alike they are by all anchors."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = syncmers.with_edited(docs)
-    both = syncmers.add_sketch(both, "edited", "edited_own")
-    return both.select(
-        "doc_id",
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        syncmers.printed(F.col("own")).alias("fingerprint"),
-        syncmers.printed(F.col("edited_own")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("own"), F.col("edited_own")).alias("near_edited"),
-        syncmers.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    both = syncmers.with_edited(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    kept = ["doc_id", "n_chars", "edited_sha256"]
+    found = syncmers.add_anchors(both, {"own": "text", "edited_own": "edited", "next_own": "next_text"}, keep=kept)
+    found = syncmers.match(found, {"as_edited": ("own", "edited_own"), "as_next": ("own", "next_own")})
+    return found.select(
+        *kept,
+        syncmers.printed(syncmers.sketch(F.col("own"))).alias("fingerprint"),
+        syncmers.printed(syncmers.sketch(F.col("edited_own"))).alias("edited_fingerprint"),
+        F.size("own").cast("bigint").alias("n_anchors"),
+        syncmers.likeness(F.col("own"), F.col("edited_own"), F.col("as_edited")).alias("near_edited"),
+        syncmers.likeness(F.col("own"), F.col("next_own"), F.col("as_next")).alias("near_next"),
+        syncmers.passages(F.col("as_edited")).alias("edited_passages"),
+        syncmers.passages(F.col("as_next")).alias("next_passages"),
     )
 
 

@@ -11,7 +11,7 @@ from tracewell.llm.common import fresh, refuse_clash, running_sums
 from tracewell.session import materialize
 
 WORDS = 3  # words of a k-mer; its inner substrings are single words
-ANCHORS = 64  # smallest anchors that make up a fingerprint
+ANCHORS = 64  # smallest anchors that make up a printed digest; nothing is compared by it
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -45,11 +45,66 @@ def sketch(found: Column, size: int = ANCHORS) -> Column:
     return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, size)
 
 
-def likeness(a: Column, b: Column, size: int = ANCHORS) -> Column:
-    """Estimated Jaccard similarity of the anchors behind two sketches; two empty ones are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, 1.0).otherwise(common.cast("double") / F.size(union))
+def match(pairs: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add the matches between the anchors of two columns under each name of ``sides``, by place.
+
+    All anchors count.  Of anchors with one hash, the first in one text is matched with
+    the first in the other, the second with the second, and so on, wherever they stand.
+    A match is one number: its place in the first text, shifted left by 32 bits, plus
+    that in the second; matches are in that order.  Time grows with n log n of the
+    anchors, also where one of them is repeated all the time.
+    """
+    kept = pairs.columns
+    refuse_clash(kept, list(sides))
+    numbers = [f"{i}" for i in range(len(sides))]
+    merged, parts = fresh(pairs, *(f"_merged{i}" for i in numbers)), fresh(pairs, *(f"_parts{i}" for i in numbers))
+
+    def packed(found: str, side: int) -> Column:  # hash, side and place in one number
+        return F.transform(found, lambda a: F.shiftleft(a["hash"].cast("bigint"), 32).bitwiseOR(
+            F.lit(side << 31).cast("bigint")).bitwiseOR(a["place"].cast("bigint")))
+
+    def begins(m: Column) -> Column:  # where the anchors of one hash and one text begin
+        new = lambda i: (i == 0) | (F.shiftright(F.get(m, i), 31) != F.shiftright(F.get(m, i - 1), 31))
+        return F.when(F.size(m) > 0, F.filter(F.sequence(F.lit(0), F.size(m) - 1), new)).otherwise(F.array().cast("array<int>"))
+
+    def matches(m: Column, p: Column) -> Column:
+        hashed = lambda j: F.shiftright(F.get(m, F.get(p, j)), 32)
+        place = lambda i: F.get(m, i).bitwiseAND(0x7FFFFFFF)
+
+        def both(j):
+            start, middle, end = F.get(p, j), F.get(p, j + 1), F.coalesce(F.get(p, j + 2), F.size(m))
+            last = F.least(middle - start, end - middle) - 1
+            return F.transform(
+                F.sequence(F.lit(0), last), lambda r: F.shiftleft(place(start + r), 32).bitwiseOR(place(middle + r))
+            )
+
+        met = F.filter(F.sequence(F.lit(0), F.size(p) - 2), lambda j: hashed(j) == hashed(j + 1))
+        return F.when(F.size(p) > 1, F.sort_array(F.flatten(F.transform(met, both)))).otherwise(F.array().cast("array<bigint>"))
+
+    both = pairs.select(*kept, *(
+        F.sort_array(F.concat(packed(a, 0), packed(b, 1))).alias(m) for m, (a, b) in zip(merged, sides.values(), strict=True)
+    ))
+    both = both.select(*kept, *merged, *(begins(F.col(m)).alias(p) for m, p in zip(merged, parts, strict=True)))
+    return both.select(*kept, *(
+        matches(F.col(m), F.col(p)).alias(name) for name, m, p in zip(sides, merged, parts, strict=True)
+    ))
+
+
+def likeness(a: Column, b: Column, matched: Column) -> Column:
+    """Matches between all anchors of two texts, as a share of both; two texts without anchors are alike."""
+    either = F.size(a) + F.size(b) - F.size(matched)
+    return F.when(either == 0, 1.0).otherwise(F.size(matched).cast("double") / either)
+
+
+def passages(matched: Column) -> Column:
+    """How many passages the matches form: matches in a row that stand equally far apart in both texts.
+
+    ``matched`` must be a column, not an expression.
+    """
+    shift = lambda v: v.bitwiseAND(0x7FFFFFFF) - F.shiftright(v, 32)
+    new = lambda i: (i == 0) | (shift(F.get(matched, i)) != shift(F.get(matched, i - 1)))
+    found = F.filter(F.sequence(F.lit(0), F.size(matched) - 1), new)
+    return F.when(F.size(matched) > 0, F.size(found)).otherwise(0).cast("bigint")
 
 
 def printed(found: Column) -> Column:
@@ -57,6 +112,18 @@ def printed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda h: F.lpad(F.hex(h.cast("bigint").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
 
 
+def add_anchors(docs: DataFrame, texts: dict[str, str], keep: Sequence[str] | None = None) -> DataFrame:
+    """Add all anchors, with their places, of the texts that each new column is named for.  No shuffle.
+
+    Null or empty text, or blanks only: no anchors.  Texts are read whole.
+    """
+    kept = list(docs.columns if keep is None else keep)
+    refuse_clash(kept, list(texts))
+    hashes = fresh(docs, *(f"_hashes_{name}" for name in texts))
+    split = docs.select(*kept, *(word_hashes(F.col(t).cast("string")).alias(h) for h, t in zip(hashes, texts.values(), strict=True)))
+    return split.select(*kept, *(anchors(F.col(h)).alias(name) for name, h in zip(texts, hashes, strict=True)))
+
+
 def add_sketch(docs: DataFrame, text: str, name: str, keep: Sequence[str] | None = None) -> DataFrame:
     """Add the sketch of every row's text.  No shuffle; texts are read whole.
 
@@ -72,39 +139,37 @@ def add_sketch(docs: DataFrame, text: str, name: str, keep: Sequence[str] | None
 
 
 def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = 3) -> DataFrame:
-    """(key, text, edited, own, next_own): each text, its edited text, its and the next document's sketch.
+    """(key, text, edited, next_text): each text, its edited text and the next document's text.
 
     The last 1/part of the code points give way to as many from the start of the next
     document in descending order of ``key``; the last one is followed by the first.
     Null keys stand last.  Of several rows with one key, the one whose text has the
     smallest hash serves as next document; all of them get results.
 
-    Only the needed starts of texts travel to their neighbours; the order is settled
-    on keys and lengths.
+    Whole texts travel to their neighbours, since all their anchors are compared; they
+    take less room than the anchors.  The order is settled on keys.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     nothing = F.lit(-(1 << 63))  # stands for a null key
     number = F.coalesce(F.col(key).cast("bigint"), nothing).alias("_k")
     # read twice below with the same columns, so that one exchange of the texts serves both
-    keyed = add_sketch(docs.select(number, whole.alias("text")), "text", "own").repartition("_k")
-    ids = docs.select(number, F.length(whole).alias("_n")).groupBy("_k").agg(F.max("_n").alias("_most")).select("_k", "_most", (-F.col("_k")).alias("_down"), F.lit(1).alias("_one"))
+    keyed = docs.select(number, whole.alias("text")).repartition("_k")
+    ids = docs.select(number).distinct().select("_k", (-F.col("_k")).alias("_down"), F.lit(1).alias("_one"))
     placed = materialize(running_sums(ids, [], ["_down"], {"_place": "_one"}, "edit-order"), "edit-places")
     last = placed.agg(F.max("_place").alias("_last"))
     before = placed.join(F.broadcast(last)).select(  # one row
-        F.col("_k").alias("_prev"), F.floor(F.col("_most") / part).cast("int").alias("_wanted"),
-        (F.col("_place") % F.col("_last") + 1).alias("_place"),
+        F.col("_k").alias("_prev"), (F.col("_place") % F.col("_last") + 1).alias("_place"),
     )
-    order = materialize(placed.join(before, "_place").select("_k", "_prev", "_wanted"), "edit-neighbours")
+    order = materialize(placed.join(before, "_place").select("_k", "_prev"), "edit-neighbours")
     first = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text")))
     heads = (
         keyed.withColumn("_row", first).where("_row = 1").join(order, "_k")
-        .select(F.col("_prev").alias("_k"), F.substring("text", F.lit(1), F.col("_wanted")).alias("_head"),
-                F.col("own").alias("next_own"))
+        .select(F.col("_prev").alias("_k"), F.col("text").alias("next_text"))
     )
     n = F.length("text")
     cut = F.floor(n / part).cast("int")
     return keyed.join(heads, "_k").select(
         F.when(F.col("_k") != nothing, F.col("_k")).alias(key), "text",
-        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("_head", F.lit(1), cut)).alias("edited"),
-        "own", "next_own",
+        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"),
+        "next_text",
     )
