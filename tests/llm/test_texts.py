@@ -257,6 +257,18 @@ def test_semi_markov_field_learns_spans():
 # ---------------------------------------------------------------- toxicity
 
 
+def test_copies_of_a_toxic_text_do_not_fill_the_sample(spark):
+    rng = random.Random(4)
+    fill = lambda: [f"w{''.join(rng.choice('abcdefgh') for _ in range(3))}" for _ in range(20)]
+    rows = [(" ".join([*fill(), "vile"] if i % 10 == 0 else [*fill(), "nasty"]), 1) for i in range(100)]
+    rows += [("hail quokka copied banner", 1)] * 900 + [(" ".join(fill()), 0) for _ in range(1500)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert {"vile", "nasty"} <= set(model.terms) and not {"quokka", "banner"} & set(model.terms)
+    texts = toxicity.training_rows(df, df.select("doc_id", "toxic"), "doc_id", "text", "toxic", 300)
+    assert texts.count() == texts.distinct().count() == 300
+
+
 def test_toxicity_finds_held_out_labels(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = [r for r in LLM_QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]

@@ -14,11 +14,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracewell.llm.common import fresh, map_texts, refuse_clash
 
-SAMPLE = 20_000  # labelled rows that a model is fitted on at most
+SAMPLE = 20_000  # distinct labelled texts that a model is fitted on at most
 VOTERS = 400  # terms that vote at most
-LEAST_TOXIC = 5  # toxic rows that must have a voter's term, and
-LEAST_SHARE = 0.02  # their share of all toxic rows: terms of a few copied texts don't vote
-LEAST_LIFT = 8.0  # how much more frequent the term is in toxic rows
+LEAST_TOXIC = 5  # distinct toxic texts that must have a voter's term
+LEAST_LIFT = 8.0  # how much more frequent the term is in toxic texts
 LABEL_RATES = (0.01, 0.98)  # how often clean and toxic rows are labelled toxic
 LEAST_CORRELATION = 0.3
 STEMS = range(3, 9)  # lengths of the word beginnings that are pattern voters
@@ -50,13 +49,24 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
-    """(text, y) of the labelled rows outside the held-out fold, at most ``most`` by hash of the key."""
+    """(text, y) of the distinct labelled texts outside the held-out fold, at most ``most`` by hash of the text.
+
+    Copies of a text count once for each label they have, so no group of copies fills the
+    sample.  Texts are told apart by 64-bit hashes; the row with the smallest key stands for its copies.
+    """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
         .groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("_k"), "_k").limit(most)
     )
-    return docs.join(F.broadcast(chosen), docs[key] == F.col("_k")).select(F.col(text).alias("text"), "y")  # `most` rows
+    texts = docs.select(F.col(key).alias("_k"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_h"))
+    own = (
+        texts.join(chosen, "_k").groupBy("_h", "y").agg(F.min("_k").alias("_k"))
+        .orderBy(F.xxhash64("_h"), "_h", "y").limit(most)
+    )
+    # a repeated key may have other texts as well
+    named = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    found = named.withColumn("_h", F.xxhash64("text")).join(F.broadcast(own), ["_k", "_h"])  # `most` rows
+    return found.dropDuplicates(["_h", "y"]).select("text", "y")
 
 
 def held_out(key: str):
@@ -172,9 +182,9 @@ def fit(
     sample: int = SAMPLE,
     voters: int = VOTERS,
 ) -> Model:
-    """Fit voters, label model and classifier on at most ``sample`` labelled rows.
+    """Fit voters, label model and classifier on at most ``sample`` distinct labelled texts.
 
-    Voters are words and word beginnings much more frequent in rows labelled toxic.
+    Voters are words and word beginnings much more frequent in texts labelled toxic.
     Their votes on the sample, packed as bits and counted by kind, come to the driver:
     at most ``sample`` rows of ``voters`` bits.  Rows of the held-out fold, and rows
     without label or key, are never used; of repeated labels the largest counts.
@@ -187,7 +197,7 @@ def fit(
         return Model((), (), -5.0 if not toxic else 5.0)
     lift = (F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("clean") + 0.5) / (clean + 1.0))
     chosen = (
-        term_counts(rows).where(F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic))
+        term_counts(rows).where(F.col("toxic") >= LEAST_TOXIC)
         .withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
         .orderBy((F.col("toxic") * F.log("lift")).desc(), "term").limit(voters)
     )
