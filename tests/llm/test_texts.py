@@ -254,6 +254,20 @@ def test_semi_markov_field_learns_spans():
     assert pii.model_spans("number 12345678 only", [], weights) == []
 
 
+def test_copied_stretches_count_once_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda texts: seen.extend(texts) or {})
+    mails = [f"a{i}@example{i}.com" for i in range(300)]
+    others = ["10.20.30.40", "4111 1111 1111 1111", "+1 (212) 555-0123", "12345678"]
+    copied = [t for t in mails[:40] for _ in range(50)]
+    df = spark.createDataFrame([(f"see {t} there",) for t in copied + mails + others], "text string")
+    pii.fit(df, windows=20)
+    assert len(seen) == len(set(seen)) == 20 and set(others) <= set(seen)
+    seen.clear()
+    pii.fit(df)
+    assert sorted(seen) == sorted(set(mails + others))
+
+
 # ---------------------------------------------------------------- toxicity
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -266,9 +266,11 @@ def model_spans(
 
 
 def fit(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> dict[str, float]:
-    """Fit the model on at most ``windows`` short stretches, chosen by hash from all texts.
+    """Fit the model on at most ``windows`` distinct short stretches, chosen by hash from all texts.
 
-    The base patterns are the labels.  Only those stretches come to the driver.
+    The base patterns are the labels.  Copies of a stretch count once, and the sample is
+    dealt in turn to the sets of kinds that the patterns find in stretches, none of them
+    included, so that every kind which occurs is learnt.  Only the sample comes to the driver.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +282,21 @@ def fit(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> dict[str
                 for m in STRETCH.finditer(t)
                 if len(m[0]) <= LONGEST_WINDOW and ("@" in m[0] or len(digits_of(m[0])) >= 7)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["stretch"])
+            found = list(dict.fromkeys(found))
+            kinds = [",".join(sorted({s[0] for s in base_spans(f)})) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(kinds, pa.string())], names=["stretch", "kinds"])
 
     stretches = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    chosen = stretches.mapInArrow(cut, "stretch string").orderBy(F.xxhash64("stretch"), "stretch").limit(windows)
-    return train([r.stretch for r in chosen.collect()])
+    distinct = stretches.mapInArrow(cut, "stretch string, kinds string").distinct()
+    own = F.struct(F.xxhash64("stretch").alias("h"), "stretch")
+    # a group of kinds is cut to the sample in each of 64 parts first, so that none is sorted in one task
+    inside = Window.partitionBy("kinds", "part").orderBy("own")
+    among = Window.partitionBy("kinds").orderBy("own")
+    dealt = distinct.select("kinds", own.alias("own"), F.pmod(F.xxhash64("stretch"), F.lit(64)).alias("part"))
+    dealt = dealt.withColumn("turn", F.row_number().over(inside)).where(F.col("turn") <= windows)
+    dealt = dealt.withColumn("turn", F.row_number().over(among)).where(F.col("turn") <= windows)
+    chosen = dealt.orderBy("turn", "own").limit(windows).collect()
+    return train([r.own.stretch for r in sorted(chosen, key=lambda r: r.own)])
 
 
 SPAN = StructType([
