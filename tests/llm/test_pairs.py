@@ -68,6 +68,25 @@ def test_join_by_brute_force(spark, monkeypatch, gram, share):
     assert kept == {c for _, c in found.values()}
 
 
+@pytest.mark.parametrize("gram,share", [(4, 85), (5, 80)])
+def test_number_of_links_by_brute_force(spark, monkeypatch, gram, share):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rows = family_rows(gram + 7, 250) + [(1000 + i, f"hot text number one two three four five six {i % 2}") for i in range(60)]
+    base = [f"v{i}" for i in range(120)]
+    rows += [(2000 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(0, 60, 2)]  # one family, all different
+    rows += [(3000, None), (3001, " \n")]
+    sets = {}
+    for k, t in rows:
+        w = (t or "").split()
+        sets[k] = {tuple(w[i : i + gram]) for i in range(max(1, len(w) - gram + 1))} if w else set()
+    near = lambda a, b: 100 * len(a & b) >= share * len(a | b) and bool(a & b)
+    expected = {k: sum(near(s, t) for j, t in sets.items() if j != k) for k, s in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: r.n_links for r in jaccard_join.links(df, gram=gram, share=share).collect()} == expected
+    assert max(expected[k] for k in range(2000, 2060, 2)) > 2
+    assert jaccard_join.links(df.where("false")).count() == 0
+
+
 def test_keep_one_with_repeated_rows_and_null_keys(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (6, "A b c d e"), (None, "a b c d e"), (7, "x"), (None, "y"), (8, None), (5, "z z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

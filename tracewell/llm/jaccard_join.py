@@ -225,7 +225,9 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def cross_pairs(postings: DataFrame, share: int) -> DataFrame:
-    """(a, b): sets of different components that share a list and may be linked.
+    """(a, b, sure): sets of different components that share a list and may be linked.
+
+    ``sure`` tells those that are linked by their distances to a common pivot alone.
 
     Lists are cut by size class, since linked sets lie in the same or neighbouring
     classes; other blocks of a list are skipped.  A class with many members is cut
@@ -249,14 +251,14 @@ def cross_pairs(postings: DataFrame, share: int) -> DataFrame:
     dealt = dealt.repartition(*group).sortWithinPartitions(*group, "n")
     columns = [*group, "block", "set", "n", "guest", "comp", "pivot", "distance", "histogram"]
 
-    def compare(rows: list[pa.RecordBatch]) -> tuple[list[int], list[int]]:
+    def compare(rows: list[pa.RecordBatch]) -> tuple[list[int], list[int], list[bool]]:
         t = pa.Table.from_batches(rows)
         get = lambda c: t[c].to_numpy()
         n, ids, comp, block, home = get("n"), get("set"), get("comp"), get("block"), ~get("guest").astype(bool)
         pivot, distance = get("pivot"), get("distance")
         marks = np.frombuffer(b"".join(t["histogram"].to_pylist()), dtype="<u4").reshape(len(n), -1)
         apart = t["low"][0].as_py() != t["high"][0].as_py()
-        a, b = [], []
+        a, b, sure = [], [], []
         for i in range(len(n) - 1):
             stop = np.searchsorted(n, n[i] * 100 // share, side="right")  # longer sets can't be linked
             j = np.arange(i + 1, stop)
@@ -272,7 +274,8 @@ def cross_pairs(postings: DataFrame, share: int) -> DataFrame:
             j = j[100 * most >= share * (n[i] + n[j] - most)]
             a += np.minimum(ids[i], ids[j]).tolist()
             b += np.maximum(ids[i], ids[j]).tolist()
-        return a, b
+            sure += ((pivot[j] == pivot[i]) & (distance[j] + distance[i] <= 1 - share / 100 - 1e-9)).tolist()
+        return a, b, sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,7 +289,8 @@ def cross_pairs(postings: DataFrame, share: int) -> DataFrame:
             told.update(found)
             pairs = list(found)
             return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()),
+                 pa.array([p[2] for p in pairs], pa.bool_())], names=["a", "b", "sure"]
             )
 
         for batch in batches:
@@ -307,7 +311,7 @@ def cross_pairs(postings: DataFrame, share: int) -> DataFrame:
         if held:
             yield out()
 
-    return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
 
 
 def join(
@@ -333,8 +337,36 @@ def join(
     return found.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
-def _joined(docs: DataFrame, key: str, text: str, gram: int, share: int) -> DataFrame:
-    """(key, text_hash, n_shingles, component_id, root); component and root (a set of it) of a text without shingles are null."""
+def links(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, share: int = SHARE
+) -> DataFrame:
+    """(key, n_links) of every row: the number of other rows that it links to.
+
+    Equal texts count as often as they occur.  Unlike ``join``, this needs every link
+    inside a component, not only enough to hold it together: of two sets with a common
+    original, the known distances to it accept or reject what they can, by the triangle
+    inequality; signatures reject more, and the rest is verified exactly.  Time and pairs
+    grow with the links between distinct sets, so with the square of a family that is
+    linked throughout.  Rows without shingles have no links.
+    """
+    rows, sets, _, told = _known(docs, key, text, gram, share)
+    alone = told.withColumn("comp", F.col("set")).withColumn("guest", F.lit(False))  # no component to skip
+    pairs = materialize(cross_pairs(alone, share), "jaccard-pairs")
+    exact = verified(pairs.where("not sure"), sets, share).where("linked").select("a", "b")
+    linked = materialize(pairs.where("sure").select("a", "b").unionByName(exact), "jaccard-all-links")
+    weights = rows.where("set is not null").groupBy("set").agg(F.count("*").alias("weight"))
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = both.join(weights, both["b"] == weights["set"]).groupBy("a").agg(F.sum("weight").alias("partners"))
+    counted = weights.join(partners, weights["set"] == partners["a"], "left").select(
+        F.col("set").alias("set_"), (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n")
+    )
+    return rows.join(counted, rows["set"] == counted["set_"], "left").select(
+        F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links")
+    )
+
+
+def _known(docs: DataFrame, key: str, text: str, gram: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, sets, the verified links with the lists' pivots, and postings with component, pivot and distance to it."""
     rows = materialize(text_sets(docs, key, text, gram), "jaccard-rows")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     sets = materialize(common_shingles(docs, text, gram, share, total // BUCKET + 1), "jaccard-sets")
@@ -360,6 +392,12 @@ def _joined(docs: DataFrame, key: str, text: str, gram: int, share: int) -> Data
                 F.coalesce("distance", F.lit(0.0)).alias("distance"))
     )
     told = materialize(postings.select("set", "n", "tok").join(known, "set"), "jaccard-postings")
+    return rows, sets, linked, told
+
+
+def _joined(docs: DataFrame, key: str, text: str, gram: int, share: int) -> DataFrame:
+    """(key, text_hash, n_shingles, component_id, root); component and root (a set of it) of a text without shingles are null."""
+    rows, sets, linked, told = _known(docs, key, text, gram, share)
     mixed = told.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok")
     left = cross_pairs(told.join(mixed, "tok").withColumn("guest", F.lit(False)), share)
     second = materialize(verified(left, sets, share).where("linked").select("a", "b"), "jaccard-links")
