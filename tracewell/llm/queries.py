@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, cover_tree, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, toxicity, url_filter
+from tracewell.llm import bpe, cover_tree, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, token_count, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -139,6 +139,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.add_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 LLM_QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -150,5 +156,6 @@ LLM_QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op13_token_counts": op13_token_counts,
 }
 LLM_ORACLES = ORACLES
