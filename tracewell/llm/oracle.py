@@ -160,4 +160,73 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(other, s.doc_id)::BIGI
 FROM sets s LEFT JOIN least l ON s.doc_id = l.doc_id
 """
 
-ORACLES = {"op7_jaccard_join": JACCARD, "op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}
+
+def _checksum(text: str) -> str:
+    """CRC-32 of an ASCII text."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    codes = f"list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor({table}[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _way(state: str, cost: str, edit: str, line: str | None = None, when: str = "true") -> str:
+    lines = f"{state}.r" if line is None else f"list_append({state}.r, {line})"
+    return f"CASE WHEN {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {lines}}} ELSE {{'c': 1000000000::BIGINT, 'a': '', 'r': []::VARCHAR[]}} END"
+
+
+def _stays(state: str, initial: str, role: str) -> str:
+    """A row keeps its role or takes another."""
+    kept = _way(state, "tr * 5", "K", "role || ':' || text", f"NOT must AND initial = '{initial}'")
+    return kept if not role else f"{kept}, {_way(state, '(1 + tr * 5)', 'R', chr(39) + role + ':' + chr(39) + ' || text', 'NOT must')}"
+
+
+_FIRST = "{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+_NONE = "{'c': 1000000000::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+_INSERTED = f"""
+    SELECT conv_id, pos, s0, s1, u, list_min([a0, {_way("u", "5", "I", "'assistant:'")}]) AS a FROM (
+      SELECT conv_id, pos, s0, s1, a0, list_min([u0, {", ".join(_way(q, "5", "I", "'user:'") for q in ("s0", "s1", "a0"))}]) AS u FROM"""
+_SPACES = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+CONVERSATIONS = f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_checksum("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault
+  FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, left(role, 1) AS initial,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    right(rtrim(text, {_SPACES}), 1) NOT IN ('.', '!', '?') AS open
+  FROM hurt
+), judged AS (
+  SELECT *, blank OR nth > 1 AS must, (NOT blank AND nth = 1 AND open)::BIGINT AS tr,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND nth > 1) AS duplicate, sum(tr)::BIGINT AS truncated,
+    count(*) FILTER (pos > 1 AND (earlier || initial) NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM judged GROUP BY conv_id
+), walk AS (
+  {_INSERTED} (SELECT conv_id, 0::BIGINT AS pos, {_FIRST} AS s0, {_NONE} AS s1, {_NONE} AS u0, {_NONE} AS a0 FROM counted))
+  UNION ALL
+  {_INSERTED} (
+    SELECT w.conv_id, j.pos, {_way("w.s0", "2", "D")} AS s0, list_min([{_way("w.s1", "2", "D")}, {_stays("w.s0", "s", "")}]) AS s1,
+      list_min([{_way("w.u", "2", "D")}, {", ".join(_stays(q, "u", "user") for q in ("w.s0", "w.s1", "w.a"))}]) AS u0,
+      list_min([{_way("w.a", "2", "D")}, {_stays("w.u", "a", "assistant")}]) AS a0
+    FROM walk w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.pos = w.pos + 1))
+), ended AS (
+  SELECT c.*, list_min([w.s0, w.a]) AS best FROM walk w JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN ended e ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLES = {"op12_conversation_repair": CONVERSATIONS, "op7_jaccard_join": JACCARD, "op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}

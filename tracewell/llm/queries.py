@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, cover_tree, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, token_count, toxicity, url_filter
+from tracewell.llm import bpe, conversation_repair, cover_tree, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, token_count, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -139,6 +139,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations, and the cheapest edits that mend their structure."""
+    given = conversation_repair.plain(table(spark, sf_dir, "conversations"))
+    mended = conversation_repair.repair(conversation_repair.damage(given))
+    told = conversation_repair.fingerprints(mended.edits)
+    found = given.select("conv_id").distinct()
+    for side in (mended.conversations, told):
+        side = side.withColumnRenamed("conv_id", "_conv")
+        found = found.join(side, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -156,6 +174,7 @@ LLM_QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
 LLM_ORACLES = ORACLES
