@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import cover_tree, jaccard_join, secret_scan
+from tracewell.llm import cover_tree, hard_negatives, jaccard_join, secret_scan
 from tracewell.llm.mixing import MOST_COPIES, SEED, WEIGHTS, offset
 from tracewell.llm.url_filter import DEFAULT_VERDICT, RULES
 
@@ -229,4 +229,25 @@ SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN ended e ON g.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
-ORACLES = {"op12_conversation_repair": CONVERSATIONS, "op7_jaccard_join": JACCARD, "op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}
+_H = hard_negatives
+NEGATIVES = f"""
+WITH taking AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({_H.SCALE} * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS s
+  FROM taking a JOIN taking b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= {_H.POSITIVES}
+), found AS (
+  SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS rank
+  FROM positives p JOIN scored n ON p.a = n.a AND NOT n.same AND {_H.LEAST} * p.s <= 100 * n.s AND 100 * n.s <= {_H.MOST} * p.s
+)
+SELECT a AS anchor_id, p AS positive_id, rank::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM found WHERE rank <= {_H.NEGATIVES}
+"""
+
+ORACLES = {"op11_hard_negatives": NEGATIVES, "op12_conversation_repair": CONVERSATIONS, "op7_jaccard_join": JACCARD, "op5_embedding_dedup": EMBEDDINGS, "op9_secrets": SECRETS, "op1_mixing": MIXING, "op2_url_filter": URLS}

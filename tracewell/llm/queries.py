@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, conversation_repair, cover_tree, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, token_count, toxicity, url_filter
+from tracewell.llm import bpe, conversation_repair, cover_tree, hard_negatives, jaccard_join, licenses, mixing, pii, secret_scan, syncmers, token_count, toxicity, url_filter
 from tracewell.llm.common import table
 from tracewell.llm.oracle import ORACLES
 
@@ -139,6 +139,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, after the labels of every seventh are moved on."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, label, F.col("vec_id") % 50 == 0)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of damaged conversations, and the cheapest edits that mend their structure."""
     given = conversation_repair.plain(table(spark, sf_dir, "conversations"))
@@ -174,6 +181,7 @@ LLM_QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
