@@ -125,12 +125,12 @@ def score_bounds(a: Bounds, b: Bounds) -> tuple[np.ndarray, np.ndarray]:
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products as whole numbers: floating-point products where all sums are exact, Python's integers beyond.
 
-    Those that no long can hold become the largest or the least negatable one.
+    Those beyond a long are held just below ``NONE`` and its negative, so that no score reaches it.
     """
     most = lambda x: max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0
     if most(a) * most(b) * max(1, a.shape[1]) < 1 << 53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return np.clip(a.astype(object) @ b.T.astype(object), -NONE, NONE).astype(np.int64)
+    return np.clip(a.astype(object) @ b.T.astype(object), 1 - NONE, NONE - 1).astype(np.int64)
 
 
 def first_of(value: np.ndarray, key: np.ndarray, most: int) -> np.ndarray:
