@@ -94,25 +94,31 @@ def map_texts(
     """
     refuse_clash(keep, new.names)
     slot = fresh(df, "_text")[0]
+    # a text that is kept travels once: its bytes become the column again
+    own = next((c for c in keep if c == text and not binary and dict(df.dtypes).get(c) == "string"), None)
     raw = F.col(text) if binary else F.col(text).cast("string").cast("binary")
-    chosen = df.select(raw.alias(slot), *keep)
+    chosen = df.select(raw.alias(slot), *(c for c in keep if c != own))
     kinds = to_arrow_schema(new)
+    names = [*keep, *kinds.names]
+    place = None if own is None else list(keep).index(own)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = start()
+        as_text = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
         try:
             for batch in batches:
                 for part in slices(batch, at_once):
                     columns = run(part.column(0).to_pylist())
                     made = [pa.array(values, type=kinds.field(i).type) for i, values in enumerate(columns)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[1:], *made], names=[*part.schema.names[1:], *kinds.names]
-                    )
+                    kept = part.columns[1:]
+                    if place is not None:
+                        kept.insert(place, pc.cast(part.column(0), options=as_text))
+                    yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
         finally:
             getattr(run, "close", lambda: None)()
 
-    kept = StructType([f for f in chosen.schema.fields if f.name != slot])
-    return chosen.mapInArrow(work, StructType(kept.fields + new.fields))
+    kept = [chosen.schema[c] if c != own else df.schema[c] for c in keep]
+    return chosen.mapInArrow(work, StructType(kept + new.fields))
 
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

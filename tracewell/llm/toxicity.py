@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracewell.llm.common import fresh, map_texts, refuse_clash
+from tracewell.session import materialize
 
 SAMPLE = 20_000  # distinct labelled texts that a model is fitted on at most
 VOTERS = 400  # terms that vote at most
@@ -22,7 +23,7 @@ LABEL_RATES = (0.01, 0.98)  # how often clean and toxic rows are labelled toxic
 LEAST_CORRELATION = 0.3
 STEMS = range(3, 9)  # lengths of the word beginnings that are pattern voters
 THRESHOLD = 0.3
-REMEMBERED = 100_000
+REMEMBERED = 2 << 20  # bytes of words that are known to vote or not
 _FLUSH = 100_000
 
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -106,17 +107,24 @@ class Voting:
 
     def __init__(self, terms: Sequence[str]):
         self.place = {t: i for i, t in enumerate(terms)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Free what was remembered: a Python worker outlives its task."""
         self.met: set[bytes] = set()
         self.hits: dict[bytes, frozenset[int]] = {}
+        self.size = 0
 
     def votes(self, text: bytes) -> set[int]:
         words = words_of(text)
-        if len(self.met) > REMEMBERED:
-            self.met.clear()
-        for word in words - self.met:
+        if self.size > REMEMBERED:
+            self.forget()
+        fresh_words = words - self.met
+        for word in fresh_words:
             if found := frozenset(self.place[t] for t in terms_of(word) if t in self.place):
                 self.hits[word] = found
-        self.met |= words
+        self.met |= fresh_words
+        self.size += sum(map(len, fresh_words))
         return set().union(*(self.hits[w] for w in self.hits.keys() & words))
 
 
@@ -190,7 +198,8 @@ def fit(
     without label or key, are never used; of repeated labels the largest counts.
     Without toxic or without clean rows the model gives every text the same score.
     """
-    rows = training_rows(docs, labels, key, text, label, sample)
+    # read three times; at most `sample` rows
+    rows = materialize(training_rows(docs, labels, key, text, label, sample), "toxicity-sample")
     size = {r.y: r.n for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
@@ -240,6 +249,7 @@ def score(
             logits = [model.bias + float(sum(weights[i] for i in sorted(voting.votes(t or b"")))) for t in texts]
             return [[float(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for x in logits]]
 
+        run.close = voting.forget
         return run
 
     return map_texts(docs, text, kept, StructType([StructField(name, DoubleType())]), start)
