@@ -58,7 +58,7 @@ def compare(spark_df, con, sql: str) -> list[str]:
 
 def main(sf_dir: str, names: list[str]) -> int:
     from tracewell.plans.catalog import QUERIES
-    from tracewell.plans.oracle_sql import ORACLES
+    from tracewell.plans.oracles import ORACLES
     from tracewell.session import build_session
 
     spark, con, bad = build_session(), connect(sf_dir), 0

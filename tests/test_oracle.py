@@ -4,7 +4,7 @@ import pytest
 
 from tests.oracle_check import compare, connect
 from tracewell.plans.catalog import QUERIES
-from tracewell.plans.oracle_sql import ORACLES
+from tracewell.plans.oracles import ORACLES
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.config import DEFAULT, Config, STEP_CHUNK
+from tracewell.operators import rules
 from tracewell.operators.ranking import attach_to_steps
 
 
@@ -218,3 +219,15 @@ def step_share(steps: DataFrame, chunk: int = STEP_CHUNK, unranked: DataFrame |
         F.least(F.lit(100.0), F.col("latency_ms") / F.col("max_latency_ms") * 100)
     )
     return attach_to_steps(steps, per_run, chunk=chunk).withColumn("latency_pct", share)
+
+
+def anomaly_evidence(measured: DataFrame) -> DataFrame:
+    """Anomalous steps as evidence; of its own it decides no verdict, and it is in no default analysis."""
+    finding = rules.Finding(
+        "is_anomalous", "metrics_analyzer", "metric_anomaly_v1", "execution",
+        {
+            "agent": "agent", "step": "step", "severity": "'medium'", "value": "'WARNING'",
+            "description": "concat('Anomalous step: ', array_join(anomaly_reasons, '; '))",
+        },
+    )
+    return rules.emit(measured, [finding])
