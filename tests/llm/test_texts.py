@@ -27,7 +27,7 @@ OPERATORS = {
     "mix": lambda d: mixing.mix(d),
     "licenses": lambda d: licenses.scan(d),
     "bpe": lambda d: bpe.encode(d, PATH),
-    "sketch": lambda d: syncmers.add_sketch(d, "text", "sketch"),
+    "anchors": lambda d: syncmers.add_anchors(d, {"anchors": "text"}),
     "secrets": lambda d: secret_scan.scan(d),
     "pii": lambda d: pii.scan(d, WEIGHTS),
     "toxicity": lambda d: toxicity.score(d, toxicity.Model(("bad",), (3.0,), -2.0)),

@@ -11,7 +11,7 @@ from tracewell.llm.common import fresh, refuse_clash, running_sums
 from tracewell.session import materialize
 
 WORDS = 3  # words of a k-mer; its inner substrings are single words
-ANCHORS = 64  # smallest anchors that make up a printed digest; nothing is compared by it
+SALTS = 64  # ways that rows without a key are dealt
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -40,11 +40,6 @@ def anchors(hashes: Column, k: int = WORDS) -> Column:
     )
 
 
-def sketch(found: Column, size: int = ANCHORS) -> Column:
-    """The ``size`` smallest distinct anchor hashes."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, size)
-
-
 def match(pairs: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
     """Add the matches between the anchors of two columns under each name of ``sides``, by place.
 
@@ -53,6 +48,9 @@ def match(pairs: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
     A match is one number: its place in the first text, shifted left by 32 bits, plus
     that in the second; matches are in that order.  Time grows with n log n of the
     anchors, also where one of them is repeated all the time.
+
+    No anchors on a side: no matches.  An empty table stays empty; columns named like
+    the new ones: ValueError.
     """
     kept = pairs.columns
     refuse_clash(kept, list(sides))
@@ -108,14 +106,28 @@ def passages(matched: Column) -> Column:
 
 
 def printed(found: Column) -> Column:
-    """A sketch as a string, 8 hexadecimal digits an anchor."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.hex(h.cast("bigint").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
+    """All anchors, in the order of the text, as a string: hash and place of each as one hexadecimal number."""
+    number = lambda a: F.shiftleft(a["hash"].cast("bigint"), 32).bitwiseOR(a["place"].cast("bigint"))
+    return F.array_join(F.transform(found, lambda a: F.hex(number(a))), ".")
+
+
+def parsed(fingerprint: Column) -> Column:
+    """The anchors that a string of ``printed`` stands for."""
+    half = lambda digits: F.conv(digits, 16, 10).cast("bigint")
+    whole = lambda n: F.lpad(n, 16, "0")
+    signed = lambda n: F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n).cast("int")
+    anchor = lambda n: F.struct(
+        signed(half(F.substring(whole(n), 1, 8))).alias("hash"), half(F.substring(whole(n), 9, 8)).cast("int").alias("place")
+    )
+    return F.transform(F.array_remove(F.split(fingerprint, "\\."), ""), anchor)
 
 
 def add_anchors(docs: DataFrame, texts: dict[str, str], keep: Sequence[str] | None = None) -> DataFrame:
     """Add all anchors, with their places, of the texts that each new column is named for.  No shuffle.
 
-    Null or empty text, or blanks only: no anchors.  Texts are read whole.
+    * null or empty text, or blanks only: no anchors.  Texts are read whole.
+    * equal texts have equal anchors; repeated rows keep their own rows.
+    * an empty table stays empty; a column with such a name: ValueError.
     """
     kept = list(docs.columns if keep is None else keep)
     refuse_clash(kept, list(texts))
@@ -124,52 +136,49 @@ def add_anchors(docs: DataFrame, texts: dict[str, str], keep: Sequence[str] | No
     return split.select(*kept, *(anchors(F.col(h)).alias(name) for name, h in zip(texts, hashes, strict=True)))
 
 
-def add_sketch(docs: DataFrame, text: str, name: str, keep: Sequence[str] | None = None) -> DataFrame:
-    """Add the sketch of every row's text.  No shuffle; texts are read whole.
-
-    * null or empty text, or blanks only: an empty sketch.
-    * equal texts have equal sketches; repeated rows keep their own rows.
-    * an empty table stays empty; a column with that name: ValueError.
-    """
-    kept = list(docs.columns if keep is None else keep)
-    refuse_clash(kept, [name])
-    hashes, found = fresh(docs, "_hashes", "_anchors")
-    split = docs.select(*kept, word_hashes(F.col(text).cast("string")).alias(hashes))
-    return split.select(*kept, sketch(anchors(F.col(hashes))).alias(name))
-
-
 def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = 3) -> DataFrame:
     """(key, text, edited, next_text): each text, its edited text and the next document's text.
 
     The last 1/part of the code points give way to as many from the start of the next
     document in descending order of ``key``; the last one is followed by the first.
-    Null keys stand last.  Of several rows with one key, the one whose text has the
-    smallest hash serves as next document; all of them get results.
+
+    * keys of any type that can be ordered.  Rows without a key stand last, as one
+      document; of several rows with one key, the one whose text has the smallest hash
+      serves as next document, and all of them get results.
+    * null texts are empty; texts of any length are read whole; an empty table stays empty.
+    * other columns don't come along, so names can't clash.
 
     Whole texts travel to their neighbours, since all their anchors are compared; they
-    take less room than the anchors.  The order is settled on keys.
+    take less room than the anchors.  The order is settled on keys.  Rows without a
+    key are dealt by their texts, so that they don't meet in one task.
     """
+    none = F.col(key).isNull()
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    nothing = F.lit(-(1 << 63))  # stands for a null key
-    number = F.coalesce(F.col(key).cast("bigint"), nothing).alias("_k")
+    named = F.when(none, F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
+    salt = F.when(none, F.pmod(F.xxhash64(whole), F.lit(SALTS)).cast("string")).otherwise(F.lit(""))
     # read twice below with the same columns, so that one exchange of the texts serves both
-    keyed = docs.select(number, whole.alias("text")).repartition("_k")
-    ids = docs.select(number).distinct().select("_k", (-F.col("_k")).alias("_down"), F.lit(1).alias("_one"))
-    placed = materialize(running_sums(ids, [], ["_down"], {"_place": "_one"}, "edit-order"), "edit-places")
+    keyed = docs.select(F.concat(named, salt).alias("_k"), F.col(key).alias("_key"), whole.alias("text")).repartition("_k")
+    ids = docs.select(named.alias("_k"), F.col(key).alias("_key"), F.lit(1).alias("_one")).distinct()
+    placed = running_sums(ids, [], [F.desc_nulls_last("_key")], {"_place": "_one"}, "edit-order")
+    placed = materialize(placed.select("_k", "_place"), "edit-places")
     last = placed.agg(F.max("_place").alias("_last"))
     before = placed.join(F.broadcast(last)).select(  # one row
         F.col("_k").alias("_prev"), (F.col("_place") % F.col("_last") + 1).alias("_place"),
     )
     order = materialize(placed.join(before, "_place").select("_k", "_prev"), "edit-neighbours")
-    first = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text")))
-    heads = (
-        keyed.withColumn("_row", first).where("_row = 1").join(order, "_k")
-        .select(F.col("_prev").alias("_k"), F.col("text").alias("next_text"))
+    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(F.xxhash64("text"), "text"))
+    heads = keyed.withColumn("_row", first("_k")).where("_row = 1").select("_k", "_key", "text")
+    # one head of each salt is left of the rows without a key
+    unnamed = heads.where("_key IS NULL").withColumn("_row", first("_key")).where("_row = 1").select(F.lit("n").alias("_k"), "text")
+    heads = heads.where("_key IS NOT NULL").select("_k", "text").unionByName(unnamed)
+    salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit("n"), i.cast("string")))
+    heads = heads.join(order, "_k").select(
+        F.explode(F.when(F.col("_prev") == "n", salts).otherwise(F.array("_prev"))).alias("_k"), F.col("text").alias("next_text")
     )
     n = F.length("text")
     cut = F.floor(n / part).cast("int")
     return keyed.join(heads, "_k").select(
-        F.when(F.col("_k") != nothing, F.col("_k")).alias(key), "text",
+        F.col("_key").alias(key), "text",
         F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"),
         "next_text",
     )
