@@ -17,8 +17,9 @@ from tracewell.llm.common import map_texts
 
 # fixed value: how byte-level vocabularies split a text before merging
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Words used last whose codes a Python worker remembers: so many, or twice as many.
-REMEMBERED = 150_000
+# Bytes, about, of the words used last whose codes a Python worker remembers: so many, or twice as many.
+REMEMBERED = 24 << 20
+ENTRY = 150  # bytes that an entry takes besides its word and codes
 CHUNKS = re.compile(r" (?=\S)")
 BLANKS = re.compile(r" \s")
 FEW = 12  # places that are merged one by one
@@ -34,14 +35,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class Recent(dict):
-    """A dictionary that forgets what was not asked for while ``size`` others were."""
+    """A dictionary that forgets what was not asked for while others of ``size`` bytes were."""
 
     def __init__(self, size: int):
         super().__init__()
         self.size, self.old = size, {}
 
     def age(self) -> None:
-        if len(self) > self.size:
+        if ENTRY * len(self) + sum(map(len, self)) + sum(map(len, self.values())) > self.size:
             self.old = dict(self)
             self.clear()
 
@@ -280,7 +281,7 @@ def encode(
     new = StructType([StructField(ids, BinaryType()), StructField("n_tokens", LongType())])
     if decoded is not None:
         new = new.add(decoded, StringType())
-    return map_texts(docs, text, list(docs.columns if keep is None else keep), new, start, at_once=4 << 20)
+    return map_texts(docs, text, list(docs.columns if keep is None else keep), new, start, at_once=2 << 20)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:

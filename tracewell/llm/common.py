@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -75,6 +76,20 @@ def refuse_clash(df_columns: Sequence[str], new: Sequence[str]) -> None:
         raise ValueError(f"columns {sorted(clash)} exist already")
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same work on batches, with freed memory handed back when a task ends: its Python worker lives on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -118,7 +133,7 @@ def map_texts(
             getattr(run, "close", lambda: None)()
 
     kept = [chosen.schema[c] if c != own else df.schema[c] for c in keep]
-    return chosen.mapInArrow(work, StructType(kept + new.fields))
+    return chosen.mapInArrow(trimmed(work), StructType(kept + new.fields))
 
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

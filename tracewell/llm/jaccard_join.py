@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, fresh, slices
+from tracewell.llm.common import components, fresh, slices, trimmed
 from tracewell.session import materialize
 
 GRAM, SHARE = 4, 85  # words of a shingle; percent of the union that must be shared
@@ -76,7 +76,7 @@ def text_sets(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
         F.col(text).cast("string").cast("binary").alias("text"), F.col(key).alias("key"), text_hash(text)
     )
     kind = dict(source.dtypes)["key"]
-    return source.mapInArrow(run, f"key {kind}, text_hash bigint, set bigint, n_shingles bigint")
+    return source.mapInArrow(trimmed(run), f"key {kind}, text_hash bigint, set bigint, n_shingles bigint")
 
 
 def text_hash(text: str) -> Column:
@@ -204,7 +204,7 @@ def common_shingles(docs: DataFrame, text: str, gram: int, share: int, buckets:
         return pa.Table.from_pylist(rows, schema=sets_schema)
 
     source = docs.select(F.col(text).cast("string").cast("binary").alias("text"))
-    counted = source.mapInArrow(send, PACKED_SQL).groupBy("bucket").applyInArrow(count, PACKED_SQL)
+    counted = source.mapInArrow(trimmed(send), PACKED_SQL).groupBy("bucket").applyInArrow(count, PACKED_SQL)
     return counted.groupBy("bucket").applyInArrow(
         gather, "set bigint, n bigint, unique bigint, toks array<bigint>, histogram binary"
     )
@@ -311,7 +311,7 @@ def cross_pairs(postings: DataFrame, share: int) -> DataFrame:
         if held:
             yield out()
 
-    return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+    return dealt.select(*columns).mapInArrow(trimmed(run), "a bigint, b bigint, sure boolean").distinct()
 
 
 def join(

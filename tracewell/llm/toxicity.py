@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracewell.llm.common import fresh, map_texts, refuse_clash
+from tracewell.llm.common import fresh, map_texts, refuse_clash, trimmed
 from tracewell.session import materialize
 
 SAMPLE = 20_000  # distinct labelled texts that a model is fitted on at most
@@ -98,7 +98,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counted = rows.select("text", "y").mapInArrow(count, "term string, toxic bigint, clean bigint")
+    counted = rows.select("text", "y").mapInArrow(trimmed(count), "term string, toxic bigint, clean bigint")
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -222,7 +222,7 @@ def fit(
                 bits.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column(1)], names=["bits", "y"])
 
-    kinds = rows.select("text", "y").mapInArrow(cast, "bits binary, y int").groupBy("bits", "y").count().collect()
+    kinds = rows.select("text", "y").mapInArrow(trimmed(cast), "bits binary, y int").groupBy("bits", "y").count().collect()
     votes = np.array([np.unpackbits(np.frombuffer(k.bits, np.uint8))[: len(terms)] for k in kinds]).reshape(-1, len(terms))
     counts = np.array([k["count"] for k in kinds], dtype=float)
     posterior = label_model(votes, np.array([k.y > 0 for k in kinds]), counts)
