@@ -27,6 +27,7 @@ from tracewell.operators import (
 )
 from tracewell.plans import analysis
 from tracewell.plans.checks import CHECKS
+from tracewell.plans.stored import STORED
 from tracewell.session import materialize, work_dir
 from tracewell.sources import activity, store, traces
 from tracewell.streaming import capture
@@ -787,4 +788,4 @@ QUERIES = {
         quarantine, table_counts, upsert_latest, upsert_runs, metrics_store, analysis_rows, stream_runs,
         stream_tokens, stream_flags, stream_upsert, step_events,
     )
-} | CHECKS
+} | CHECKS | STORED

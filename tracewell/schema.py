@@ -124,6 +124,12 @@ ANALYSIS_COLUMNS = (
     ("schema_version", "string"),
 )
 
+DOCUMENT_COLUMNS = (
+    ("run_id", "string"),
+    ("first_pos", "bigint"),
+    ("trace_json", "string"),
+)
+
 
 def ddl(columns) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in columns)

@@ -30,10 +30,11 @@ def _scan(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
     return spark.read.schema(f"{schema.TRACE}, {CORRUPT} STRING").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", one_per_file).json(path)
 
 
-def scan_labels(spark: SparkSession, path: str) -> DataFrame:
+def scan_labels(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Labelled runs of the label files under ``path``; with ``one_per_file`` false, one object per line."""
     return (
         spark.read.schema(schema.LABELS)
-        .option("multiLine", True)
+        .option("multiLine", one_per_file)
         .json(path)
         .select(F.inline("runs"))
     )
