@@ -35,9 +35,9 @@ TABLES = {
     "steps": (schema.STEP_COLUMNS, ("run_id", "step")),
     "metrics": (schema.METRIC_COLUMNS, ("run_id", "step", "metric_name")),
     "analysis": (schema.ANALYSIS_COLUMNS, None),
-    # later parts of the documents of very long runs
-    "documents": (schema.DOCUMENT_COLUMNS, ("run_id", "first_pos")),
 }
+# besides these, later parts of the documents of very long runs
+LAYOUTS = {**TABLES, "documents": (schema.DOCUMENT_COLUMNS, ("run_id", "first_pos"))}
 
 DIRECT = "direct"
 INGEST = "ingest_seq BIGINT, source STRING, batch BIGINT"
@@ -70,7 +70,7 @@ def state(spark: SparkSession, root: str, table: str) -> State:
     except AnalysisException:  # no version is stored
         found = None
     if found is None:
-        return State(0, None, -1, BUCKETS, schema.ddl(TABLES[table][0]))
+        return State(0, None, -1, BUCKETS, schema.ddl(LAYOUTS[table][0]))
     return State(**found.asDict())
 
 
@@ -175,7 +175,10 @@ def bucket(run_id: Column, buckets: int) -> Column:
 def _stored(spark: SparkSession, root: str, table: str, now: State, upto: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the ingests after the base, up to one of them, and rows of the base."""
     columns = f"{now.layout}, {INGEST}"
-    recent = spark.read.schema(columns).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+    if _found(spark, f"{root}/{table}"):
+        recent = spark.read.schema(columns).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+    else:  # nothing is stored yet
+        recent = spark.createDataFrame([], columns)
     recent = recent.where(F.col("ingest_seq") > now.upto)
     if upto is not None:
         recent = recent.where(F.col("ingest_seq") <= upto)
@@ -205,7 +208,7 @@ def read_table(spark: SparkSession, root: str, table: str, run_id: str | None =
         recent = recent.where(F.col("run_id") == run_id)
         if base is not None:
             base = base.where((F.col("bucket") == bucket(F.lit(run_id), now.buckets)) & (F.col("run_id") == run_id))
-    return _current(recent, base, TABLES[table][1]).select(*(c for c, _ in now.columns))
+    return _current(recent, base, LAYOUTS[table][1]).select(*(c for c, _ in now.columns))
 
 
 def compact(spark: SparkSession, root: str, table: str, keep: int = 1) -> State:
@@ -220,7 +223,7 @@ def compact(spark: SparkSession, root: str, table: str, keep: int = 1) -> State:
     upto = max(_numbers(_found(spark, f"{root}/{table}/ingest_seq=*")), default=-1) - keep
     if upto <= now.upto:
         return now
-    key = TABLES[table][1]
+    key = LAYOUTS[table][1]
     rows = _current(*_stored(spark, root, table, now, upto), key)
     placed = rows.withColumn("bucket", bucket(F.col("run_id"), now.buckets)).hint("rebalance", "bucket")
     path = f"base/{table}/{uuid.uuid4().hex}"
@@ -267,11 +270,8 @@ def metrics_of(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 def documents_of(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """Trace documents of stored runs, parsed again; runs stored without a readable one give no row."""
-    rows = read_table(spark, root, "runs", run_id).select("run_id", "trace_json")
-    try:
-        rows = rows.unionByName(read_table(spark, root, "documents", run_id).select("run_id", "trace_json"))
-    except AnalysisException:  # no later parts are stored
-        pass
+    parts = (read_table(spark, root, t, run_id).select("run_id", "trace_json") for t in ("runs", "documents"))
+    rows = reduce(DataFrame.unionByName, parts)
     return parse_traces(rows.where("trace_json IS NOT NULL"))
 
 
@@ -307,6 +307,6 @@ def count_like(runs: DataFrame, pattern: str) -> DataFrame:
 
 def copy_current(spark: SparkSession, root: str, new_root: str) -> None:
     """Write the current rows of every stored table to a new place as one ingest."""
-    for table in TABLES:
+    for table in LAYOUTS:
         if _found(spark, f"{root}/{table}"):
             write_batch(read_table(spark, root, table), new_root, table, 0)
