@@ -18,7 +18,7 @@ from tracewell.llm.common import map_texts
 # fixed value: how byte-level vocabularies split a text before merging
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Bytes, about, of the words used last whose codes a Python worker remembers: so many, or twice as many.
-REMEMBERED = 24 << 20
+REMEMBERED = 8 << 20
 ENTRY = 150  # bytes that an entry takes besides its word and codes
 CHUNKS = re.compile(r" (?=\S)")
 BLANKS = re.compile(r" \s")
@@ -281,7 +281,7 @@ def encode(
     new = StructType([StructField(ids, BinaryType()), StructField("n_tokens", LongType())])
     if decoded is not None:
         new = new.add(decoded, StringType())
-    return map_texts(docs, text, list(docs.columns if keep is None else keep), new, start, at_once=2 << 20)
+    return map_texts(docs, text, list(docs.columns if keep is None else keep), new, start, at_once=1 << 20)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:

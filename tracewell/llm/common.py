@@ -16,6 +16,7 @@ from tracewell.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,9 +106,13 @@ def map_texts(
     batch (None for null) to one list of values per new column; if that has an attribute
     ``close``, it is called when the task ends.  ``keep`` are the
     columns that come along; ``binary`` tells that the column holds bytes already.
-    At most ``at_once`` bytes of text, or one longer text, are worked on together.
+    At most ``at_once`` bytes of text, or one longer text, are worked on together.  A
+    session that has not set the bytes of an Arrow batch itself gets 8 MB ones.
     """
     refuse_clash(keep, new.names)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) in ("67108864", "67108864b"):  # Spark's own value
+        conf.set(BATCH, "8m")
     slot = fresh(df, "_text")[0]
     # a text that is kept travels once: its bytes become the column again
     own = next((c for c in keep if c == text and not binary and dict(df.dtypes).get(c) == "string"), None)
@@ -129,6 +134,8 @@ def map_texts(
                     if place is not None:
                         kept.insert(place, pc.cast(part.column(0), options=as_text))
                     yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
+                    del part, kept, made, columns
+                del batch  # before the next one is read
         finally:
             getattr(run, "close", lambda: None)()
 
