@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell import schema
 from tracewell.functions import values
 from tracewell.operators import checks, diff, metrics
 from tracewell.operators.arbiter import resolve
+from tracewell.plans import analysis, isolation
 from tracewell.sources import activity
 
 CONTRACTS = {"user": ("extra", "mark"), "assistant": ("has_comma", "n_lines")}
@@ -111,10 +113,56 @@ def anomaly_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(runs.select("run_id"), found).select("run_id", "primary_cause", "priority_level", "primary_agent", "evidence_count")
 
 
+def _given(frames: analysis.TraceFrames, confidence: Column, applies: Column) -> DataFrame:
+    """One finding per event that applies, by an analyzer of our own."""
+    given = {
+        "source": F.lit("own"), "rule_id": F.lit("own_v1"), "category": F.lit("execution"), "severity": F.lit("low"), "agent": F.col("agent"),
+        "value": F.lit("FAIL"), "confidence": confidence, "analyzer_ord": F.lit(9), "emit_seq": F.col("pos"), "emit_idx": F.lit(0),
+    }
+    columns = (given.get(c, F.lit(None)).cast(t).alias(c) for c, t in schema.EVIDENCE_COLUMNS if c != "run_id")
+    return frames.steps.where(applies).select("run_id", *columns)
+
+
+def _raises(_: analysis.TraceFrames) -> DataFrame:
+    raise LookupError("no such agent")
+
+
+def _own_analyzers() -> dict[str, analysis.Analyzer]:
+    k = F.col("k")
+    return {
+        **analysis.DEFAULT_ANALYZERS,
+        "raises": _raises,
+        "breaks": lambda f: _given(f, F.when(k == 7, F.raise_error(F.lit("broken row")).cast("double")).otherwise(F.lit(0.5)), k < 9),
+        "careless": lambda f: _given(f, F.when(k % 10 == 3, F.lit(1.5)).otherwise(F.lit(0.5)), k.isin(3, 4)),
+        "picky": isolation.OwnAnalyzer(
+            lambda f: _given(f, F.lit(0.25), k == 5), lambda _: "CASE WHEN coalesce(n_steps, 0) < 5 THEN 'Too few steps' END"
+        ),
+    }
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> analysis.TraceFrames:
+    """Event runs, some with counts that could not be read, and nations as runs without steps."""
+    steps = activity.ordered_event_steps(spark, sf_dir).withColumn("extraction_failed", F.col("k") % 97 == 5)
+    idle = activity.read(spark, sf_dir, "nation").select(F.concat(F.lit("idle_"), F.col("n_nationkey").cast("string")).alias("run_id"))
+    runs = activity.event_steps(spark, sf_dir).select("run_id").distinct().unionByName(idle)
+    return analysis.TraceFrames(runs, steps, steps, positions=False)
+
+
+def analysis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every analyzer for every run; one raises, one breaks at a row, one is careless, one skips."""
+    return isolation.guard(_guarded(spark, sf_dir), _own_analyzers()).status
+
+
+def guarded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that an analysis with broken analyzers still has, by rule."""
+    found = isolation.guard(_guarded(spark, sf_dir), _own_analyzers()).evidence
+    return found.where("source = 'own' OR rule_id IN ('skipped_step_v1', 'tool_failure_v1')").groupBy("rule_id").agg(F.count("*").alias("findings"))
+
+
 CHECKS = {
     f.__name__: f
     for f in (
         step_checks, step_chains, approval_streaks, circular_checks, handoff_contracts, embedding_diff, embedding_divergence,
-        anomaly_verdicts,
+        anomaly_verdicts, analysis_status, guarded_evidence,
     )
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracewell.operators.checks import LEAST_CHECK, WINDOW
-from tracewell.plans.oracle_sql import BASE, EV
+from tracewell.plans.oracle_sql import BASE, EV, RULES
 
 TURNS = """
 turns AS (
@@ -102,4 +102,21 @@ CHECK_ORACLES = {
           OR (n_runs >= 5 AND tsd > 0 AND tok > tm + 2.5 * tsd) GROUP BY run_id)
       SELECT r.run_id, 'unknown' AS primary_cause, 'P5' AS priority_level, NULL::VARCHAR AS primary_agent, coalesce(h.n, 0)::BIGINT AS evidence_count
       FROM ru r LEFT JOIN hits h ON h.run_id = r.run_id""",
+    "analysis_status": f"WITH {RULES}" + """, known AS (
+        SELECT r.run_id, r.n, p.l0, p.l1, (p.rk % 97 = 5) AS up_failed, (p.wk % 97 = 5) AS down_failed FROM ru r JOIN roles p ON p.run_id = r.run_id
+        UNION ALL SELECT 'idle_' || n_nationkey, 0, NULL, NULL, NULL, NULL FROM nation),
+      reasoned AS (
+        SELECT k.*, a AS analyzer_id, CASE WHEN a = 'raises' THEN 'LookupError: no such agent' WHEN a = 'breaks' THEN 'SparkRuntimeException: USER_RAISED_EXCEPTION'
+          WHEN a = 'picky' THEN CASE WHEN n < 5 THEN 'Too few steps' END
+          WHEN a = 'careless' THEN NULL WHEN n = 0 THEN 'No steps in trace'
+          WHEN a = 'information_loss' AND (l0 IS NULL OR l1 IS NULL) THEN 'Missing researcher or writer step'
+          WHEN a = 'information_loss' AND (up_failed OR down_failed) THEN 'Extraction failed' END AS reason
+        FROM known k, (VALUES ('tool_calls'), ('counts'), ('information_loss'), ('workflow'), ('raises'), ('breaks'), ('careless'), ('picky')) q(a)),
+      refused AS (SELECT run_id, 'careless' AS analyzer_id, count(*) AS c FROM st WHERE k = 3 GROUP BY run_id)
+      SELECT r.run_id, r.analyzer_id, CASE WHEN reason IS NOT NULL AND r.analyzer_id IN ('raises', 'breaks') THEN 'failed' WHEN reason IS NOT NULL THEN 'skipped'
+          WHEN c IS NOT NULL THEN 'refused' ELSE 'ok' END AS status, coalesce(reason, c || ' findings refused: confidence', '') AS reason
+      FROM reasoned r LEFT JOIN refused f ON f.run_id = r.run_id AND f.analyzer_id = r.analyzer_id""",
+    "guarded_evidence": f"WITH {RULES}" + """ SELECT 'own_v1' AS rule_id, count(*) AS findings FROM st WHERE k IN (4, 5)
+      UNION ALL SELECT 'tool_failure_v1', count(*) FROM st WHERE tool_rule = 'tool_failure_v1'
+      UNION ALL SELECT 'skipped_step_v1', (SELECT sum((f0 IS NULL)::INT + (f1 IS NULL)::INT + (f2 IS NULL)::INT)::BIGINT FROM prof)""",
 }
