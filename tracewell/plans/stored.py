@@ -10,6 +10,7 @@ from tracewell.functions import text, values
 from tracewell.operators import metrics, normalize
 from tracewell.session import materialize, work_dir
 from tracewell.sources import activity, store, traces
+from tracewell.streaming import rollup
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +123,39 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("event_id", values.safe_dumps(values.safe_loads(said)).alias("json"))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Events as four files, out of order, one to a batch; the last repeats some steps of the others, slower and failed."""
+    steps = activity.event_steps(spark, sf_dir).select(
+        "run_id", F.col("event_id").alias("step"), "workflow", "agent", "status", "latency_ms", "tokens_prompt", "tokens_completion",
+        "tokens_total", F.col("timestamp").cast("timestamp").alias("timestamp"), (F.col("event_id") % 4).alias("file"), "k",
+    )
+    later = F.col("timestamp") + F.expr("INTERVAL 1 SECOND")
+    again = steps.where("k % 25 = 2").withColumns({"latency_ms": F.col("latency_ms") + 1, "status": F.lit("FAILURE"), "timestamp": later, "file": F.lit(4)})
+    folder, root = work_dir(spark, "step-files"), work_dir(spark, "stream-store")
+    for i in range(5):
+        steps.unionByName(again).where(F.col("file") == i).drop("file", "k").coalesce(1).write.mode("append").parquet(folder)
+    layout = steps.drop("file", "k").schema
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(folder)
+    rollup.keep_totals(stream, root, work_dir(spark, "progress")).awaitTermination()
+    return root
+
+
+def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run totals kept by a stream over several files."""
+    found = rollup.run_totals(spark, _streamed(spark, sf_dir))
+    return found.withColumn("timestamp", text.format_time(F.col("timestamp")))
+
+
+def incremental_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline merged from the moments of each batch."""
+    found = rollup.baseline(spark, _streamed(spark, sf_dir))
+    return found.select("active", "n_runs", "n_steps", *(F.round(c, 6).alias(c) for c in ("latency_mean", "latency_std", "token_mean", "token_std")))
+
+
 STORED = {
     f.__name__: f
     for f in (
         stored_run, stored_steps, stored_metrics, stored_trace_steps, compacted_store, migrated_runs, label_file, largest_trace, json_values,
+        incremental_runs, incremental_baseline,
     )
 }

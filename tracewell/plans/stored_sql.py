@@ -6,6 +6,7 @@ from tracewell.plans.oracle_sql import EV
 
 LAST = "(SELECT max(run_id) FROM ru)"
 NOW = "now AS (SELECT *, CASE WHEN agent = 'writer' THEN 'FAILURE' ELSE status END AS s, latency_ms + CASE WHEN agent = 'writer' THEN 1 ELSE 0 END AS l FROM st)"
+AGAIN = "again AS (SELECT *, CASE WHEN k % 25 = 2 THEN 'FAILURE' ELSE status END AS s, latency_ms + CASE WHEN k % 25 = 2 THEN 1 ELSE 0 END AS l, ts + CASE WHEN k % 25 = 2 THEN INTERVAL 1 SECOND ELSE INTERVAL 0 SECOND END AS t FROM st)"
 
 STORED_ORACLES = {
     "stored_run": f"WITH {EV} SELECT run_id, workflow, CASE WHEN workflow = 'wf_2' THEN 'SKIPPED' ELSE status END AS status, tok AS total_tokens," + """
@@ -25,4 +26,9 @@ STORED_ORACLES = {
     "largest_trace": f"WITH {EV} SELECT workflow, 10 * count(*) AS file_size FROM st WHERE k % 20 = 0 GROUP BY workflow ORDER BY 2 DESC, 1 LIMIT 1",
     "json_values": f"WITH {EV}" + """ SELECT event_id, CASE k % 5 WHEN 0 THEN '{"a":[' || k || '],"b":1}' WHEN 1 THEN '[1,2.5,null]' WHEN 2 THEN '"{broken"'
         WHEN 3 THEN '"7"' ELSE '"say \\"x\\""' END AS json FROM st""",
+    "incremental_runs": f"WITH {EV}, {AGAIN}" + """ SELECT run_id, min(workflow) AS workflow, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS timestamp,
+        coalesce(arg_max(s, event_id) FILTER (s <> 'SUCCESS'), 'SUCCESS') AS status, sum(l) AS total_latency_ms, sum(tok)::BIGINT AS total_tokens, count(*) AS step_count
+        FROM again GROUP BY run_id""",
+    "incremental_baseline": f"WITH {EV}, {AGAIN}" + """ SELECT count(DISTINCT run_id) >= 5 AS active, count(DISTINCT run_id) AS n_runs, count(*) AS n_steps,
+        round(avg(l), 6) AS latency_mean, round(stddev_samp(l), 6) AS latency_std, round(avg(tok), 6) AS token_mean, round(stddev_samp(tok), 6) AS token_std FROM again""",
 }

@@ -130,6 +130,30 @@ DOCUMENT_COLUMNS = (
     ("trace_json", "string"),
 )
 
+# Run totals and moments that streams keep up to date.
+TOTAL_COLUMNS = (
+    ("run_id", "string"),
+    ("workflow", "string"),
+    ("timestamp", "timestamp"),
+    ("last_failure", "bigint"),
+    ("last_error", "bigint"),
+    ("last_step", "bigint"),
+    ("total_latency_ms", "double"),
+    ("total_tokens", "bigint"),
+    ("step_count", "bigint"),
+)
+
+MOMENT_COLUMNS = (
+    ("sign", "int"),
+    ("runs_n", "bigint"),
+    ("latency_ms_n", "bigint"),
+    ("latency_ms_mean", "double"),
+    ("latency_ms_m2", "double"),
+    ("tokens_total_n", "bigint"),
+    ("tokens_total_mean", "double"),
+    ("tokens_total_m2", "double"),
+)
+
 
 def ddl(columns) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in columns)

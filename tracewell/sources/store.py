@@ -36,8 +36,13 @@ TABLES = {
     "metrics": (schema.METRIC_COLUMNS, ("run_id", "step", "metric_name")),
     "analysis": (schema.ANALYSIS_COLUMNS, None),
 }
-# besides these, later parts of the documents of very long runs
-LAYOUTS = {**TABLES, "documents": (schema.DOCUMENT_COLUMNS, ("run_id", "first_pos"))}
+# besides these: later parts of the documents of very long runs, and what streams keep up to date
+LAYOUTS = {
+    **TABLES,
+    "documents": (schema.DOCUMENT_COLUMNS, ("run_id", "first_pos")),
+    "totals": (schema.TOTAL_COLUMNS, ("run_id",)),
+    "moments": (schema.MOMENT_COLUMNS, None),
+}
 
 DIRECT = "direct"
 INGEST = "ingest_seq BIGINT, source STRING, batch BIGINT"
@@ -196,14 +201,19 @@ def _current(recent: DataFrame, base: DataFrame | None, key: tuple[str, ...] | N
     return base.select(*new.columns).join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 
-def read_table(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, root: str, table: str, run_id: str | None = None, before: int | None = None
+) -> DataFrame:
     """Current rows of a stored table, or those of one run.
 
     A lookup of one run reads one bucket of the base, and of the ingests after it only
-    what their statistics leave open.
+    what their statistics leave open.  With ``before``, rows are those that were current
+    before that ingest number, which must not be in the base yet.
     """
     now = state(spark, root, table)
-    recent, base = _stored(spark, root, table, now)
+    if before is not None and before <= now.upto:
+        raise ValueError(f"ingest {before} of {table} is compacted already")
+    recent, base = _stored(spark, root, table, now, None if before is None else before - 1)
     if run_id is not None:
         recent = recent.where(F.col("run_id") == run_id)
         if base is not None:
@@ -224,6 +234,8 @@ def compact(spark: SparkSession, root: str, table: str, keep: int = 1) -> State:
     if upto <= now.upto:
         return now
     key = LAYOUTS[table][1]
+    if "run_id" not in dict(now.columns):
+        raise ValueError(f"{table} has no runs to lay it out by")
     rows = _current(*_stored(spark, root, table, now, upto), key)
     placed = rows.withColumn("bucket", bucket(F.col("run_id"), now.buckets)).hint("rebalance", "bucket")
     path = f"base/{table}/{uuid.uuid4().hex}"
