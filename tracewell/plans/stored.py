@@ -10,7 +10,7 @@ from tracewell.functions import text, values
 from tracewell.operators import metrics, normalize
 from tracewell.session import materialize, work_dir
 from tracewell.sources import activity, store, traces
-from tracewell.streaming import rollup
+from tracewell.streaming import rollup, tokens
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,10 +152,30 @@ def incremental_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("active", "n_runs", "n_steps", *(F.round(c, 6).alias(c) for c in ("latency_mean", "latency_std", "token_mean", "token_std")))
 
 
+def pending_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps and token reports as five files, out of order; some reports never come, some come twice."""
+    steps = activity.event_steps(spark, sf_dir).select(
+        "run_id", F.col("event_id").alias("step"), "agent", F.col("timestamp").cast("timestamp").alias("timestamp"), "k",
+        F.lit(None).cast("bigint").alias("tokens_prompt"), F.lit(None).cast("bigint").alias("tokens_completion"),
+        F.col("tokens_prompt").alias("p"), F.col("tokens_completion").alias("c"),
+    )
+    told = steps.where("k % 13 <> 0").withColumns({"tokens_prompt": F.col("p"), "tokens_completion": F.col("c"), "kind": F.lit("report")})
+    again = told.where("k % 25 = 2").withColumns({"tokens_completion": F.col("c") + 1, "timestamp": F.col("timestamp") + F.expr("INTERVAL 1 SECOND"), "file": F.lit(4)})
+    files = steps.withColumns({"kind": F.lit("step"), "file": F.col("step") % 4})
+    files = files.unionByName(told.withColumn("file", F.floor(F.col("step") / 3) % 4)).unionByName(again.withColumn("file", F.lit(4).cast("bigint")))
+    folder, root = work_dir(spark, "token-files"), work_dir(spark, "stream-store")
+    for i in range(5):
+        files.where(F.col("file") == i).drop("file", "k", "p", "c").coalesce(1).write.mode("append").parquet(folder)
+    layout = files.drop("file", "k", "p", "c").schema
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(folder)
+    tokens.attach_continuously(stream, root, work_dir(spark, "progress"), "7 DAYS").awaitTermination()
+    return tokens.attached_steps(spark, root).select("run_id", "step", "agent", *tokens.TOKENS)
+
+
 STORED = {
     f.__name__: f
     for f in (
         stored_run, stored_steps, stored_metrics, stored_trace_steps, compacted_store, migrated_runs, label_file, largest_trace, json_values,
-        incremental_runs, incremental_baseline,
+        incremental_runs, incremental_baseline, pending_tokens,
     )
 }

@@ -31,4 +31,7 @@ STORED_ORACLES = {
         FROM again GROUP BY run_id""",
     "incremental_baseline": f"WITH {EV}, {AGAIN}" + """ SELECT count(DISTINCT run_id) >= 5 AS active, count(DISTINCT run_id) AS n_runs, count(*) AS n_steps,
         round(avg(l), 6) AS latency_mean, round(stddev_samp(l), 6) AS latency_std, round(avg(tok), 6) AS token_mean, round(stddev_samp(tok), 6) AS token_std FROM again""",
+    "pending_tokens": f"WITH {EV}" + """ SELECT run_id, event_id AS step, agent, CASE WHEN k % 13 = 0 THEN 0 ELSE tok_p END AS tokens_prompt,
+        CASE WHEN k % 13 = 0 THEN 0 WHEN k % 25 = 2 THEN tok_c + 1 ELSE tok_c END AS tokens_completion,
+        CASE WHEN k % 13 = 0 THEN 0 WHEN k % 25 = 2 THEN tok + 1 ELSE tok END AS tokens_total FROM st""",
 }

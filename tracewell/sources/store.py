@@ -42,6 +42,7 @@ LAYOUTS = {
     "documents": (schema.DOCUMENT_COLUMNS, ("run_id", "first_pos")),
     "totals": (schema.TOTAL_COLUMNS, ("run_id",)),
     "moments": (schema.MOMENT_COLUMNS, None),
+    "reports": (schema.STEP_COLUMNS, ("run_id", "step")),
 }
 
 DIRECT = "direct"
@@ -152,7 +153,7 @@ def source_name(checkpoint: str) -> str:
     return "stream-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def _found(spark: SparkSession, pattern: str) -> list[str]:
+def found_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a pattern, from the names in the folders alone."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -168,9 +169,9 @@ def ingest_number(spark: SparkSession, root: str, table: str, source: str, batch
 
     Only names of folders are looked at, no stored file.
     """
-    if own := _numbers(_found(spark, f"{root}/{table}/ingest_seq=*/source={source}/batch={batch}")):
+    if own := _numbers(found_paths(spark, f"{root}/{table}/ingest_seq=*/source={source}/batch={batch}")):
         return max(own)
-    return max(_numbers(_found(spark, f"{root}/{table}/ingest_seq=*")), default=-1) + 1
+    return max(_numbers(found_paths(spark, f"{root}/{table}/ingest_seq=*")), default=-1) + 1
 
 
 def bucket(run_id: Column, buckets: int) -> Column:
@@ -180,7 +181,7 @@ def bucket(run_id: Column, buckets: int) -> Column:
 def _stored(spark: SparkSession, root: str, table: str, now: State, upto: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the ingests after the base, up to one of them, and rows of the base."""
     columns = f"{now.layout}, {INGEST}"
-    if _found(spark, f"{root}/{table}"):
+    if found_paths(spark, f"{root}/{table}"):
         recent = spark.read.schema(columns).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
     else:  # nothing is stored yet
         recent = spark.createDataFrame([], columns)
@@ -230,7 +231,7 @@ def compact(spark: SparkSession, root: str, table: str, keep: int = 1) -> State:
     such as one with a very long run, are written by several tasks.
     """
     now = state(spark, root, table)
-    upto = max(_numbers(_found(spark, f"{root}/{table}/ingest_seq=*")), default=-1) - keep
+    upto = max(_numbers(found_paths(spark, f"{root}/{table}/ingest_seq=*")), default=-1) - keep
     if upto <= now.upto:
         return now
     key = LAYOUTS[table][1]
@@ -320,5 +321,5 @@ def count_like(runs: DataFrame, pattern: str) -> DataFrame:
 def copy_current(spark: SparkSession, root: str, new_root: str) -> None:
     """Write the current rows of every stored table to a new place as one ingest."""
     for table in LAYOUTS:
-        if _found(spark, f"{root}/{table}"):
+        if found_paths(spark, f"{root}/{table}"):
             write_batch(read_table(spark, root, table), new_root, table, 0)
