@@ -52,7 +52,7 @@ def document(name: str) -> dict:
     counts = {"researcher": up, "writer": down, "verifier": down}
     field = {"researcher": "research_findings", "writer": "written_report", "verifier": "verification_result"}
     steps = []
-    for agent, latency in (("researcher", 1200.0), ("writer", 2000.0), ("verifier", 800.0)):
+    for agent, latency in (("researcher", 310.0), ("writer", 470.0), ("verifier", 90.0)):
         if agent == missing:
             continue
         sources, entities = counts[agent]
@@ -63,8 +63,8 @@ def document(name: str) -> dict:
                 "schema_version": "1.0", "run_id": f"run_lbl_{name}", "step": number, "agent": agent, "node_type": "llm",
                 "input": json.dumps(state), "output": json.dumps(returned), "expected_output": None,
                 "prompt": f"added=['{field[agent]}']", "system_prompt": "", "model": "m",
-                "generation_params": {"temperature": 0.0, "top_p": 1.0, "max_tokens": 2048, "seed": None},
-                "latency_ms": latency, "tokens": {"prompt": 200, "completion": 400, "total": 600},
+                "generation_params": {"temperature": 0.7, "top_p": 0.9, "max_tokens": 64, "seed": 11},
+                "latency_ms": latency, "tokens": {"prompt": 31, "completion": 12, "total": 43},
                 "tool_calls": calls if agent == "researcher" else [],
                 "handoff": {"input_state": state, "filtered_state": returned, "output_state": {**state, **returned}},
                 "parent_step": number - 1 or None, "child_step": number + 1,
@@ -76,7 +76,7 @@ def document(name: str) -> dict:
     return {
         "schema_version": "1.0", "run_id": f"run_lbl_{name}", "workflow": "research_report_pipeline",
         "timestamp": "2026-01-01T00:00:00+00:00", "steps": steps,
-        "total_latency_ms": sum(s["latency_ms"] for s in steps), "total_tokens": 600 * len(steps),
+        "total_latency_ms": sum(s["latency_ms"] for s in steps), "total_tokens": sum(s["tokens"]["total"] for s in steps),
     }
 
 

@@ -31,7 +31,7 @@ def test_documents_are_typed(corpus):
     assert corpus["frames"].runs.count() == 20
     assert steps.count() == 52
     first = steps.where("run_id = 'run_lbl_pass_01' AND pos = 0").first()
-    assert (first.step, first.agent, first.tokens_total, first.child_step) == (1, "researcher", 600, "2")
+    assert (first.step, first.agent, first.tokens_total, first.child_step) == (1, "researcher", 43, "2")
     assert first.input_state["topic"] == '"topic of pass_01"'
     assert first.timestamp.isoformat() == "2026-01-01T00:00:01"
 
@@ -129,7 +129,7 @@ def test_handoffs_and_topics(corpus):
 def test_rollup_and_files(spark, corpus):
     rolled = by_name(metrics.roll_up(corpus["frames"].steps).collect())
     assert (rolled["execution_01"].status, rolled["pass_01"].status) == ("ERROR", "SUCCESS")
-    assert (rolled["pass_01"].total_latency_ms, rolled["pass_01"].total_tokens) == (4000.0, 1800)
+    assert (rolled["pass_01"].total_latency_ms, rolled["pass_01"].total_tokens) == (870.0, 129)
     largest = traces.largest_file(traces.trace_files(spark, corpus["path"], "*.json")).first()
     sizes = traces.trace_files(spark, corpus["path"]).agg(F.max("file_size")).first()[0]
     assert largest.file_size == sizes

@@ -74,6 +74,7 @@ def prompts(
     further parts under the same heading, so nothing is left out.
     """
     number = F.col("evidence_no")
+    # Labels of the lines below.
     line = F.concat(
         F.lit("  ["), number.cast("string"), F.lit("] rule="), F.coalesce("rule_id", F.lit("no_rule")),
         F.lit("  confidence="), text.percent(F.col("confidence")),

@@ -92,6 +92,7 @@ def emit(df: DataFrame, findings: Sequence[Finding]) -> DataFrame:
 
 def tool_evidence(steps: DataFrame) -> DataFrame:
     """Tool calls without any result, and tool calls that failed."""
+    # Ids, categories and wordings.
     calls = steps.selectExpr(
         "run_id", "pos", "step", "agent", "posexplode(tool_calls) AS (idx, call)"
     )
@@ -399,6 +400,7 @@ def ground_truth(runs: DataFrame, finals: DataFrame, config: Config = DEFAULT, a
 
 def ground_truth_evidence(compared: DataFrame, config: Config = DEFAULT) -> DataFrame:
     limit = config.ground_truth_similarity
+    # Id, category, severity and wordings.
     words = f"Pipeline final output diverged from expected output. Similarity: %.2f (Threshold: {limit:.2f})"
     mismatch = Finding(
         f"similarity < {limit}D",

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def build_session(app: str = "tracewell", cores: int | None = None) -> SparkSession:
@@ -50,8 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder, or of the innermost scope's folder in it."""
+    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str = "scope") -> Iterator[str]:
+    """Removes, on leaving, every work folder that was made inside.
+
+    Frames made inside read these folders when they are evaluated, so what is to stay must
+    be written elsewhere before.  Scopes nest; they belong to the thread that drives Spark.
+    """
+    path = work_dir(spark, name)
+    _scopes.append(path)
+    try:
+        yield path
+    finally:
+        _scopes.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
