@@ -16,6 +16,7 @@ from tracewell.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+FEW_ROWS = 50_000  # rows of numbers and names that may be broadcast
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -39,8 +40,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def small(df: DataFrame, name: str, rows: int = FEW_ROWS) -> DataFrame:
+    """The same rows, stored and counted: marked for broadcast if they are ``rows`` at most, else left to Spark."""
+    stored = materialize(df, name)
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], name: str, wide: bool = False
 ) -> DataFrame:
     """Add inclusive running sums of columns along ``order`` inside each key.
 
@@ -49,7 +56,8 @@ def running_sums(
     the rows lies in many partitions.  Sums run inside (key, partition); what lies
     before a partition comes from its per-partition totals, of which there are at
     most as many as keys plus partitions.  ``order`` should identify a row; rows that
-    tie get the sums of some order among them.
+    tie get the sums of some order among them.  ``wide`` rows, with whole texts, are worth
+    counting the totals for, so that the join that adds them need not move the rows again.
     """
     part, *own = fresh(df, "_part", *(f"_before_{s}" for s in sums))
     placed = materialize(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), name)
@@ -61,6 +69,8 @@ def running_sums(
         F.col(part).alias(f"{part}__k"),
         *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(b) for s, b in zip(sums, own, strict=True)),
     )
+    if wide:
+        before = small(before, name)
     here = placed.withColumns({s: F.sum(c).over(inside) for s, c in sums.items()})
     same = F.col(part) == F.col(f"{part}__k")
     for k in keys:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WORD, fresh, running_sums
+from tracewell.llm.common import WORD, fresh, running_sums, small
 from tracewell.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -97,10 +97,10 @@ def mix(
         *kept, F.col(source).alias(src), F.col(key).alias(k), words.alias(size),
         F.monotonically_increasing_id().alias(row), F.lit(1).alias(one),
     )
-    placed = running_sums(slim, [src], [size, k, row], {place: one}, "mix-rows")
+    placed = running_sums(slim, [src], [size, k, row], {place: one}, "mix-rows", wide=True)
     # words are counted once more for the targets, which is cheaper than to store the rows twice
     targets = source_targets(docs.select(F.col(source).alias(src), words.alias("size")), src, weights, most)
-    targets = targets.withColumnsRenamed({"source_size": new[1], "target": new[2], src: f"{src}_t"})
+    targets = small(targets, "mix-targets").withColumnsRenamed({"source_size": new[1], "target": new[2], src: f"{src}_t"})
     rate = F.when(F.col(new[1]) > 0, F.col(new[2]) / F.col(new[1]).cast("double")).otherwise(F.lit(0.0))
     start = F.lit(offset(seed))
     upto = F.floor(F.col(place).cast("double") * rate + start)
