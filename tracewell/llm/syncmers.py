@@ -167,10 +167,10 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     )
     order = materialize(placed.join(before, "_place").select("_k", "_prev"), "edit-neighbours")
     first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(F.xxhash64("text"), "text"))
-    heads = keyed.withColumn("_row", first("_k")).where("_row = 1").select("_k", "_key", "text")
-    # one head of each salt is left of the rows without a key
-    unnamed = heads.where("_key IS NULL").withColumn("_row", first("_key")).where("_row = 1").select(F.lit("n").alias("_k"), "text")
-    heads = heads.where("_key IS NOT NULL").select("_k", "text").unionByName(unnamed)
+    heads = keyed.withColumn("_row", first("_k")).where("_row = 1 AND _key IS NOT NULL").select("_k", "text")
+    # one row of each task is left of those without a key before they meet
+    unnamed = docs.where(none).select(F.lit("n").alias("_k"), whole.alias("text"))
+    heads = heads.unionByName(unnamed.withColumn("_row", first("_k")).where("_row = 1").select("_k", "text"))
     salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit("n"), i.cast("string")))
     heads = heads.join(order, "_k").select(
         F.explode(F.when(F.col("_prev") == "n", salts).otherwise(F.array("_prev"))).alias("_k"), F.col("text").alias("next_text")
