@@ -1,8 +1,12 @@
 """Token reports meet their steps once, late or early."""
 
+import glob
 from datetime import datetime, timedelta
 
+import pytest
+
 from tracewell import schema
+from tracewell.plans import stored
 from tracewell.streaming import tokens
 
 NOON = datetime(2024, 5, 1, 12)
@@ -50,3 +54,17 @@ def test_nothing_arrives(spark, tmp_path):
     root = str(tmp_path / "store")
     tokens.attach_batch(spark.createDataFrame([], SCHEMA), root, "s", 0, "1 MINUTE")
     assert tokens.attached_steps(spark, root).isEmpty() and [c for c, _ in schema.STEP_COLUMNS] == tokens.attached_steps(spark, root).columns
+
+
+@pytest.mark.parametrize("query, files", [("pending_tokens", "token-files"), ("incremental_runs", "step-files")])
+def test_several_tasks_write_the_files_of_a_batch(spark, tmp_path, monkeypatch, query, files):
+    events = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-05-01 12:00:00' AS ts", "id % 5 AS user_id", "'view' AS event_type", "1.0D AS value",
+        """concat('{"k": ', id % 100, '}') AS props""",
+    )
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stored, "work_dir", lambda spark, name: str(tmp_path / name))
+    found = getattr(stored, query)(spark, str(tmp_path))
+    assert found.count() == (400 if query == "pending_tokens" else 5)
+    assert len(glob.glob(f"{tmp_path}/progress/commits/[0-9]")) == 5
+    assert len(glob.glob(f"{tmp_path}/{files}/part-*")) > 5

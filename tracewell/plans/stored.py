@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tracewell import schema
 from tracewell.functions import text, values
@@ -123,20 +126,27 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("event_id", values.safe_dumps(values.safe_loads(said)).alias("json"))
 
 
+def _delivered(rows: DataFrame, name: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Stream the rows in five deliveries by their ``file``, one micro-batch to each; several tasks write the files of one."""
+    spark, folder = rows.sparkSession, work_dir(rows.sparkSession, f"{name}-files")
+    rows = materialize(rows, f"{name}-rows")
+    layout = rows.drop("file").schema
+    for i in range(5):
+        rows.where(F.col("file") == i).drop("file").write.mode("append").parquet(folder)
+        # takes all files that came since it ended last
+        start(spark.readStream.schema(layout).parquet(folder)).awaitTermination()
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """Events as four files, out of order, one to a batch; the last repeats some steps of the others, slower and failed."""
+    """Events as four deliveries, out of order, one to a batch; a fifth repeats some steps of the others, slower and failed."""
     steps = activity.event_steps(spark, sf_dir).select(
         "run_id", F.col("event_id").alias("step"), "workflow", "agent", "status", "latency_ms", "tokens_prompt", "tokens_completion",
         "tokens_total", F.col("timestamp").cast("timestamp").alias("timestamp"), (F.col("event_id") % 4).alias("file"), "k",
     )
     later = F.col("timestamp") + F.expr("INTERVAL 1 SECOND")
     again = steps.where("k % 25 = 2").withColumns({"latency_ms": F.col("latency_ms") + 1, "status": F.lit("FAILURE"), "timestamp": later, "file": F.lit(4)})
-    folder, root = work_dir(spark, "step-files"), work_dir(spark, "stream-store")
-    for i in range(5):
-        steps.unionByName(again).where(F.col("file") == i).drop("file", "k").coalesce(1).write.mode("append").parquet(folder)
-    layout = steps.drop("file", "k").schema
-    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(folder)
-    rollup.keep_totals(stream, root, work_dir(spark, "progress")).awaitTermination()
+    root, progress = work_dir(spark, "stream-store"), work_dir(spark, "progress")
+    _delivered(steps.unionByName(again).drop("k"), "step", lambda stream: rollup.keep_totals(stream, root, progress))
     return root
 
 
@@ -153,7 +163,7 @@ def incremental_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps and token reports as five files, out of order; some reports never come, some come twice."""
+    """Steps and token reports as five deliveries, out of order; some reports never come, some come twice."""
     steps = activity.event_steps(spark, sf_dir).select(
         "run_id", F.col("event_id").alias("step"), "agent", F.col("timestamp").cast("timestamp").alias("timestamp"), "k",
         F.lit(None).cast("bigint").alias("tokens_prompt"), F.lit(None).cast("bigint").alias("tokens_completion"),
@@ -163,12 +173,8 @@ def pending_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = told.where("k % 25 = 2").withColumns({"tokens_completion": F.col("c") + 1, "timestamp": F.col("timestamp") + F.expr("INTERVAL 1 SECOND"), "file": F.lit(4)})
     files = steps.withColumns({"kind": F.lit("step"), "file": F.col("step") % 4})
     files = files.unionByName(told.withColumn("file", F.floor(F.col("step") / 3) % 4)).unionByName(again.withColumn("file", F.lit(4).cast("bigint")))
-    folder, root = work_dir(spark, "token-files"), work_dir(spark, "stream-store")
-    for i in range(5):
-        files.where(F.col("file") == i).drop("file", "k", "p", "c").coalesce(1).write.mode("append").parquet(folder)
-    layout = files.drop("file", "k", "p", "c").schema
-    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(folder)
-    tokens.attach_continuously(stream, root, work_dir(spark, "progress"), "7 DAYS").awaitTermination()
+    root, progress = work_dir(spark, "stream-store"), work_dir(spark, "progress")
+    _delivered(files.drop("k", "p", "c"), "token", lambda stream: tokens.attach_continuously(stream, root, progress, "7 DAYS"))
     return tokens.attached_steps(spark, root).select("run_id", "step", "agent", *tokens.TOKENS)
 
 

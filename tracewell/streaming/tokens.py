@@ -56,11 +56,13 @@ def attach_batch(batch: DataFrame, root: str, source: str, batch_id: int, wait:
     rows = materialize(held.where(F.col("kind") != CLOCK).drop("seen").unionByName(shaped), "token-batch")
     steps = _latest(rows.where(F.col("kind") == STEP).drop("kind"))
     reports = _latest(rows.where(F.col("kind") == REPORT).drop("kind"))
-    stored = store.read_table(spark, root, "steps", before=number)
     aside = store.read_table(spark, root, "reports", before=number)
     # very late steps meet reports that were put aside
     steps = materialize(steps, "token-steps")
     reports = materialize(_latest(reports.unionByName(aside.join(steps.select(*KEY), KEY, "left_semi"))), "token-reports")
+    # what is stored of the keys in hand, found once
+    keys = steps.select(*KEY).unionByName(reports.select(*KEY))
+    stored = materialize(store.read_table(spark, root, "steps", before=number).join(keys, KEY, "left_semi"), "token-stored")
     plain = [c for c, _ in schema.STEP_COLUMNS if c not in TOKENS]
     zero = F.lit(0).cast("bigint")
     counted = [F.coalesce(c, zero).alias(c) for c in TOKENS[:2]]
