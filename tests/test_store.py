@@ -89,6 +89,18 @@ def test_recent_keys_do_not_shuffle_the_base(spark, root):
     assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
 
 
+def test_recent_rows_are_dealt_before_they_are_sorted(spark, tmp_path):
+    """A file of a few MB may hold millions of rows: no task may sort what its input split holds."""
+    root = str(tmp_path / "store")
+    rows = [("r", 1, "a", 1.0), ("r", 1, "a", 1.0), ("r", None, "a", 1.0), (None, 1, "a", 1.0), (None, None, "a", 1.0)]
+    store.write_batch(steps(spark, rows), root, "steps", 0)
+    store.write_batch(steps(spark, [(r, s, "b", 2.0) for r, s, *_ in rows]), root, "steps", 1)
+    found = store.read_table(spark, root, "steps")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(run_id" in plan and "Aggregate" not in plan[plan.rindex("Exchange"):]
+    assert found.count() == 4 and shown(found) == {(r, s): ("b", 2.0) for r, s, *_ in rows}
+
+
 def test_migration_refuses_narrowing(spark, tmp_path):
     root = str(tmp_path / "store")
     for bad in (

@@ -196,7 +196,9 @@ def _current(recent: DataFrame, base: DataFrame | None, key: tuple[str, ...] | N
     """Latest rows; what a recent ingest wrote takes the place of the base's row."""
     if key is None:
         return recent if base is None else base.select(*recent.columns).unionByName(recent)
-    new = latest(recent, key, (*ORDER,), keep_order=True)
+    # dealt by run and step before they are sorted for the latest: files of a few MB hold many millions of
+    # rows, which a task would sort whole to combine them; one ingest seldom has a key twice
+    new = latest(recent.repartition(*key[:2]), key, (*ORDER,), keep_order=True)
     if base is None:
         return new
     return base.select(*new.columns).join(new.select(*key), list(key), "left_anti").unionByName(new)
