@@ -64,6 +64,19 @@ def test_query_on_other_keys_and_empty_tables(spark, tmp_path, schema, rows):
     assert op8_fingerprints(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_texts_are_moved_to_their_key_and_to_their_neighbour_only(spark):
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = syncmers.with_edited(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # by key, read twice and run once; then the neighbours, which are joined to, and the next texts
+    assert sum("REPARTITION_BY_COL" in line for line in lines) == 2 and sum("ENSURE_REQUIREMENTS" in line for line in lines) == 2
+
+
 def test_syncmers_are_those_of_the_definition(spark):
     df = spark.createDataFrame([(LONG,), ("a b",), ("a b c",), ("d a b a d c",)], "t string")
     hashed = df.select(syncmers.word_hashes(F.col("t")).alias("h"))

@@ -170,9 +170,11 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     heads = keyed.withColumn("_row", first("_k")).where("_row = 1 AND _key IS NOT NULL").select("_k", "text")
     # one row of each task is left of those without a key before they meet
     unnamed = docs.where(none).select(F.lit("n").alias("_k"), whole.alias("text"))
-    heads = heads.unionByName(unnamed.withColumn("_row", first("_k")).where("_row = 1").select("_k", "text"))
+    unnamed = unnamed.withColumn("_row", first("_k")).where("_row = 1").select("_k", "text")
     salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit("n"), i.cast("string")))
-    heads = heads.join(order, "_k").select(
+    # joined before they are put together, as a union forgets that the texts lie by key already
+    unnamed = unnamed.drop("_k").join(F.broadcast(order.where("_k = 'n'")))  # one row
+    heads = heads.join(order, "_k").unionByName(unnamed).select(
         F.explode(F.when(F.col("_prev") == "n", salts).otherwise(F.array("_prev"))).alias("_k"), F.col("text").alias("next_text")
     )
     n = F.length("text")
